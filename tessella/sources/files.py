@@ -23,7 +23,7 @@ def list_files(
 
 def read_texts(spark: SparkSession, path: str, limit: int = 0, descending: bool = False) -> DataFrame:
     """``(doc_id, path, text)``: one file is one document; ids follow the order of the paths."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt*").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt*")
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     files = files.where(~F.element_at(F.split("path", "/"), -1).startswith("."))
     order = F.desc("path") if descending else F.asc("path")
@@ -54,7 +54,7 @@ def read_articles(
 
     ``limit`` is exact; with ``whole_files`` it is checked after each file, so the last file is read to its end.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt*").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt*")
     rows = files.select(
         F.col("_metadata.file_path").alias("path"),
         F.posexplode(articles(F.col("value"), compat)).alias("article_no", "text"),
@@ -69,7 +69,7 @@ def read_articles(
 
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
     """``(path, article_no, title)`` of the articles that have a title."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt*").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt*")
     found = F.regexp_extract_all("value", F.lit('(?m)^<doc [^\n]*title="([^"]*)"'), F.lit(1))
     return files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(found).alias("article_no", "title"))
 
@@ -82,7 +82,7 @@ def tags_to_query(text: Column) -> Column:
 
 def read_tag_queries(spark: SparkSession, path: str) -> DataFrame:
     """``(path, query)`` of a folder of tag files."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt*").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt*")
     return files.select(F.col("_metadata.file_path").alias("path"), tags_to_query(F.col("value")).alias("query"))
 
 
