@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from . import simhash, substring
+import public_tokenizers
+
+from . import fuzzyhash, mixing, simhash, substring, tokenfile
 from .store import table
 
 
+#: The vocabulary file is a parameter of the operator and stays outside the repository.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
 def registry() -> dict:
     """Name to query and SQL; None where SQL can't express the query."""
     return {
+        "op1_token_files": (lambda s, d: tokenfile.digest(table(s, d, "documents"), TOKENIZER), None),
+        "op2_source_mix": (lambda s, d: mixing.digest(table(s, d, "documents")), None),
+        "op3_fuzzy_fingerprints": (lambda s, d: fuzzyhash.compared(table(s, d, "documents")), None),
         "op5_substring_dedup": (lambda s, d: substring.digest(table(s, d, "documents")), None),
         "op10_simhash_components": (lambda s, d: simhash.digest(table(s, d, "documents")), None),
     }
