@@ -131,3 +131,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` of every document."""
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply(docs: DataFrame) -> DataFrame:
+    """The mix itself: each document's row as often as it has copies, all columns kept. Rows with equal ids count alike."""
+    many = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
+    joined = docs.join(many, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
