@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of Arrow data handed to a Python worker at once, and of text that is worked on at once.
 BATCH_BYTES = 8 << 20
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +32,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files go when the driver's garbage does; what made this table is garbage now.
+    gc.collect()
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._tessella_path = path
     return out
