@@ -22,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, (n + 1).bit_length())
+    size = 1 << max(20, (n + 1).bit_length())
     if size not in _powers:
         _powers.clear()
         with np.errstate(over="ignore"):
