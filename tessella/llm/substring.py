@@ -23,7 +23,8 @@ from . import words as W
 from .store import dropped, map_texts, text_bytes, written
 
 LENGTH = 20
-SEED = 5
+#: Long enough that a seed seldom recurs by chance, however large the corpus is; at most LENGTH.
+SEED = 12
 #: log2 of the bits in the bitmap of seeds: 16 MB at any size of the input.
 BITMAP = 27
 
