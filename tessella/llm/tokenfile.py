@@ -19,17 +19,44 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import huffman as H
+from . import words as W
 from .store import bounded_batches, dropped, map_texts, shared_folder, text_bytes, written
 
 END = 2
 #: Ids of a block, unless one document has more.
 BLOCK = 1 << 16
 #: Words that a worker remembers the ids of.
-MEMO = 300_000
+MEMO = 1_000_000
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[[33, 44, 46, 58, 59, 63]] = True
 
 _encoders: dict[str, Encoder] = {}
 
 
+def folded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with the same ids and fewer distinct words: ASCII in lower case, and a space before a single stop mark.
+
+    The tokenizer lowers case and drops white space itself, and ends a token between a letter or digit and a mark. Only a
+    mark that ends a word is parted. Batches that hold the start of a special token stay as they are.
+    """
+    if not len(data) or b"<|" in data.tobytes():
+        return data, at
+    low = _LOWER[data]
+    after = np.ones(len(low), bool)
+    after[:-1] = W.IS_GAP[low[1:]]
+    after[at[1:][at[1:] > 0] - 1] = True
+    before = np.zeros(len(low), bool)
+    before[1:] = _ALNUM[low[:-1]]
+    before[at[:-1][at[:-1] < len(low)]] = False
+    cut = np.flatnonzero(_STOP[low] & after & before)
+    return np.insert(low, cut, 32), at + np.searchsorted(cut, at)
+
+
 class Encoder:
     """Ids of texts by a tokenizer that drops white space, so that each run without ASCII white space stands alone.
 
@@ -85,7 +112,7 @@ def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     width = _width(tokenizer)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        data, at = text_bytes(b.column(1))
+        data, at = folded(*text_bytes(b.column(1)))
         raw = data.tobytes()
         found = Encoder.of(tokenizer).encode([raw[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())])
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(width).tobytes() for x in found], pa.binary())], ["doc_id", "ids"])
@@ -145,8 +172,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
         if rows:
             yield pa.RecordBatch.from_pylist([block(shard, number, first, rows)], arrow)
 
-    # Range partitions ascend with the id; the range bounds come from a sample of the small staged table.
-    ordered = staged.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    # Range partitions ascend with the id; the range bounds come from a sample of the staged table's ids.
+    ordered = staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     blocks = ordered.mapInArrow(code, f"shard int, block int, first long, n long, doc_ids array<{kind}>, doc_n array<long>, marks array<int>, payload binary")
     blocks.write.parquet(f"{path}/blocks")
     dropped(staged)

@@ -32,7 +32,7 @@ def test_round_trip_equals_the_library(spark, data):
 
 
 def test_special_strings_and_odd_spaces(make):
-    rows = [(1, "a<|endoftext|>b <|startoftext|> Ć x́"), (2, "don't WE'LL x　y 12,000"), (3, "İSTANBUL ΑΣ ́ a"), (4, "\x00 \x1c\x1f\x85 z")]
+    rows = [(1, "a<|endoftext|>b <|startoftext|> Ć x́"), (2, "don't WE'LL x　y 12,000"), (3, "İSTANBUL ΑΣ ́ a"), (4, "\x00 \x1c\x1f\x85 z"), (5, "x” . A. é. (end). 12. U.S.A., it's, 5, z;\n?! Ok! q?"), (6, "a."), (7, ". b"), (8, ","), (9, ""), (10, "A."), (11, "<|ENDOFTEXT|> I\u0307.")]
     assert got(make(rows)) == want(rows)
 
 
