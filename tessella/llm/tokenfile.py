@@ -78,32 +78,69 @@ class Encoder:
         return _encoders[path]
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        """An empty memo: an open-addressed table of words by hash, with their first bytes and length as a check."""
+        cells = 1 << (2 * MEMO).bit_length()
+        self.mask = np.uint64(cells - 1)
+        self.hashes, self.heads = np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
+        self.slot = np.full(cells, -1, np.int32)
         self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.place) + len(words) > MEMO:
-            self.clear()
-        new = [w for w in words if w not in self.place]
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+    def _seek(self, hashed: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The memo's number of each word, -1 for an unknown one, and the cell where it is or would go."""
+        cell = (hashed & self.mask).astype(np.int64)
+        open_ = np.arange(len(hashed))
+        while len(open_):
+            c = cell[open_]
+            taken = (self.slot[c] >= 0) & ((self.hashes[c] != hashed[open_]) | (self.heads[c] != heads[open_]))
+            open_ = open_[taken]
+            cell[open_] = (cell[open_] + 1) & int(self.mask)
+        return self.slot[cell], cell
+
+    def _learn(self, hashed: np.ndarray, heads: np.ndarray, words: list[bytes]) -> None:
+        """Encode words, each once, and remember them."""
+        found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
         size = np.array([len(x) for x in found], np.int64)
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        numbers = np.arange(len(self.size), len(self.size) + len(words), dtype=np.int32)
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.pool = np.concatenate([self.pool, np.array([i for x in found for i in x], np.uint32)])
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text, the end id last."""
-        parts = [t.split() for t in texts]
-        flat = [w for p in parts for w in p]
-        if missing := set(flat).difference(self.place):
-            self._learn(set(flat) if len(self.place) + len(missing) > MEMO else missing)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        size = self.size[at]
+        left = np.arange(len(words))
+        while len(left):
+            _, cell = self._seek(hashed[left], heads[left])
+            _, first = np.unique(cell, return_index=True)
+            put, c = left[first], cell[first]
+            self.hashes[c], self.heads[c], self.slot[c] = hashed[put], heads[put], numbers[put]
+            left = np.delete(left, first)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id last, and the n + 1 offsets of the texts in them.
+
+        The memo knows a word by a 64-bit hash, its first eight bytes and its length.
+        """
+        start, end, first = W.find(data, offsets)
+        hashed = W.span_hash(W.prefix_hash(data), start, end) if len(start) else np.zeros(0, np.uint64)
+        raw = data.tobytes() + bytes(8)
+        ahead = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))[start]
+        length = (end - start).astype(np.uint64)
+        cut = np.uint64(64) - np.minimum(length, np.uint64(8)) * np.uint64(8)
+        heads = (ahead << cut) ^ (length * np.uint64(0x9E3779B97F4A7C15))
+        number, _ = self._seek(hashed, heads)
+        if (number < 0).any():
+            unknown = np.flatnonzero(number < 0)
+            _, one = np.unique(hashed[unknown] ^ W.mix(heads[unknown]), return_index=True)
+            if len(self.size) + len(one) > MEMO:
+                self.clear()
+                unknown = np.arange(len(start))
+                _, one = np.unique(hashed ^ W.mix(heads), return_index=True)
+            new = unknown[one]
+            self._learn(hashed[new], heads[new], [raw[s:e] for s, e in zip(start[new].tolist(), end[new].tolist())])
+            number, _ = self._seek(hashed, heads)
+        size = self.size[number]
         ends = np.cumsum(size)
-        ids = self.pool[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        cuts = np.r_[0, ends][np.cumsum([0, *map(len, parts)])]
-        return [np.append(ids[a:b], np.uint32(END)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.pool[np.repeat(self.start[number] - (ends - size), size) + np.arange(total)]
+        cuts = np.r_[0, ends][first]
+        return np.insert(ids, cuts[1:], np.uint32(END)), cuts + np.arange(len(cuts))
 
 
 def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,10 +149,11 @@ def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     width = _width(tokenizer)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        data, at = folded(*text_bytes(b.column(1)))
-        raw = data.tobytes()
-        found = Encoder.of(tokenizer).encode([raw[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())])
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(width).tobytes() for x in found], pa.binary())], ["doc_id", "ids"])
+        ids, at = Encoder.of(tokenizer).encode(*folded(*text_bytes(b.column(1))))
+        flat = ids.astype(width)
+        places = (at * flat.itemsize).astype(np.int32)
+        column = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(places), pa.py_buffer(flat)])
+        return pa.RecordBatch.from_arrays([b.column(0), column], ["doc_id", "ids"])
 
     return map_texts(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids binary", 1)
 
