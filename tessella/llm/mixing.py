@@ -111,7 +111,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     rate = F.coalesce("edge", _rate(F.col("a"), F.col("size"), F.col("mean")))
     rates = by_size.join(dual, "no").select("no", "size", rate.alias("rate"), (F.floor(F.col("n") / BLOCK) + 1).alias("parts"))
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
-    dealt = named.where("size > 0").join(rates, ["no", "size"]).withColumn("part", part)
+    # Written, so that the join's hot sizes can be split, and what follows is dealt by part.
+    dealt = written(named.where("size > 0").join(rates, ["no", "size"]).withColumn("part", part), "dealt")
     cells = dealt.groupBy("no", "size", "part").agg(F.count(F.lit(1)).alias("n"), F.first("rate").alias("rate"))
     earlier = Window.partitionBy("no").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.select("no", "size", "part", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(earlier), F.lit(0.0)).alias("before"))

@@ -79,22 +79,29 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str | None], ratings: list[int], epochs: int = EPOCHS) -> Model:
-    """The model of at most SAMPLE rated texts. One grade only, or none: constant."""
+    """The model of rated texts."""
+    each = []
+    for t in texts:
+        raw = (t or "").encode()
+        _, column, value = features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        each.append((column, value))
+    return fit_features(each, ratings, epochs)
+
+
+def fit_features(each: list[tuple[np.ndarray, np.ndarray]], ratings: list[int], epochs: int = EPOCHS) -> Model:
+    """The model of at most SAMPLE rated rows of sparse features. One grade only, or none: constant."""
     grades = sorted(set(ratings))
     if len(grades) < 2:
         return Model(grades or [0], np.zeros(BUCKETS), np.zeros(0))
-    raw = [(t or "").encode() for t in texts]
-    offsets = np.cumsum([0, *map(len, raw)])
-    row, column, value = features(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    column = np.concatenate([c for c, _ in each]).astype(np.int64)
+    value = np.concatenate([v for _, v in each]).astype(np.float32).astype(np.float64)
+    bounds = np.cumsum([0, *(len(c) for c, _ in each)])
     y = np.searchsorted(grades, ratings)
     above = (y[:, None] > np.arange(len(grades) - 1)[None, :]).astype(float)
-    order = np.argsort(row, kind="stable")
-    row, column, value = row[order], column[order], value[order]
     base = np.clip(above.mean(0), 1e-3, 1 - 1e-3)
     w, t = np.zeros(BUCKETS), -np.log(base / (1 - base))
     params, m, v = np.concatenate([w, t]), np.zeros(BUCKETS + len(t)), np.zeros(BUCKETS + len(t))
     rng, n, step = np.random.default_rng(0), len(y), 0
-    bounds = np.searchsorted(row, np.arange(n + 1))
     size = max(32, n // 12)
     for _ in range(epochs):
         shuffled = rng.permutation(n)
@@ -127,9 +134,25 @@ def sample(docs: DataFrame, ratings: DataFrame, size: int = SAMPLE) -> DataFrame
 
 
 def learn(docs: DataFrame, ratings: DataFrame, size: int = SAMPLE) -> Model:
-    """Fit on the driver: the sample is bounded by rows, and texts in it are cut by nothing."""
-    rows = sorted((r.doc_id, zlib.crc32((r.text or "").encode()), r.text, r.grade) for r in sample(docs, ratings, size).toLocalIterator())
-    return fit([r[2] for r in rows], [r[3] for r in rows])
+    """Fit on the driver, which gets the sparse features of the bounded sample; texts are read whole by the tasks."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_bytes(b.column(1))
+        row, column, value = features(data, offsets)
+        order = np.argsort(row, kind="stable")
+        at = np.searchsorted(row[order], np.arange(b.num_rows + 1))
+        column, value = column[order].astype(np.int32), value[order].astype(np.float32)
+        spans = list(zip(at[:-1].tolist(), at[1:].tolist()))
+        blobs = [pa.array([x[s:e].tobytes() for s, e in spans], pa.binary()) for x in (column, value)]
+        check = [zlib.crc32(data[s:e].tobytes()) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        grade = b.column(2).cast(pa.int64())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(check, pa.int64()), grade, *blobs], ["doc_id", "check", "grade", "columns", "shares"])
+
+    chosen = sample(docs, ratings, size)
+    sparse = map_texts(chosen, run, f"doc_id {dict(chosen.dtypes)['doc_id']}, check long, grade long, columns binary, shares binary", 1)
+    got = sparse.toArrow().sort_by([("doc_id", "ascending"), ("check", "ascending"), ("grade", "ascending")])
+    arrays = [[np.frombuffer(x.as_buffer(), kind) for x in got.column(name)] for name, kind in (("columns", np.int32), ("shares", np.float32))]
+    return fit_features(list(zip(*arrays)), got.column("grade").to_pylist())
 
 
 def scored(docs: DataFrame, model: Model, keep: int = KEEP, tail: float = TAIL) -> DataFrame:
