@@ -97,3 +97,22 @@ def test_files_are_smaller_than_fixed_width(spark, data, tmp_path):
     tokenfile.write(docs, str(tmp_path / "t"), PATH)
     total = spark.read.parquet(str(tmp_path / "t/blocks")).agg(F.sum(F.length("payload")), F.sum("n")).first()
     assert total[0] < 1.6 * total[1]
+
+
+def test_words_joined_for_the_library_keep_their_ids(monkeypatch):
+    words = ["a", "don't", "x.y", "12", "é", "<|endoftext|>", "ś", "﷽", "'", "s", "…", "́", "\x02", "</w>", "i̇"] * 9
+    apart = [tokenfile.Encoder(PATH).tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    for more in ([], ["a\x01", "\x01", "b"]):
+        own = [*words, *more]
+        flat, size = tokenfile.Encoder(PATH)._ids([w.encode() for w in own])
+        cuts = np.r_[0, np.cumsum(size)]
+        assert [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:])][: len(words)] == apart
+        assert len(size) == len(own)
+
+
+def test_a_batch_of_more_words_than_the_memo_holds(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(2000)).encode()
+    buffers = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    plain = tokenfile.Encoder(PATH).encode(*buffers)[0]
+    monkeypatch.setattr(tokenfile, "MEMO", 10)
+    assert (tokenfile.Encoder(PATH).encode(*buffers)[0] == plain).all()
