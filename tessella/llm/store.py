@@ -27,11 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again: no lineage, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     # Shuffle files go when the driver's garbage does; what made this table is garbage now.
     gc.collect()
     spark._jvm.System.gc()

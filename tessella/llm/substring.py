@@ -112,9 +112,9 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows, seen = _keyed(rows)
-    found = written(_windows(seen, _seeds(seen, length, seed), length, seed), "windows")
+    found = written(_windows(seen, _seeds(seen, length, seed), length, seed), "windows", "zstd")
     firsts = found.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "key", "pos")).alias("f")).select("f.*")
-    kept = written(firsts, "firsts")
+    kept = written(firsts, "firsts", "zstd")
     held = found.groupBy("doc_id", "key").agg(F.collect_list("pos").alias("held"))
     first = kept.groupBy("doc_id", "key").agg(F.collect_list("pos").alias("first"))
     same = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & (a.key == b.key)
