@@ -8,6 +8,7 @@ redone and nothing is written twice.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -60,17 +61,37 @@ def folded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(low, cut, 32), at + np.searchsorted(cut, at)
 
 
+#: What a tokenizer's file must declare for words to be encoded alone and in lower case. A fixed value, as such files state it.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {
+    "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed", "invert": True,
+}
+
+
+def words_stand_alone(spec: dict) -> bool:
+    """Whether a tokenizer lowers case, drops white space and never joins what it parts; from its file."""
+    stages = lambda part, key: ((spec.get(part) or {}).get(key) or [])
+    special = [a["content"] for a in spec.get("added_tokens", [])]
+    return stages("normalizer", "normalizers") == NORMALIZER and stages("pre_tokenizer", "pretokenizers")[:1] == [SPLIT] and all(t.startswith("<|") for t in special)
+
+
 class Encoder:
-    """Ids of texts by a tokenizer that drops white space, so that each run without ASCII white space stands alone.
+    """Ids of texts. Where words stand alone, each run without ASCII white space is encoded by itself.
 
-    Such runs repeat, and a worker remembers their ids; what is remembered never changes an id.
+    Such runs repeat, and a worker remembers their ids; what is remembered never changes an id. Other tokenizers get
+    whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.alone = words_stand_alone(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.separator = self._separator()
         self.clear()
@@ -140,8 +161,18 @@ class Encoder:
             self.hashes[c], self.heads[c], self.slot[c] = hashed[put], heads[put], numbers[put]
             left = np.delete(left, first)
 
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id last, and the n + 1 offsets of the texts in them."""
+        if self.alone:
+            return self.encode(*folded(data, offsets))
+        raw = data.tobytes()
+        whole = [raw[s:e].decode() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        found = [[*e.ids, END] for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        flat = np.array([i for x in found for i in x], np.uint32)
+        return flat, np.cumsum([0, *map(len, found)])
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with the end id last, and the n + 1 offsets of the texts in them.
+        """The same word by word, for texts whose words stand alone.
 
         The memo knows a word by a 64-bit hash, its first eight bytes and its length.
         """
@@ -177,7 +208,7 @@ def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     width = _width(tokenizer)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, at = Encoder.of(tokenizer).encode(*folded(*text_bytes(b.column(1))))
+        ids, at = Encoder.of(tokenizer).texts(*text_bytes(b.column(1)))
         flat = ids.astype(width)
         places = (at * flat.itemsize).astype(np.int32)
         column = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(places), pa.py_buffer(flat)])

@@ -101,10 +101,11 @@ def test_files_are_smaller_than_fixed_width(spark, data, tmp_path):
 
 def test_words_joined_for_the_library_keep_their_ids(monkeypatch):
     words = ["a", "don't", "x.y", "12", "é", "<|endoftext|>", "ś", "﷽", "'", "s", "…", "́", "\x02", "</w>", "i̇"] * 9
-    apart = [tokenfile.Encoder(PATH).tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    encoder = tokenfile.Encoder(PATH)
+    apart = [encoder.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
     for more in ([], ["a\x01", "\x01", "b"]):
         own = [*words, *more]
-        flat, size = tokenfile.Encoder(PATH)._ids([w.encode() for w in own])
+        flat, size = encoder._ids([w.encode() for w in own])
         cuts = np.r_[0, np.cumsum(size)]
         assert [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:])][: len(words)] == apart
         assert len(size) == len(own)
@@ -116,3 +117,13 @@ def test_a_batch_of_more_words_than_the_memo_holds(monkeypatch):
     plain = tokenfile.Encoder(PATH).encode(*buffers)[0]
     monkeypatch.setattr(tokenfile, "MEMO", 10)
     assert (tokenfile.Encoder(PATH).encode(*buffers)[0] == plain).all()
+
+
+def test_other_tokenizers_get_whole_texts(make):
+    """One that keeps case and white space, so that its words do not stand alone."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokenfile.Encoder(PATH).alone and not tokenfile.Encoder(path).alone
+    t = Tokenizer.from_file(path)
+    rows = [(1, "Hello World.  Two  spaces\n\nand more"), (2, ""), (3, " Ünï CÖDÉ 漢字. don't. "), (4, None)]
+    found = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in tokenfile.encoded(make(rows), path).collect()}
+    assert found == {i: [*t.encode(x or "", add_special_tokens=False).ids, tokenfile.END] for i, x in rows}
