@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import map_texts
+from .store import dropped, map_texts, written
 
 #: Edits allowed, as a part of an item's length.
 ERRORS = 0.05
@@ -170,9 +170,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Da
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """Documents without any benchmark item, all their columns and rows; a null id is kept."""
-    hit = matches(docs, benchmark, errors).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose own text holds no benchmark item, all columns kept; null ids and equal ids are rows like others.
+
+    Each block of items is one pass that filters in place: nothing is joined or shuffled. Between blocks the rows left
+    are written, so that a task holds one block's automaton at a time.
+    """
+    at = docs.columns.index("text")
+    sc = docs.sparkSession.sparkContext
+    out, staged = None, None
+    for block in _blocks(benchmark.select("item_id", "text")):
+        held = sc.broadcast(block)
+
+        def run(b: pa.RecordBatch, held=held, key=uuid.uuid4().hex) -> pa.RecordBatch:
+            matcher = Matcher.of(key, held.value, errors)
+            return b.filter(pa.array([not any(True for _ in matcher.find(normal(t))) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        if out is not None:
+            before, staged = staged, written(out, "decontaminated")
+            if before is not None:
+                dropped(before)
+        out = map_texts(docs if staged is None else staged, run, docs.schema, at)
+    return out
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

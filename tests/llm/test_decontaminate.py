@@ -75,6 +75,10 @@ def test_blocks_lose_nothing(spark, make, monkeypatch):
     whole = sorted(tuple(r) for r in X.matches(docs, bench).collect())
     monkeypatch.setattr(X, "BLOCK_CHARS", 100)
     assert sorted(tuple(r) for r in X.matches(docs, bench).collect()) == whole
+    more = docs.union(make([(100, "nothing of the kind"), (3, "the same id without an item"), (None, items[8][1]), (None, "no id")]))
+    left = sorted(r.text for r in X.clean(more, bench).collect())
+    assert left == ["no id", "nothing of the kind", "the same id without an item"]
+    assert X.clean(docs, bench.limit(0)).count() == len(items)
 
 
 def test_real_benchmark_and_odd_rows(spark, data, odd):
