@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontaminate, mixing, simhash, tokenfile, toxicity
+from tessella.llm import decontaminate, mixing, nearcopies, tokenfile, toxicity
 from tessella.llm.queries import TOKENIZER
 from tessella.llm.store import table, written
 
@@ -14,7 +14,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.clean(docs)
+    return nearcopies.clean(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,12 +252,3 @@ def digest(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, the fingerprint as 16 hexadecimal digits."""
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def clean(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, all columns kept; of rows with equal ids, one."""
-    found = written(near_duplicates(docs), "components")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("_n > 1").limit(1).count() else out
