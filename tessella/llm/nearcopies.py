@@ -145,7 +145,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, all columns kept; of rows with equal ids, one."""
+    """One row of each component of near copies, the one with the smallest id, all columns kept.
+
+    Null ids come last; rows with equal or null ids are rows like others, told apart by their texts.
+    """
     found = written(near_copies(docs), "components")
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = found.groupBy("root").agg(F.min(key).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h"))
+    marked = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    out = marked.join(first, same & (F.col("_text") == F.col("_h")), "left_semi")
+    copies = found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return (out.dropDuplicates(["doc_id", "_text"]) if copies else out).drop("_text")

@@ -61,3 +61,12 @@ def test_chains_and_edits_at_the_limit(make, monkeypatch):
 
 def test_empty_table(make):
     assert got(make([])) == []
+
+
+def test_rows_without_ids_and_with_equal_ids(make, odd):
+    text = lambda k: " ".join(f"k{k}x{i}" for i in range(30))
+    near = text(1) + " tail"
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (3, near), (7, text(0) + " end"), (None, text(2))]
+    left = sorted(r.text for r in X.clean(make(rows)).collect())
+    assert left == sorted([near, text(2), text(3), text(4), text(0) + " end"])
+    assert got(odd) == brute([(r.doc_id, r.text) for r in odd.collect()])
