@@ -5,11 +5,12 @@ error budget plus one pieces, an automaton finds all pieces in one pass over a t
 Myers' bit-parallel distance in the window that the piece's place allows.
 
 Benchmarks are stated query sets: items go to the tasks in blocks of at most BLOCK_CHARS characters, one pass over the
-documents for each block, so a benchmark of any size is searched whole.
+documents for each block, so a benchmark of any size is searched whole. Short items are searched as they stand.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -21,8 +22,10 @@ from .store import dropped, map_texts, written
 
 #: Edits allowed, as a part of an item's length.
 ERRORS = 0.05
-#: Shorter items, in normalised characters, would match by chance and are left out.
+#: Shorter items, in normalised characters, would match by chance with edits: they match without any, as whole words.
 SHORTEST = 25
+#: Scripts without spaces between words: Thai to Lao, Myanmar, Khmer, kana and ideographs.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
 BLOCK_CHARS = 16_000_000
 
 
@@ -71,13 +74,22 @@ def closest(at: dict[str, int], n: int, text: str) -> tuple[int, int]:
     return best
 
 
+def _of_word(ch: str) -> bool:
+    return (ch == "_" or ch.isalnum() or unicodedata.category(ch)[0] == "M") and not any(a <= ord(ch) <= b for a, b in UNSPACED)
+
+
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on over either end of a part of a text."""
+    return not any(0 < at < len(text) and _of_word(text[at - 1]) and _of_word(text[at]) for at in (start, end))
+
+
 class Matcher:
     """All items' pieces in one automaton."""
 
     def __init__(self, items: list[tuple[int, str]], errors: float = ERRORS):
         import ahocorasick
 
-        self.items = [(i, t, masks(t), budget(len(t), errors)) for i, t in items]
+        self.items = [(i, t, masks(t), budget(len(t), errors) if len(t) >= SHORTEST else 0) for i, t in items]
         own: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, _, e) in enumerate(self.items):
             for a, piece in pieces(t, e):
@@ -110,6 +122,8 @@ class Matcher:
                     continue
                 tried.add((k, start))
                 _, item, at, e = self.items[k]
+                if not e and not whole_words(text, start, last + 1):
+                    continue
                 low = max(0, start - e)
                 window = text[low : start + len(item) + e]
                 there = window.find(item)
@@ -120,12 +134,12 @@ class Matcher:
             yield self.items[k][0], distance, end
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, read one after the other."""
+def _blocks(benchmark: DataFrame, named: bool) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of bounded size, read one after the other; ``named``: only those with an id."""
     block, size = [], 0
     for r in benchmark.toLocalIterator():
         t = normal(r.text)
-        if len(t) < SHORTEST or r.item_id is None:
+        if not t or named and r.item_id is None:
             continue
         if block and size + len(t) > BLOCK_CHARS:
             yield block
@@ -138,15 +152,15 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
     """``(doc_id, item_id, distance, end)``: each document and item that occurs in it within its budget.
 
-    Case and white space do not count; ``end`` is a place in the normalised text. Null and empty texts, items under
-    SHORTEST characters and items without an id match nothing. Rows with equal ids are searched each. Other columns
+    Case and white space do not count; ``end`` is a place in the normalised text. Items under SHORTEST characters match
+    without edits, as whole words. Null and empty texts and items without an id, which no row could name, match nothing. Rows with equal ids are searched each. Other columns
     are left out; an empty benchmark matches nothing.
     """
     rows = docs.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
     sc = docs.sparkSession.sparkContext
     out = None
-    for block in _blocks(benchmark.select("item_id", "text")):
+    for block in _blocks(benchmark.select("item_id", "text"), True):
         held = sc.broadcast(block)
 
         def run(b: pa.RecordBatch, held=held, key=uuid.uuid4().hex) -> pa.RecordBatch | None:
@@ -170,7 +184,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Da
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """Rows whose own text holds no benchmark item, all columns kept; null ids and equal ids are rows like others.
+    """Rows whose own text holds no benchmark item, all columns kept; null ids and equal ids are rows like others, items without an id are items.
 
     Each block of items is one pass that filters in place: nothing is joined or shuffled. Between blocks the rows left
     are written, so that a task holds one block's automaton at a time.
@@ -178,7 +192,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Data
     at = docs.columns.index("text")
     sc = docs.sparkSession.sparkContext
     out, staged = None, None
-    for block in _blocks(benchmark.select("item_id", "text")):
+    for block in _blocks(benchmark.select("item_id", "text"), False):
         held = sc.broadcast(block)
 
         def run(b: pa.RecordBatch, held=held, key=uuid.uuid4().hex) -> pa.RecordBatch:

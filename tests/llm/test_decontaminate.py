@@ -90,3 +90,14 @@ def test_real_benchmark_and_odd_rows(spark, data, odd):
     assert X.digest(odd, bench).count() == 0
     assert X.digest(docs, bench.limit(0)).count() == 0 and X.digest(docs.limit(0), bench).count() == 0
     assert X.clean(odd, bench).count() == odd.count()
+
+
+def test_short_items_and_items_without_id(spark, make):
+    items = [(1, "Who wrote  Emma?"), (2, "art"), (3, "日本の首都は?"), (None, "an item of the benchmark without an id"), (4, " "), (None, "who am i")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, "so: who wrote\nemma? she"), (2, "who wrote emmas"), (3, "a party, state of"), (4, "a party, art."), (5, "問い:日本の首都は?東京"),
+        (6, "here is an item of the benchmark without an id too"), (7, "who wrot emma?"), (8, "(Who am I)"), (9, ""), (10, None),
+    ]
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in X.matches(make(rows), bench).collect()) == [(1, 1, 0), (4, 2, 0), (5, 3, 0)]
+    assert sorted(r.doc_id for r in X.clean(make(rows), bench).collect()) == [2, 3, 7, 9, 10]
