@@ -1,7 +1,8 @@
 """Context-triggered piecewise hashing: fingerprints of texts, and their likeness.
 
 A rolling hash over the last WINDOW bytes ends a piece wherever its low bits are zero, and each piece gives one
-character. The block size, a power of two, follows from the length so that a fingerprint has at most SPAN characters.
+character. The block size, a power of two, follows from the length so that a fingerprint has about SPAN characters; it
+has more where repetitive text ends more pieces, since the pieces always cover the whole text.
 A fingerprint is ``block:pieces:pieces at twice the block``; two are compared by edit distance where their block sizes
 are equal or one step apart.
 """
@@ -56,7 +57,7 @@ def fingerprints(texts: list[bytes]) -> list[str]:
     prefix = W.prefix_hash(data)
 
     def pieces(s: int, cuts: np.ndarray, n: int) -> str:
-        ends = np.unique(np.append(cuts[: SPAN - 1], n - 1)) + 1 + s
+        ends = np.unique(np.append(cuts, n - 1)) + 1 + s
         hashed = W.span_hash(prefix, np.r_[s, ends[:-1]], ends)
         return ALPHABET[(hashed >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 

@@ -67,3 +67,12 @@ def test_likeness():
     assert X.likeness("0::", "0::") == 1.0 and X.likeness("0::", a) == 0.0
     assert X.likeness("8:ABCDEF:GHIJKL", "16:GHIJKL:XYZ") == 1.0
     assert X.fingerprints([text, b"", text])[0::2] == [a, a]
+
+
+def test_pieces_cover_repetitive_texts():
+    rng = random.Random(5)
+    cut = lambda t: X.fingerprints([t.encode()])[0].split(":")
+    lines = [t for _ in range(400) if len(cut(t := ("".join(rng.choice("klmnopqrs ") for _ in range(12)) + "\n") * 700)[1]) > X.SPAN]
+    a, b, c = [t for t in lines if cut(t)[0] == cut(lines[0])[0]][:3]
+    own, end, start = X.fingerprints([(a[:6700] + b[:2300]).encode(), (a[:6700] + c[:2300]).encode(), (c[:2300] + a[2300:6700] + b[:2300]).encode()])
+    assert X.likeness(own, end) < 0.95 and 0.5 < X.likeness(own, start) < 1
