@@ -254,9 +254,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
             f"WITH {COUNTS} SELECT term, count(*) AS df FROM counts GROUP BY 1 ORDER BY df DESC, term LIMIT 20",
         ),
         "empty_docs": (
-            lambda s, d: text_index.documents_without_terms(
-                docs(s, d), X.term_counts(table(s, d, "documents").where(F.length("text") > 40), stemmed=False)
-            ),
+            lambda s, d: text_index.documents_without_terms(docs(s, d), raw_counts(s, d)),
             f"WITH {COUNTS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT c.doc_id FROM counts c JOIN documents d ON c.doc_id = d.doc_id WHERE length(d.text) > 40)",
         ),
         "labels_needed": (

@@ -30,3 +30,9 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_empty_docs_are_those_without_terms(spark, tmp_path):
+    rows = [(1, "short"), (2, ""), (3, None), (4, " \n–!"), (5, "a text of over forty characters, with terms")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in REGISTRY["empty_docs"][0](spark, str(tmp_path)).collect()) == [2, 3, 4]
