@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -86,8 +86,11 @@ def _groups(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "node", "n"])
 
     met = map_texts(rows.select("text"), run, "s long, node long, n int", 0)
+    # The window deals the rows once, as they are; groups are gathered only where sets meet, without another shuffle.
+    own = Window.partitionBy("s")
+    met = met.withColumn("x", F.min("node").over(own)).withColumn("y", F.max("node").over(own)).where("x < y")
     grouped = met.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("members"))
-    return grouped.where(F.size("members") > 1).select("members").distinct()
+    return grouped.select("members").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
