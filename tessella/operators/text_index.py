@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import columns, fresh, written
+
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
     """``(term, df)``: how many documents have the term. Partial counts are made before the shuffle."""
@@ -64,18 +66,18 @@ def labels_needed(counts: DataFrame, occurrences: dict[str, int]) -> DataFrame:
 def dense_ids(df: DataFrame, *order: Column, start: int = 0, name: str = "doc_id") -> DataFrame:
     """Number rows from ``start`` in an order, without taking all rows through one task.
 
-    Rows are range partitioned and sorted; only the row count of each partition, as many as there are partitions,
-    goes to the driver.
+    Rows are range partitioned, sorted, and written once with their partition and place. Counts and numbers both come
+    from that table, so they agree whatever bounds were drawn. Equal rows are numbered in any one order. The counts are as
+    many as there are partitions, which bounds the broadcast. A column called ``name`` is replaced.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    sizes = dict(numbered.groupBy(part.alias("p")).count().collect())
-    shift, total = [], start
-    for p in sorted(sizes):
-        shift += [F.lit(p), F.lit(total)]
-        total += sizes[p]
-    if not shift:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.withColumn(name, F.create_map(*shift)[part] + within).drop("_at")
+    df = df.drop(name)
+    at, part, shift = (fresh(df, c) for c in ("_at", "_part", "_shift"))
+    place = F.monotonically_increasing_id()
+    staged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, place), "numbered")
+    cut = staged.withColumn(part, F.shiftright(at, 33))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    shifts = sizes.select(part, (F.coalesce(F.sum("n").over(before), F.lit(0)) + F.lit(start)).alias(shift))
+    within = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = cut.join(F.broadcast(shifts), part).withColumn(name, (F.col(shift) + within).cast("long"))
+    return numbered.select(*columns(df), name)

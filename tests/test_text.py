@@ -58,3 +58,20 @@ def test_extra_columns_are_ignored(spark):
     for stemmed in (True, False):
         assert [tuple(r) for r in X.term_counts(df, stemmed=stemmed).collect()] == [(1, "b", 2)]
         assert X.term_counts(df.where(F.lit(False)), stemmed=stemmed).count() == 0
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_dense_ids_of_more_rows_than_the_range_sampler_reads(spark, coalesce):
+    from tessella.operators.text_index import dense_ids
+
+    n = 3_000_000
+    keys = spark.range(n).select((F.col("id") * 7919 % n).alias("key"), F.lit("x").alias("_at"), F.lit(1).alias("_PART"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        out = dense_ids(keys, F.desc("key"))
+        assert out.columns == ["key", "_at", "_PART", "doc_id"]
+        low, high, kinds, wrong = out.agg(F.min("doc_id"), F.max("doc_id"), F.count_distinct("doc_id"), F.count_if(F.col("doc_id") != n - 1 - F.col("key"))).first()
+        assert (low, high, kinds, wrong) == (0, n - 1, n, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dense_ids(keys.limit(0), F.col("key")).count() == 0
