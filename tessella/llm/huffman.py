@@ -8,6 +8,8 @@ import numpy as np
 LIMIT = 20
 #: Ids between two checkpoints.
 STRIDE = 256
+#: Ids of a block that are worked on at once, a multiple of STRIDE.
+CHUNK = 1 << 20
 
 
 def lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -65,26 +67,48 @@ def table(size: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]
 
 
 def pack(ids: np.ndarray, code: np.ndarray, size: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Bits of a block, and the bit offset of each STRIDE-th id."""
-    n = size[ids].astype(np.int64)
-    at = np.cumsum(n) - n
-    word, shift = at >> 5, at & 31
-    wide = code[ids] << (64 - n - shift).astype(np.uint64)
-    total = int(at[-1] + n[-1]) if len(ids) else 0
-    cells = (total + 31) // 32 + 1
-    # Codes share no bits, so their sum is their union; sums stay below 2 ** 32 and are exact in doubles.
-    out = np.bincount(word, (wide >> np.uint64(32)).astype(np.float64), cells)
-    out[1:] += np.bincount(word, (wide & np.uint64(0xFFFFFFFF)).astype(np.float64), cells)[:-1]
-    return out.astype(">u4").tobytes()[: (total + 7) // 8], at[::STRIDE].astype(np.int32)
+    """Bits of a block, and the bit offset of each STRIDE-th id. Long blocks are worked on CHUNK ids at a time."""
+    done, marks, cells, rest = 0, [], [], 0
+    for i in range(0, len(ids), CHUNK):
+        own = ids[i : i + CHUNK].astype(np.int64)
+        n = size[own].astype(np.int64)
+        at = done + np.cumsum(n) - n
+        marks.append(at[::STRIDE])
+        base = done >> 5
+        word, shift = (at >> 5) - base, at & 31
+        wide = code[own] << (64 - n - shift).astype(np.uint64)
+        done = int(at[-1] + n[-1])
+        count = (done >> 5) - base + 2
+        # Codes share no bits, so their sum is their union; sums stay below 2 ** 32 and are exact in doubles.
+        out = np.bincount(word, (wide >> np.uint64(32)).astype(np.float64), count)
+        out[1:] += np.bincount(word, (wide & np.uint64(0xFFFFFFFF)).astype(np.float64), count)[:-1]
+        out[0] += rest
+        keep = (done >> 5) - base
+        cells.append(out[:keep].astype(">u4"))
+        rest = out[keep]
+    cells.append(np.array([rest], ">u4"))
+    return b"".join(c.tobytes() for c in cells)[: (done + 7) // 8], np.concatenate(marks) if marks else np.zeros(0, np.int64)
 
 
 def unpack(data: bytes, starts: np.ndarray, wanted: np.ndarray, decoding: tuple[np.ndarray, np.ndarray], limit: int = LIMIT) -> np.ndarray:
-    """Ids from several places at once: ``wanted`` ids from each bit offset, all lanes a step at a time."""
-    raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
+    """Ids from several places at once: ``wanted`` ids from each bit offset, many lanes a step at a time."""
+    lanes = CHUNK // STRIDE
+    whole = np.frombuffer(data, np.uint8)
+    parts = []
+    for i in range(0, len(starts), lanes):
+        own, n = starts[i : i + lanes].astype(np.int64), wanted[i : i + lanes]
+        low = int(own[0]) >> 3
+        high = (int(starts[i + lanes]) >> 3) + 8 if i + lanes < len(starts) else len(whole)
+        parts.append(_lanes(whole[low:high], own - 8 * low, n, decoding, limit))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def _lanes(data: np.ndarray, at: np.ndarray, wanted: np.ndarray, decoding: tuple[np.ndarray, np.ndarray], limit: int) -> np.ndarray:
+    raw = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint32)
     window = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
     ids, bits = decoding
-    at = starts.astype(np.int64)
-    out = np.zeros((len(starts), int(wanted.max()) if len(wanted) else 0), np.uint32)
+    at = at.copy()
+    out = np.zeros((len(at), int(wanted.max()) if len(wanted) else 0), np.uint32)
     mask = (1 << limit) - 1
     for step in range(out.shape[1]):
         key = window[np.minimum(at >> 3, len(window) - 1)].astype(np.int64) >> (32 - limit - (at & 7)) & mask

@@ -1,53 +1,20 @@
-"""Tables between the steps of an operator, in the folder that all executors share."""
+"""Texts in tasks: bounded batches and slices; tables between steps come from the library's staging module."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..staging import columns, dropped, fresh, shared_folder, written  # noqa: F401
+
 #: Bytes of Arrow data handed to a Python worker at once, and of text that is worked on at once.
 BATCH_BYTES = 8 << 20
 SLICE_BYTES = 1 << 19
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; on a local master without that setting, a folder of its own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """The same rows, written as Parquet to the shared folder and read again: no lineage, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    # Shuffle files go when the driver's garbage does; what made this table is garbage now.
-    gc.collect()
-    spark._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessella_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._tessella_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Bound what a Python worker gets at once by bytes, so long texts do not add up."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -93,3 +60,10 @@ def map_texts(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | No
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type that a column reaches Python with, whatever its type."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)

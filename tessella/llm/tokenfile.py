@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import huffman as H
 from . import words as W
-from .store import bounded_batches, dropped, map_texts, shared_folder, text_bytes, written
+from .store import SLICE_BYTES, arrow_type, bounded_batches, dropped, map_texts, shared_folder, text_bytes, written
 
 END = 2
 #: Ids of a block, unless one document has more.
@@ -93,6 +93,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
         self.separator = self._separator()
         self.clear()
 
@@ -109,25 +110,27 @@ class Encoder:
         return alone[0] if len(alone) == 1 and ids(f"a {SEPARATOR} a") == [*word, *alone, *word] else None
 
     def clear(self, words: int = 0) -> None:
-        """An empty memo: an open-addressed table of words by hash, with their first bytes and length as a check.
+        """An empty memo: an open-addressed table of words, told apart by all their bytes and their length.
 
         It has room for MEMO words, or for those of a batch that has more.
         """
-        cells = 1 << (2 * max(MEMO, words)).bit_length()
+        self.room = max(MEMO, words)
+        cells = 1 << (2 * self.room).bit_length()
         self.mask = np.uint64(cells - 1)
-        self.hashes, self.heads = np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
         self.slot = np.full(cells, -1, np.int32)
+        self.known = np.zeros((4, 1 << 12), np.uint64)
+        self.words = 0
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _seek(self, hashed: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _seek(self, hashed: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The memo's number of each word, -1 for an unknown one, and the cell where it is or would go."""
         cell = (hashed & self.mask).astype(np.int64)
         open_ = np.arange(len(hashed))
         while len(open_):
-            c = cell[open_]
-            taken = (self.slot[c] >= 0) & ((self.hashes[c] != hashed[open_]) | (self.heads[c] != heads[open_]))
-            open_ = open_[taken]
+            number = self.slot[cell[open_]]
+            other = (number >= 0) & (self.known[:, number] != word[:, open_]).any(0)
+            open_ = open_[other]
             cell[open_] = (cell[open_] + 1) & int(self.mask)
         return self.slot[cell], cell
 
@@ -143,63 +146,90 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
 
-    def _learn(self, hashed: np.ndarray, heads: np.ndarray, words: list[bytes]) -> None:
-        """Encode words, each once, and remember them."""
+    def _learn(self, hashed: np.ndarray, word: np.ndarray, words: list[bytes]) -> None:
+        """Encode words whose hashes differ, each once, and remember them."""
         flat, size = self._ids(words)
-        numbers = np.arange(len(self.size), len(self.size) + len(words), dtype=np.int32)
-        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        first, after = self.words, self.words + len(words)
+        if after > len(self.size):
+            room = 2 * after
+            self.start, self.size = (np.concatenate([x[:first], np.zeros(room - first, np.int64)]) for x in (self.start, self.size))
+            self.known = np.concatenate([self.known[:, :first], np.zeros((4, room - first), np.uint64)], 1)
+        self.known[:, first:after] = word
+        self.start[first:after], self.size[first:after] = self.used + np.cumsum(size) - size, size
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(flat), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        self.words = after
         left = np.arange(len(words))
         while len(left):
-            _, cell = self._seek(hashed[left], heads[left])
-            _, first = np.unique(cell, return_index=True)
-            put, c = left[first], cell[first]
-            self.hashes[c], self.heads[c], self.slot[c] = hashed[put], heads[put], numbers[put]
-            left = np.delete(left, first)
+            _, cell = self._seek(hashed[left], word[:, left])
+            _, one = np.unique(cell, return_index=True)
+            self.slot[cell[one]] = (first + left[one]).astype(np.int32)
+            left = np.delete(left, one)
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with the end id last, and the n + 1 offsets of the texts in them."""
-        if self.alone:
-            return self.encode(*folded(data, offsets))
-        raw = data.tobytes()
-        whole = [raw[s:e].decode() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        found = [[*e.ids, END] for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        flat = np.array([i for x in found for i in x], np.uint32)
-        return flat, np.cumsum([0, *map(len, found)])
+        """Ids of all texts, each with the end id last, and the n + 1 offsets of the texts in them.
+
+        Where words stand alone, a long text is worked on in pieces that end between words.
+        """
+        if not self.alone:
+            raw = data.tobytes()
+            whole = [raw[s:e].decode() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            found = [[*e.ids, END] for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.uint32), np.cumsum([0, *map(len, found)])
+        if len(offsets) > 2 or len(data) <= 2 * SLICE_BYTES:
+            ids, ends = self.encode(*folded(data, offsets))
+            return np.insert(ids, ends[1:], np.uint32(END)), ends + np.arange(len(ends))
+        at = W.cuts(data, SLICE_BYTES)
+        parts = [self.encode(*folded(data[a:b], np.array([0, b - a])))[0].astype(self.kind) for a, b in zip(at, at[1:])]
+        ids = np.concatenate([*parts, np.array([END], self.kind)])
+        return ids, np.array([0, len(ids)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same word by word, for texts whose words stand alone.
+        """Ids of texts word by word, without end ids, and the n + 1 offsets of the texts in them.
 
-        The memo knows a word by a 64-bit hash, its first eight bytes and its length.
+        Words of up to HEAD bytes are looked up by these bytes; longer ones are encoded once a batch.
         """
         start, end, first = W.find(data, offsets)
-        hashed = W.span_hash(W.prefix_hash(data), start, end) if len(start) else np.zeros(0, np.uint64)
-        raw = data.tobytes() + bytes(8)
-        ahead = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))[start]
-        length = (end - start).astype(np.uint64)
-        cut = np.uint64(64) - np.minimum(length, np.uint64(8)) * np.uint64(8)
-        heads = (ahead << cut) ^ (length * np.uint64(0x9E3779B97F4A7C15))
-        number, _ = self._seek(hashed, heads)
-        if (number < 0).any():
-            unknown = np.flatnonzero(number < 0)
-            _, one = np.unique(hashed[unknown] ^ W.mix(heads[unknown]), return_index=True)
-            if len(self.size) + len(one) > MEMO:
-                unknown = np.arange(len(start))
-                _, one = np.unique(hashed ^ W.mix(heads), return_index=True)
-                self.clear(len(one))
+        n = end - start
+        raw = data.tobytes()
+        cut = lambda at: [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist())]
+        long = np.flatnonzero(n > W.HEAD)
+        short = np.flatnonzero(n <= W.HEAD)
+        parts = W.heads(data, start[short], end[short])
+        hashed, word = W.head_hash(parts, n[short]), np.stack([*parts, n[short].astype(np.uint64)])
+        number, _ = self._seek(hashed, word)
+        while len(unknown := np.flatnonzero(number < 0)):
+            _, one = np.unique(hashed[unknown], return_index=True)
+            if self.words + len(one) > self.room:
+                self.clear(len(short))
+                number = np.full(len(short), -1)
+                continue
             new = unknown[one]
-            self._learn(hashed[new], heads[new], [raw[s:e] for s, e in zip(start[new].tolist(), end[new].tolist())])
-            number, _ = self._seek(hashed, heads)
-        size = self.size[number]
+            self._learn(hashed[new], word[:, new], cut(short[new]))
+            number, _ = self._seek(hashed, word)
+        size = np.zeros(len(start), np.int64)
+        size[short] = self.size[number]
+        if len(long):
+            whole = cut(long)
+            rare = {w: i for i, w in enumerate(dict.fromkeys(whole))}
+            flat, each = self._ids(list(rare))
+            of = np.array([rare[w] for w in whole])
+            begin = np.cumsum(each) - each
+            size[long] = each[of]
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.start[number] - (ends - size), size) + np.arange(total)]
-        cuts = np.r_[0, ends][first]
-        return np.insert(ids, cuts[1:], np.uint32(END)), cuts + np.arange(len(cuts))
+        ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+
+        def place(at: np.ndarray, source: np.ndarray, begin: np.ndarray) -> None:
+            k = size[at]
+            inside = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            ids[np.repeat((ends - size)[at], k) + inside] = source[np.repeat(begin, k) + inside]
+
+        place(short, self.pool, self.start[number])
+        if len(long):
+            place(long, flat, begin[of])
+        return ids, np.r_[0, ends][first]
 
 
 def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,7 +248,7 @@ def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
 
 def _width(tokenizer: str) -> str:
-    return "<u2" if Encoder.of(tokenizer).vocabulary <= 1 << 16 else "<u4"
+    return Encoder.of(tokenizer).kind
 
 
 def _counts(ids: DataFrame, width: str, vocabulary: int) -> np.ndarray:
@@ -227,7 +257,9 @@ def _counts(ids: DataFrame, width: str, vocabulary: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), width), minlength=vocabulary)
+            _, at, blob = b.column(0).buffers()
+            at = np.frombuffer(at, np.int32)[b.column(0).offset :][: b.num_rows + 1]
+            total += np.bincount(np.frombuffer(blob or b"", np.uint8)[at[0] : at[-1]].view(width), minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
@@ -238,7 +270,10 @@ def _counts(ids: DataFrame, width: str, vocabulary: int) -> np.ndarray:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write the files of all documents. Null texts are empty; rows with equal ids are ordered by their tokens."""
+    """Write the files of all documents. Null texts are empty; null ids come first; rows with equal ids are ordered by their tokens.
+
+    Ids may be of any type that sorts; other columns are left out; an empty table has codes and blocks without rows.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     width = _width(tokenizer)
@@ -250,11 +285,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
 
     def block(shard: int, number: int, first: int, rows: list) -> dict:
         ids = np.concatenate([x for _, x in rows])
-        payload, marks = H.pack(ids.astype(np.int64), *held.value)
+        payload, marks = H.pack(ids, *held.value)
         return {"shard": shard, "block": number, "first": first, "n": len(ids), "doc_ids": [i for i, _ in rows], "doc_n": [len(x) for _, x in rows], "marks": marks.tolist(), "payload": payload}
 
     kind = dict(staged.dtypes)["doc_id"]
-    arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string())), ("doc_n", pa.list_(pa.int64())), ("marks", pa.list_(pa.int32())), ("payload", pa.binary())])
+    arrow = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(arrow_type(staged, "doc_id"))), ("doc_n", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, first, rows, held_ids = TaskContext.get().partitionId(), 0, 0, [], 0
@@ -271,7 +306,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
 
     # Range partitions ascend with the id; the range bounds come from a sample of the staged table's ids.
     ordered = staged.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    blocks = ordered.mapInArrow(code, f"shard int, block int, first long, n long, doc_ids array<{kind}>, doc_n array<long>, marks array<int>, payload binary")
+    blocks = ordered.mapInArrow(code, f"shard int, block int, first long, n long, doc_ids array<{kind}>, doc_n array<long>, marks array<long>, payload binary")
     blocks.write.parquet(f"{path}/blocks")
     dropped(staged)
 
@@ -309,10 +344,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of files written to the shared folder and read back."""
+    """``(doc_id, start, n_tokens, ids_crc32)`` of files written to the shared folder and read back.
+
+    Every row of the table is a document, null and empty texts too (the end id alone); equal ids stay separate rows.
+    """
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write(docs, path, tokenizer)
     return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: Words are runs of bytes other than space and 9 to 13; in UTF-8 that is the same as for code points.
 IS_GAP = np.zeros(256, bool)
@@ -44,6 +45,44 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * _GRAM)
 
 
+#: Bytes of a word that are compared as numbers; longer words are told apart by a hash of all bytes.
+HEAD = 24
+_PART = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def heads(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """The first HEAD bytes of each span as three numbers, zeros beyond its end: with the length, the word itself up to HEAD."""
+    raw = data.tobytes() + bytes(HEAD)
+    ahead = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    n = end - start
+    out = [ahead[start] & _PART[np.minimum(n, 8)]]
+    for skip in (8, 16):
+        part = np.zeros(len(start), np.uint64)
+        some = np.flatnonzero(n > skip)
+        part[some] = ahead[start[some] + skip] & _PART[np.minimum(n[some] - skip, 8)]
+        out.append(part)
+    return out
+
+
+def head_hash(parts: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """One number from the parts and the length."""
+    out = mix(parts[0] + n.astype(np.uint64) * _GRAM)
+    for i, part in enumerate(parts[1:], 1):
+        some = np.flatnonzero(n > 8 * i)
+        out[some] = mix(out[some] ^ part[some] * _BASE)
+    return out
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word: by its bytes as numbers, XXH3 over all of them where it is long."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    out = head_hash(heads(data, start, end), end - start)
+    for i in np.flatnonzero(end - start > HEAD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
 def find(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the first word of each text (n + 1 entries)."""
     if not len(data):
@@ -63,6 +102,19 @@ def find(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(start, offsets)
 
 
+def cuts(data: np.ndarray, size: int) -> list[int]:
+    """Places, from 0 to the end, that part a text at gaps into pieces of about ``size`` bytes; words stay whole."""
+    out, at = [0], size
+    while at < len(data):
+        gaps = IS_GAP[data[at : at + size]]
+        where = int(gaps.argmax())
+        if gaps[where]:
+            out.append(at + where)
+            at += where
+        at += size
+    return out + [len(data)] if len(data) or len(out) > 1 else [0, 0]
+
+
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` words, from the words' hashes."""
     count = len(words) - n + 1

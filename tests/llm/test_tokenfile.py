@@ -127,3 +127,54 @@ def test_other_tokenizers_get_whole_texts(make):
     rows = [(1, "Hello World.  Two  spaces\n\nand more"), (2, ""), (3, " Ünï CÖDÉ 漢字. don't. "), (4, None)]
     found = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in tokenfile.encoded(make(rows), path).collect()}
     assert found == {i: [*t.encode(x or "", add_special_tokens=False).ids, tokenfile.END] for i, x in rows}
+
+
+def _thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(make):
+    one = _thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, "q" * 8 + one), (2, "q" * 8 + two), (3, one), (4, two), (5, f"{one} {two} {one}"), (6, "a\x00 a a\x00\x00"), (7, "abcdefghijklmnopqrstuvwx abcdefghijklmnopqrstuvwy abcdefghijklmnopqrstuvwxy")]
+    assert got(make(rows)) == want(rows)
+
+
+def test_memo_finds_words_of_equal_hash(monkeypatch):
+    from tessella.llm import words
+
+    text = " ".join(f"w{i % 90}" for i in range(500)).encode()
+    buffers = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    plain = tokenfile.Encoder(PATH).encode(*buffers)[0]
+    monkeypatch.setattr(words, "head_hash", lambda parts, n: parts[0] % np.uint64(3))
+    assert (tokenfile.Encoder(PATH).encode(*buffers)[0] == plain).all()
+
+
+def test_long_texts_go_in_pieces(make, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(1, " ".join(f"W{x}, a{x % 7}." for x in rng.integers(0, 5000, 30_000))), (2, "z" * 700_000), (3, " " * 1_100_000 + "end")]
+    monkeypatch.setattr(tokenfile, "SLICE_BYTES", 1000)
+    encoder = tokenfile.Encoder(PATH)
+    for _, text in rows[::2]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        found, at = encoder.texts(raw, np.array([0, len(raw)]))
+        assert found.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, tokenfile.END] and at.tolist() == [0, len(found)]
+    assert got(make(rows)) == want(rows)
+
+
+def test_chunks_of_a_block(monkeypatch):
+    monkeypatch.setattr(H, "CHUNK", 512)
+    rng = np.random.default_rng(3)
+    for n in (511, 512, 513, 5000):
+        ids = (rng.pareto(1.0, n) * 3).astype(np.int64) % 400
+        size = H.lengths(np.bincount(ids, minlength=400))
+        data, marks = H.pack(ids, H.codes(size), size)
+        bits = "".join(f"{int(H.codes(size)[i]):0{int(size[i])}b}" for i in ids)
+        assert data == bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+        wanted = np.minimum(H.STRIDE, n - H.STRIDE * np.arange(len(marks)))
+        assert (H.unpack(data, marks, wanted, H.table(size)) == ids).all()
+
+
+def test_ids_of_other_types(make):
+    rows = tokenfile.digest(make([(2, "b c"), (10, "a")]).withColumn("doc_id", F.col("doc_id").cast("string")), PATH).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in rows) == [("10", 0, 2), ("2", 2, 3)]
