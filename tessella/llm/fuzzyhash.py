@@ -14,11 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
-from .store import SLICE_BYTES, bounded_batches
+from .store import SLICE_BYTES, arrow_type, bounded_batches
 
 WINDOW = 7
 SPAN = 64
@@ -28,7 +30,10 @@ COMMON = 4
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 #: Rows of a bucket of consecutive ids.
 BUCKET = 4000
-MOST_BUCKETS = 1 << 14
+#: Buckets at most, which bounds the bounds that go to the tasks; beyond, buckets grow, and their sorts spill.
+MOST_BUCKETS = 1 << 17
+#: Ids that are sampled for each bucket.
+SAMPLED = 32
 
 _ROLL = np.uint32(0x85EBCA6B)
 
@@ -122,29 +127,29 @@ def likeness(a: str, b: str) -> float:
 def with_next(rows: DataFrame) -> DataFrame:
     """``(bucket, guest, doc_id, text)``, partitioned and sorted so that each row is followed by the next document's.
 
-    Ids are dealt into buckets between quantiles that are ids themselves. The first rows of a bucket are also guests at
-    the end of the bucket before, and the first of all at the end of the last, so no row needs another bucket.
+    Ids of any type that sorts are dealt into buckets between ids that a sort over a sample of them found. The first rows of
+    a bucket are also guests at the end of the bucket before, and the first of all at the end of the last, so no row
+    needs another bucket.
     """
     n, low = rows.agg(F.count(F.lit(1)), F.min("doc_id")).first()
     buckets = min(MOST_BUCKETS, max(1, n // BUCKET))
-    bounds: list[int] = []
-    if buckets > 1:
-        cuts = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", cuts, max(10_000, 10 * buckets))).first()[0]) - {low})
+    bounds = _bounds(rows.where("doc_id IS NOT NULL").select("doc_id"), n, buckets, low)
     nulls = rows.where("doc_id IS NULL").limit(1).count() > 0
-    bits = len(bounds).bit_length()
-    kind = dict(rows.dtypes)["doc_id"]
-    padded = F.array(*[F.lit(b) for b in bounds], *[F.lit(None)] * ((1 << bits) - 1 - len(bounds))).cast(f"array<{kind}>")
+    kind = rows.schema["doc_id"].dataType
+    # Bounds that are in the plan once, as a table of one row.
+    held = rows.sparkSession.createDataFrame([(i + 1, b) for i, b in enumerate(bounds)], T.StructType([T.StructField("no", T.IntegerType()), T.StructField("bound", kind)]))
+    sorted_ = held.agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "bound"))), lambda x: x.bound).alias("bounds"))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
     # A binary search in the bounds: how many are not above the id. Null counts as below all.
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(bits))])
-    reach = lambda at, step: F.coalesce(F.element_at(padded, at + step) <= F.col("doc_id"), F.lit(False))
+    reach = lambda at, step: F.coalesce(F.get("bounds", at + step - 1) <= F.col("doc_id"), F.lit(False))
     own = F.aggregate(steps, F.lit(0), lambda at, step: F.when(reach(at, step), at + step).otherwise(at)) if bounds else F.lit(0)
     first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(low)
-    is_bound = F.coalesce(F.element_at(padded, F.col("own")) == F.col("doc_id"), F.lit(False)) if bounds else F.lit(False)
+    is_bound = F.coalesce(F.get("bounds", F.col("own") - 1) == F.col("doc_id"), F.lit(False))
     before = F.when(first, F.lit(len(bounds))).when(F.col("own") > 0, F.when(is_bound, F.col("own") - 1))
     places = F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("guest")))
     dealt = (
-        rows.withColumn("own", own)
+        rows.withColumn("bounds", sorted_.scalar())
+        .withColumn("own", own)
         .withColumn("before", before)
         .select(F.explode(F.filter(places, lambda p: p.bucket.isNotNull())).alias("p"), "doc_id", "text")
         .select("p.bucket", "p.guest", "doc_id", "text")
@@ -152,18 +157,29 @@ def with_next(rows: DataFrame) -> DataFrame:
     return dealt.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
 
 
+def _bounds(ids: DataFrame, n: int, buckets: int, low) -> list:
+    """Ids that part the table into about ``buckets`` equal parts, ascending, without the lowest."""
+    if buckets < 2:
+        return []
+    sample = ids.sample(min(1.0, SAMPLED * buckets / n), 1).toArrow().column(0)
+    found = sample.take(pc.sort_indices(sample)).to_pylist()
+    at = [len(found) * i // buckets for i in range(1, buckets)]
+    return sorted({found[i] for i in at if found} - {low})
+
+
 def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document with its fingerprint, that of its edited text, and their likenesses.
 
     The edited text ends in the start of the next document's, by ascending id, in place of its last quarter; after the
     last document comes the first. Null texts are empty; null ids come first; rows with equal ids follow each other by
-    text. A single document is its own next one. Other columns are left out.
+    text. A single document is its own next one; an empty table gives no rows. Ids may be of any type that sorts. Other
+    columns are left out.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = with_next(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     kind = dict(rows.dtypes)["doc_id"]
-    arrow = pa.schema([("doc_id", {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.string())), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    arrow = pa.schema([("doc_id", arrow_type(docs, doc_id)), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def work(held: list[tuple]) -> pa.RecordBatch | None:
         """Rows of what is held but the last, each with the row after it if that is in its bucket."""

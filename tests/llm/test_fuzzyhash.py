@@ -76,3 +76,16 @@ def test_pieces_cover_repetitive_texts():
     a, b, c = [t for t in lines if cut(t)[0] == cut(lines[0])[0]][:3]
     own, end, start = X.fingerprints([(a[:6700] + b[:2300]).encode(), (a[:6700] + c[:2300]).encode(), (c[:2300] + a[2300:6700] + b[:2300]).encode()])
     assert X.likeness(own, end) < 0.95 and 0.5 < X.likeness(own, start) < 1
+
+
+def test_ids_of_other_types_in_many_buckets(make, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i} " * (i % 9)) for i in range(300)]
+    named = make(rows).withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    plain = sorted(tuple(r)[1:] for r in X.compared(make(rows)).collect())
+    for size in (4000, 20):
+        monkeypatch.setattr(X, "BUCKET", size)
+        assert sorted(tuple(r)[1:] for r in X.compared(named).collect()) == plain
+        assert sorted(tuple(r)[1:] for r in X.compared(make(rows)).collect()) == plain
+    assert X.with_next(make(rows).select("doc_id", "text")).select("bucket").distinct().count() > 8
