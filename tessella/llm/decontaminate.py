@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import dropped, map_texts, written
+from .store import arrow_type, dropped, map_texts, written
 
 #: Edits allowed, as a part of an item's length.
 ERRORS = 0.05
@@ -157,7 +157,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Da
     are left out; an empty benchmark matches nothing.
     """
     rows = docs.select("doc_id", "text")
-    kind = dict(rows.dtypes)["doc_id"]
+    kind, of = dict(rows.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
+    named = arrow_type(benchmark, "item_id")
     sc = docs.sparkSession.sparkContext
     out = None
     for block in _blocks(benchmark.select("item_id", "text"), True):
@@ -174,11 +175,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Da
                 return None
             item, distance, end = zip(*found)
             return pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at)), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(end, pa.int64())],
+                [b.column(0).take(pa.array(at)), pa.array(item, named), pa.array(distance, pa.int32()), pa.array(end, pa.int64())],
                 ["doc_id", "item_id", "distance", "end"],
             )
 
-        found = map_texts(rows, run, f"doc_id {kind}, item_id long, distance int, end long", 1)
+        found = map_texts(rows, run, f"doc_id {kind}, item_id {of}, distance int, end long", 1)
         out = found if out is None else out.union(found)
     return out
 

@@ -101,3 +101,9 @@ def test_short_items_and_items_without_id(spark, make):
     ]
     assert sorted((r.doc_id, r.item_id, r.distance) for r in X.matches(make(rows), bench).collect()) == [(1, 1, 0), (4, 2, 0), (5, 3, 0)]
     assert sorted(r.doc_id for r in X.clean(make(rows), bench).collect()) == [2, 3, 7, 9, 10]
+
+
+def test_items_named_by_strings(spark, make):
+    bench = spark.createDataFrame([("q1", "what is the capital of the country in the south"), (None, "art")], "item_id string, text string")
+    out = X.digest(make([(1, "so what is the capital of the country in the south?"), (2, "art")]), bench).collect()
+    assert [tuple(r) for r in out] == [(1, ["q1"], [0])]
