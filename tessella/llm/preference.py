@@ -20,9 +20,12 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def consecutive(turns: DataFrame) -> DataFrame:
-    """``(pair_id, chosen, rejected)``: conversation 2k beside 2k + 1, where both exist."""
+    """``(pair_id, chosen, rejected)``: conversation 2k beside 2k + 1, where both exist; null ids are no conversation.
+
+    The pair of an id is an exact shift, so ids above 2 ** 53 are paired as well.
+    """
     ids = turns.where("conv_id IS NOT NULL").select("conv_id").distinct()
-    pair = F.floor(F.col("conv_id") / 2)
+    pair = F.shiftright(F.col("conv_id").cast("long"), 1)
     both = ids.groupBy(pair.alias("pair_id")).agg(F.min("conv_id").alias("chosen"), F.max("conv_id").alias("rejected"))
     return both.where("chosen < rejected")
 

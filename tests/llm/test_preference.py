@@ -80,3 +80,10 @@ def test_sql_over_common_prefixes(spark, tmp_path):
 def test_plan_has_no_python(spark, data):
     plan = X.digest(spark.read.parquet(f"{data}/conversations.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_ids_above_doubles(spark):
+    big = 2**60
+    turns = [(i, 0, "user", f"t{i}") for i in (big, big + 1, big + 2, big + 3, -1, -2)]
+    pairs = X.consecutive(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.chosen, r.rejected) for r in pairs) == [(-2, -1), (big, big + 1), (big + 2, big + 3)]
