@@ -10,25 +10,28 @@ target by about one document.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import dropped, written
+from .store import columns, dropped, fresh, written
 
 CAP = 3
 WORD = r"[^\x20\x09-\x0D]+"
-ITERATIONS = 60
+#: Newton steps; what has not converged by then goes on by bisection alone.
+NEWTON = 30
 #: Largest miss of a source's words, as a part of its words, before rounding.
 TOLERANCE = 1e-7
 #: Documents of one source and size that are numbered by one task.
 BLOCK = 20_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size)``: words of each text, 0 for null."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """``(doc_id, source, size, tie)`` and ``more`` columns: words of each text, 0 for null, and a hash of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("tie"), *more)
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -67,7 +70,7 @@ def balance(counts: DataFrame, sources: DataFrame) -> DataFrame:
         F.lit(0.0).alias("a"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(1.0).alias("miss"),
     )
     state = written(start, "dual")
-    for _ in range(ITERATIONS):
+    for turn in itertools.count():
         r = _rate(F.col("a"), F.col("size"), F.col("mean"))
         slope = F.col("n") * F.col("size") * F.col("size") / F.col("mean") * r * (F.lit(1.0) - r / CAP)
         sums = (
@@ -80,12 +83,14 @@ def balance(counts: DataFrame, sources: DataFrame) -> DataFrame:
         step = F.col("a") - F.col("gap") / F.when(F.col("slope") > 0, F.col("slope"))
         far = F.when(F.col("gap") < 0, F.abs("a") * 2 + 1).otherwise(-F.abs("a") * 2 - 1)
         middle = F.when((F.col("lo") > float("-inf")) & (F.col("hi") < float("inf")), (F.col("lo") + F.col("hi")) / 2).otherwise(far)
-        good = step.isNotNull() & (step > F.col("lo")) & (step < F.col("hi")) & (F.abs(step) < 1e6)
+        # A bracket that no number lies inside of is as near as numbers come.
+        shut = (F.col("lo") > float("-inf")) & (F.col("hi") < float("inf")) & ((middle <= F.col("lo")) | (middle >= F.col("hi")))
+        good = F.lit(turn < NEWTON) & step.isNotNull() & (step > F.col("lo")) & (step < F.col("hi")) & (F.abs(step) < 1e6)
         done = F.col("edge").isNotNull() | (F.abs("gap") <= F.col("source_size") * TOLERANCE)
         moved = both.withColumn("lo", lo).withColumn("hi", hi).select(
             "no", "target", "source_size", "mean", "edge",
             F.when(done, F.col("a")).when(good, step).otherwise(middle).alias("a"), "lo", "hi",
-            F.when(done, 0.0).otherwise(1.0).alias("miss"),
+            F.when(done | shut, 0.0).otherwise(1.0).alias("miss"),
         )
         after = written(moved, "dual")
         dropped(state)
@@ -95,14 +100,15 @@ def balance(counts: DataFrame, sources: DataFrame) -> DataFrame:
     return state.select("no", "a", "mean", "edge")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies)`` of every document.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), row: str | None = None) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies)`` of every document, and the column ``row`` if one is named.
 
     A null source is a source. Documents without words take no part and have no copies; with none that has words all
-    targets are 0. Rows with equal ids stay separate rows. Copies follow from ids and texts alone, so reruns agree.
-    Other columns are left out.
+    targets are 0. Rows with equal ids are rows of their own, ordered by their texts. Copies follow from ids and texts
+    alone, so reruns agree. Other columns are left out.
     """
-    rows = written(sizes(docs), "sizes")
+    more = [] if row is None else [row]
+    rows = written(sizes(docs, *more), "sizes")
     totals = rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
     sources = written(targets(totals, weights), "targets")
     named = rows.join(sources.select(F.col("source").alias("name"), "no"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
@@ -110,32 +116,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     dual = balance(by_size, sources)
     rate = F.coalesce("edge", _rate(F.col("a"), F.col("size"), F.col("mean")))
     rates = by_size.join(dual, "no").select("no", "size", rate.alias("rate"), (F.floor(F.col("n") / BLOCK) + 1).alias("parts"))
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    # The text parts rows that have one id, or none.
+    part = F.pmod(F.xxhash64("doc_id", "tie"), F.col("parts"))
     # Written, so that the join's hot sizes can be split, and what follows is dealt by part.
     dealt = written(named.where("size > 0").join(rates, ["no", "size"]).withColumn("part", part), "dealt")
     cells = dealt.groupBy("no", "size", "part").agg(F.count(F.lit(1)).alias("n"), F.first("rate").alias("rate"))
     earlier = Window.partitionBy("no").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
     placed = cells.select("no", "size", "part", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(earlier), F.lit(0.0)).alias("before"))
-    inside = Window.partitionBy("no", "size", "part").orderBy("doc_id")
+    inside = Window.partitionBy("no", "size", "part").orderBy("doc_id", "tie")
     k = dealt.withColumn("k", F.row_number().over(inside)).join(placed, ["no", "size", "part"])
     up_to = lambda k: F.floor(F.col("before") + k * F.col("rate") + 0.5)
     copies = F.greatest(F.least(up_to(F.col("k")) - up_to(F.col("k") - 1), F.lit(CAP)), F.lit(0)).cast("long")
-    chosen = k.select("doc_id", "source", "no", "size", copies.alias("copies"))
-    empty = named.where("size = 0").select("doc_id", "source", "no", "size", F.lit(0).cast("long").alias("copies"))
+    chosen = k.select("doc_id", "source", "no", "size", copies.alias("copies"), *more)
+    empty = named.where("size = 0").select("doc_id", "source", "no", "size", F.lit(0).cast("long").alias("copies"), *more)
     return (
         chosen.unionByName(empty)
         .join(sources.select("no", "source_size", "target"), "no")
-        .select("doc_id", "source", "size", "source_size", "target", "copies")
+        .select("doc_id", "source", "size", "source_size", "target", "copies", *more)
     )
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)`` of every document."""
+    """``(doc_id, size, source_size, target, taken)`` of every document; null texts have size 0, null sources are one source."""
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document's row as often as it has copies, all columns kept. Rows with equal ids count alike."""
-    many = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    joined = docs.join(many, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    """The mix itself: each row as often as it has copies, all columns kept, whatever their names.
+
+    Rows are staged with a number once, and copies are counted and joined by that number, so rows with equal or null ids
+    are rows like others.
+    """
+    row, many = fresh(docs, "_row"), fresh(docs, "_many")
+    staged = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    chosen = mix(staged, row=row).where("copies > 0").select(row, F.array_repeat(F.lit(0), F.col("copies").cast("int")).alias(many))
+    # Staged, so that its size is known to the join, and one that is small is not shuffled against the texts.
+    joined = staged.join(written(chosen, "copies"), row)
+    return joined.select(*columns(docs), F.explode(many).alias(many)).select(*columns(docs))

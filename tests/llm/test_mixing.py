@@ -77,3 +77,49 @@ def test_odd_rows_and_empty_table(odd, make):
 def test_plan_has_no_python(make, spark, data):
     plan = mixing.mix(spark.read.parquet(f"{data}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_apply_counts_rows_not_ids(spark, make):
+    rows = [(None, f"null{i} " * (i % 5 + 1)) for i in range(200)] + [(7, f"seven{i} " * 3) for i in range(100)] + [(7, "same") for _ in range(30)] + [(i, "w " * 4) for i in range(100, 250)] + [(None, None), (None, "")]
+    docs = make(rows)
+    for name in ("_ID", "_copies", "_copy", "_row", "_many", "tie", "copies", "target", "a.b"):
+        docs = docs.withColumn(name, F.lit("kept"))
+    out = mixing.apply(docs)
+    assert out.columns == docs.columns
+    back = out.collect()
+    assert {r["_copy"] for r in back} == {r["a.b"] for r in back} == {"kept"}
+    words = lambda rows, s: sum(len(r.text.split()) for r in rows if r.source == s and r.text)
+    for r in mixing.mix(docs).select("source", "target").distinct().collect():
+        assert abs(words(back, r.source) - r.target) <= 6
+    assert all(r.text for r in back)
+    assert mixing.apply(docs.limit(0)).count() == 0
+
+
+def test_rates_equal_an_independent_solution(spark):
+    """The dual solved by plain bisection."""
+    import math
+
+    sizes = {"a": [1 + i % 40 for i in range(400)], "b": [5 + i % 11 for i in range(300)], "c": [100] * 7 + [3] * 50}
+    rows = [(s, n) for s, own in sizes.items() for n in own]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+    want = targets({s: sum(own) for s, own in sizes.items()})
+    totals = mixing.sizes(docs).groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
+    sources = mixing.targets(totals)
+    counts = mixing.sizes(docs).join(sources.select("source", "no"), "source").groupBy("no", "size").agg(F.count(F.lit(1)).alias("n"))
+    found = {r.no: r for r in mixing.balance(counts, sources).collect()}
+    for r in sources.collect():
+        own, mean = sizes[r.source], sum(sizes[r.source]) / len(sizes[r.source])
+        rate = lambda a, n: 3 / (1 + 2 * math.exp(-a * n / mean))
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * rate(mid, n) for n in own) < want[r.source] else (lo, mid)
+        if found[r.no].edge is None:
+            assert found[r.no].a == pytest.approx(lo, abs=1e-4)
+        else:
+            assert found[r.no].edge == (3.0 if want[r.source] else 0.0)
+
+
+def test_bisection_alone_converges(spark, data, monkeypatch):
+    monkeypatch.setattr(mixing, "NEWTON", 0)
+    check(spark.read.parquet(f"{data}/documents.parquet"))
