@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import dropped, written
+from .store import dropped, fresh, written
 
 LIMIT = 1 << 20
 #: Bits that one pass over the bytes can split on.
@@ -68,33 +68,37 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
     return out
 
 
-def shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """``(doc_id, n_bytes, shard, depth, shard_bytes, shard_docs)`` of every row; ``shard`` is the bucket's prefix.
 
+    A column named by ``row``, which must tell all rows apart, is added as ``row`` and parts equal rows.
+
     A row's bytes are those of its text, 0 for null. A row above the limit is alone in its shard. Equal rows are parted
     by their place in the table. One bucket that holds all has the empty prefix. Other columns are left out.
     """
     value, size = F.col(key), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    place = F.xxhash64(F.monotonically_increasing_id(), F.lit(2))
-    bits = F.concat(_bits(F.xxhash64(value)), _bits(F.xxhash64(value, F.coalesce(text, F.lit("")), F.lit(1))), _bits(place))
-    rows = written(docs.select(value.alias("doc_id"), size.alias("n_bytes"), bits.alias("bits")), "sized")
+    own = F.monotonically_increasing_id() if row is None else F.col(row)
+    hashes = (F.xxhash64(value).alias("h1"), F.xxhash64(value, F.coalesce(text, F.lit("")), F.lit(1)).alias("h2"), F.xxhash64(own, F.lit(2)).alias("h3"))
+    more = [] if row is None else [own.alias("row")]
+    stored = written(docs.select(value.alias("doc_id"), size.alias("n_bytes"), *hashes, *more), "sized")
+    rows = stored.withColumn("bits", F.concat(_bits(F.col("h1")), _bits(F.col("h2")), _bits(F.col("h3")))).drop("h1", "h2", "h3")
     buckets = directory(rows, limit).select("prefix", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"), F.length("prefix").alias("depth"))
     # Prefixes are free of each other, so a row meets its bucket at one of the depths that occur: a handful.
     depths = sorted(r.depth for r in buckets.select("depth").distinct().collect())
     tried = rows.withColumn("prefix", F.explode(F.array(*[_prefix(d) for d in depths]))) if depths else rows.withColumn("prefix", F.lit(""))
-    return tried.join(buckets, "prefix").select("doc_id", "n_bytes", F.col("prefix").alias("shard"), "depth", "shard_bytes", "shard_docs")
+    return tried.join(buckets, "prefix").select("doc_id", "n_bytes", F.col("prefix").alias("shard"), "depth", "shard_bytes", "shard_docs", *(["row"] if row is not None else []))
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Rows in one folder for each shard, named b and its prefix; a shard is written by one task, bounded by the limit or one row."""
-    place = F.xxhash64(F.monotonically_increasing_id(), F.lit(2))
-    bits = F.concat(_bits(F.xxhash64("doc_id")), _bits(F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(1))), _bits(place))
-    rows = written(docs.withColumn("bits", bits).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), "sized")
-    buckets = directory(rows.select("bits", "n_bytes"), limit).select(F.col("prefix").alias("shard"))
-    depths = sorted(r.d for r in buckets.select(F.length("shard").alias("d")).distinct().collect())
-    tried = rows.withColumn("shard", F.explode(F.array(*[_prefix(d) for d in depths]))).join(buckets, "shard", "left_semi")
-    named = tried.drop("bits", "n_bytes").withColumn("shard", F.concat(F.lit("b"), F.col("shard")))
-    named.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Rows in one folder for each shard, ``shard=b`` and its prefix; a shard is written by one task, bounded by the limit or one row.
+
+    All columns are kept, whatever their names; where the input has a column of the folder's name, the folder's gets
+    underscores until it has one of its own. Null texts count no bytes.
+    """
+    row, folder = fresh(docs, "_row"), fresh(docs, "shard")
+    staged = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    dealt = shards(staged, limit, row=row).select(F.col("row").alias(row), F.concat(F.lit("b"), "shard").alias(folder))
+    staged.join(dealt, row).drop(row).repartition(folder).write.partitionBy(folder).parquet(path)
 
 
 def digest(docs: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import sharding as X
 
@@ -51,6 +52,17 @@ def test_write(spark, make, tmp_path):
     assert max(r[1] for r in sums) <= 300
 
 
+def test_write_keeps_columns_of_any_name(spark, make, tmp_path):
+    docs = make([(i % 5, "t" * 50) for i in range(40)] + [(None, None)])
+    for name in ("bits", "n_bytes", "shard", "_ROW", "prefix", "row"):
+        docs = docs.withColumn(name, F.lit("kept"))
+    X.write(docs, str(tmp_path / "s"), 300)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.columns == [*docs.columns, "shard_"] and back.count() == 41
+    assert {tuple(r) for r in back.select("bits", "n_bytes", "shard", "_ROW").collect()} == {("kept",) * 4}
+    assert max(r[1] for r in back.groupBy("shard_").sum("n_chars").collect()) <= 300
+
+
 def test_plan_has_no_python(spark, data):
     plan = X.shards(spark.read.parquet(f"{data}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
