@@ -69,3 +69,34 @@ def test_empty_table(make):
 def test_threshold(make, n):
     p = " ".join(f"q{i}" for i in range(n))
     assert got(make([(1, p), (2, "a " + p + " b")]))[2][1] == (n if n >= 20 else 0)
+
+
+def test_words_that_polynomial_hashes_confuse(make):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    rest = " ".join(f"r{i}" for i in range(25))
+    rows = [(1, f"{one} {rest}"), (2, f"{one.translate(str.maketrans('ab', 'ba'))} {rest}")]
+    assert got(make(rows)) == brute(rows) and got(make(rows))[2][1] == 25
+
+
+def test_long_texts_in_pieces(make, monkeypatch):
+    rng = random.Random(8)
+    block = [f"w{rng.randrange(50)}" for _ in range(4000)]
+    rows = [(1, " ".join(block)), (2, " ".join(["x", *block[:3000], "y", *block[1000:], *block[:500]])), (3, " ".join(block[2000:2300])), (4, "  ".join(["z"] * 3000))]
+    whole = got(make(rows))
+    assert whole == brute(rows)
+    monkeypatch.setattr(substring, "SLICE_BYTES", 700)
+    data = rows[1][1].encode()
+    import numpy as np
+
+    pieces = list(substring.winnowed(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 20, 12))
+    assert len(pieces) > 20 and sum(int(w.count.sum()) for w, _ in pieces) == len(rows[1][1].split()) - 19
+    at = np.concatenate([np.repeat(w.start + before, w.count) + np.arange(int(w.count.sum())) - np.repeat(np.cumsum(w.count) - w.count, w.count) for w, before in pieces])
+    assert sorted(at.tolist()) == list(range(len(rows[1][1].split()) - 19))
+
+
+@pytest.mark.parametrize("bits", [8, 27])
+def test_a_full_bitmap_changes_nothing(spark, data, monkeypatch, bits):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(80)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    monkeypatch.setattr(substring, "BITMAP", bits)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
