@@ -20,7 +20,7 @@ A long text is worked on in pieces of whole words that overlap by a window; a sp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -203,65 +203,28 @@ def _firsts(groups: DataFrame, several: np.ndarray, length: int) -> DataFrame:
     return runs.union(_first(windows, "anchor", "digest").select("f.*", F.lit(1).alias("n")))
 
 
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Documents with what of them repeats: the input's id and text, and ``spans``, an array of ``(start, end)`` in words.
-
-    A span covers windows of ``length`` words that also start earlier: in a smaller id, or earlier in the same
-    document. Windows are judged on the input. Null texts have no words; texts of fewer words than ``length`` have
-    no spans; null ids come first. Rows with the same id and text count as one document and get the same spans;
-    rows with the same id and other texts are ordered by a hash of the text. Other columns are left out.
-    """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows, seen = _keyed(rows)
-    seeds = docs.sparkSession.sparkContext.broadcast(_seeds(seen, length, seed))
-    found = _first(_occurrences(seen, seeds, length, seed), "anchor", "span").select("anchor", "span", "f.*")
-    groups = written(found, "seeds", "zstd")
-    several = _bitmap(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    first = _firsts(groups, several, length)
-    lists = written(first.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("first")), "firsts", "zstd")
-    dropped(groups)
-    same = rows.doc_id.eqNullSafe(lists.doc_id) & (rows.key == lists.key)
-    merged = rows.join(lists, same, "left").select(rows.doc_id, rows.text, lists["first"])
-
-    def repeats(texts: pa.Array, firsts: pa.Array) -> list[list[dict]]:
-        """Of each text: windows that hold a seed and are not the first of their kind, merged."""
-        own: dict[int, list[np.ndarray]] = {}
-        for w, before in winnowed(*text_bytes(texts), length, seed):
-            some = _marked(seeds.value, w.anchor)
-            start, count = w.start[some] - w.first[w.doc[some]] + before, w.count[some]
-            inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            at, of = np.repeat(start, count) + inside, np.repeat(w.doc[some], count)
-            for d in np.unique(of).tolist():
-                own.setdefault(d, []).append(at[of == d])
-        out = []
-        for d in range(len(texts)):
-            a = np.concatenate(own[d]) if d in own else np.zeros(0, np.int64)
-            if len(a) and firsts[d].is_valid:
-                s, n = (firsts[d].values.field(f).to_numpy() for f in ("start", "n"))
-                kept = np.repeat(s, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                a = np.setdiff1d(a, kept, assume_unique=True)
-            a = np.sort(a)
-            cut = np.flatnonzero(np.diff(a) > length)
-            out.append([{"start": int(s), "end": int(e) + length} for s, e in zip(a[np.r_[0, cut + 1]], a[np.r_[cut, len(a) - 1]])] if len(a) else [])
-        return out
+def _judged(docs: DataFrame, doc_id: str, text: str, length: int, seed: int) -> tuple[DataFrame, Callable]:
+    """``(doc_id, text, first)``, and the function that finds the repeats of a batch of these texts."""
+    merged, repeats = _judged(docs, doc_id, text, length, seed)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(repeats(b.column(1), b.column(2)), kind)], ["doc_id", "text", "spans"])
 
-    return map_texts(merged, run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string, spans array<struct<start:int,end:int>>", 1)
+    return map_texts(merged, run, f"doc_id {dict(merged.dtypes)['doc_id']}, text string, spans array<struct<start:int,end:int>>", 1)
 
 
-def without_repeats(found: DataFrame) -> DataFrame:
-    """``spans`` of documents applied: ``(doc_id, kept, n_words, n_removed)``, the kept words joined by one space.
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """``(doc_id, kept, n_words, n_removed)``: documents without their ``spans``, the kept words joined by one space.
 
     Null texts have no words and an empty ``kept``; rows with equal ids are rows of their own.
     """
+    merged, repeats = _judged(docs, doc_id, text, length, seed)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes(b.column(1))
         kept, total, removed = [], [], []
-        for s, e, cut in zip(offsets[:-1].tolist(), offsets[1:].tolist(), b.column(2).to_pylist()):
+        for s, e, cut in zip(offsets[:-1].tolist(), offsets[1:].tolist(), repeats(b.column(1), b.column(2))):
             own = data[s:e].tobytes().split()
             n = len(own)
             for x in reversed(cut):
@@ -272,9 +235,9 @@ def without_repeats(found: DataFrame) -> DataFrame:
         texts = pa.array(kept, pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays([b.column(0), texts, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "kept", "n_words", "n_removed"])
 
-    return map_texts(found, run, f"doc_id {dict(found.dtypes)['doc_id']}, kept string, n_words long, n_removed long", 1)
+    return map_texts(merged, run, f"doc_id {dict(merged.dtypes)['doc_id']}, kept string, n_words long, n_removed long", 1)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)`` of every document; rows of an empty table are none."""
-    return without_repeats(spans(docs)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
