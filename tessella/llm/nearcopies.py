@@ -1,24 +1,26 @@
-"""Near copies by shingles of five words, exact at any similarity from SIMILAR up.
+"""Near copies by shingles of five words, exact at any similarity from SIMILAR up: SimHash, then what SimHash cannot promise.
 
-Two sets with Jaccard similarity t or more share one of the first n - ceil(t n) + 1 members of either in any one order
-of all members (prefix filter). So texts meet in the groups of their prefixes' shingles, and what meets is confirmed by
-the sets themselves. A sample of the texts puts common shingles last in the order, which keeps groups small; sampling
-never decides which pairs are found.
+Each text's fingerprint is the majority of its shingles' hashes, and vantage-point trees find the fingerprints within
+RADIUS bits, as in ``simhash``. Similar sets may differ in more bits than any radius that trees can search (about 10 of 64
+at the limit, up to 19), so their links are completed exactly: two sets with Jaccard similarity t or more share one of the
+first n - ceil(t n) + 1 members of either in any one order of all members (prefix filter). So texts meet in the groups
+of their prefixes' shingles as well, and all that meets is confirmed by the sets themselves. A sample of the texts
+puts common shingles last in the order, which keeps groups small; sampling never decides which pairs are found.
 
-Each group's least text is compared with the others first; groups that these links do not make one component are then
-compared pair by pair, except inside components.
+Each group's least and greatest texts are compared with the others first; what these links and those of SimHash leave in
+several components of a group is then compared across components. Groups are joins that can be split, never one row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .simhash import components
-from .store import dropped, map_texts, text_bytes, written
+from .simhash import RADIUS, components, linked
+from .store import columns, dropped, fresh, map_texts, text_bytes, written
 
 SHINGLE = 5
 #: Least similarity of near copies, as a fraction: 4 / 5.
@@ -27,6 +29,8 @@ SIMILAR = (4, 5)
 SAMPLE = 1 << 13
 COMMON = 3
 MOST_COMMON = 1 << 20
+#: Shingles whose bits are counted at once.
+CHUNK = 1 << 15
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -34,7 +38,7 @@ def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     data, at = text_bytes(column)
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     start, end, first = W.find(data, at)
-    words = W.span_hash(W.prefix_hash(data), start, end) if len(start) else np.zeros(0, np.uint64)
+    words = W.hashes(data, start, end)
     runs = W.grams(words, SHINGLE)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -48,6 +52,14 @@ def _name(own: np.ndarray) -> int:
     return int(W.mix(np.array([W.mix(own).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64)).view(np.int64)[0])
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed number; zero for no words."""
+    over = np.zeros(64, np.int64)
+    for i in range(0, len(own), CHUNK):
+        over += np.unpackbits(own[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * over > len(own)).view(np.int64)[0])
+
+
 def prefix(own: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The shingles of which similar sets share one: the rarest first, by the sample, then by hash."""
     n = len(own)
@@ -74,23 +86,23 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], top.column("n").to_numpy()[order]
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """``(members)``: sets that share a prefix shingle, as ``(node, n)`` by ascending node; each group once."""
+def _met(rows: DataFrame) -> DataFrame:
+    """``(s, node, n, low, high)``: sets that share a prefix shingle with another, and the ends of its group as ``(node, n)``."""
     held = rows.sparkSession.sparkContext.broadcast(_common(rows))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         sets = shingle_sets(b.column(0))
         heads = [prefix(s, *held.value) for s in sets]
         times = [len(h) for h in heads]
-        columns = [np.concatenate(heads).view(np.int64), np.repeat(np.array([_name(s) for s in sets], np.int64), times), np.repeat(np.array([len(s) for s in sets], np.int32), times)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "node", "n"])
-
-    met = map_texts(rows.select("text"), run, "s long, node long, n int", 0)
-    # The window deals the rows once, as they are; groups are gathered only where sets meet, without another shuffle.
-    own = Window.partitionBy("s")
-    met = met.withColumn("x", F.min("node").over(own)).withColumn("y", F.max("node").over(own)).where("x < y")
-    grouped = met.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("members"))
-    return grouped.select("members").distinct()
+        found = [np.concatenate(heads).view(np.int64), np.repeat(np.array([_name(s) for s in sets], np.int64), times), np.repeat(np.array([len(s) for s in sets], np.int32), times)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["s", "node", "n"])
+
+    # Copies are one set, so they fall together within tasks, before the shuffle.
+    met = written(map_texts(rows.select("text"), run, "s long, node long, n int", 0).distinct(), "prefixes")
+    ends = met.groupBy("s").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
+    out = written(met.join(ends.where("x < y").drop("x", "y"), "s"), "met")
+    dropped(met)
+    return out
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -101,24 +113,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(part).select("a", "b")
 
 
-def _close(x, y):
+def _close(n: Column, m: Column) -> Column:
     """Whether two sets' sizes allow them to be similar."""
-    return F.least(x.n, y.n) * SIMILAR[1] >= F.greatest(x.n, y.n) * SIMILAR[0]
+    return F.least(n, m) * SIMILAR[1] >= F.greatest(n, m) * SIMILAR[0]
+
+
+def _rooted(nodes: DataFrame, tree: DataFrame) -> DataFrame:
+    """``nodes`` with the root of their component."""
+    roots = tree.select(F.col("node").alias("of"), "root")
+    return nodes.join(roots, F.col("node") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "node"))
+
+
+def simhash_links(own: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(a, b)``: each node beside the least node of those whose fingerprints chain to its own; candidates for confirmation."""
+    nodes = own.groupBy("node").agg(F.min("fp").alias("fp"))
+    prints = written(nodes.select("fp").distinct(), "fingerprints")
+    tree = components(linked(prints, prints.count(), radius)).select(F.col("node").alias("of"), "root")
+    named = nodes.join(tree, F.col("fp") == F.col("of"), "left").select("node", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("node").alias("a"))
+    return named.join(least, "root").where("a < node").select("a", F.col("node").alias("b"))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """``(doc_id, h, node, root)`` of every row: the hash of its text, its set of shingles, and its component's name.
+def near_copies(docs: DataFrame, row: str) -> DataFrame:
+    """``(row, doc_id, h, node, root)`` of every row: its number, the hash of its text, its set of shingles, and its component's name.
 
-    Texts link at SIMILAR or more; texts with the same set are one node, so texts without words are copies of each other.
+    Texts link at SIMILAR or more; texts with the same set are one node, so null texts and texts without words are copies
+    of each other.
     """
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col(row).alias("row"), "doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
 
     def name(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_name(s) for s in shingle_sets(b.column(2))], pa.int64())], ["doc_id", "h", "node"])
+        sets = shingle_sets(b.column(3))
+        found = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *found], ["row", "doc_id", "h", "node", "fp"])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    own = written(map_texts(rows, name, f"doc_id {kind}, h long, node long", 2), "nodes")
-    groups = written(_groups(rows), "groups")
+    own = written(map_texts(rows, name, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, h long, node long, fp long", 3), "nodes")
+    met = _met(rows)
+    guessed = written(simhash_links(own), "guessed")
 
     def sets_of(b: pa.RecordBatch) -> pa.RecordBatch:
         found = shingle_sets(b.column(0))
@@ -126,37 +158,36 @@ def near_copies(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([_name(s) for s in found], pa.int64()), shingles], ["node", "shingles"])
 
     # One row of each set that meets another; only their texts are read again as sets.
-    meet = groups.select(F.explode("members.node").alias("node")).distinct()
-    one = own.join(meet, "node", "left_semi").groupBy("node").agg(F.min(F.struct("h", "doc_id")).alias("r")).select(F.col("r.h").alias("_h"), F.col("r.doc_id").alias("_id"))
-    texts = rows.join(one, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = written(map_texts(texts, sets_of, "node long, shingles array<long>", 0).dropDuplicates(["node"]), "sets")
-
-    low = F.element_at("members", 1)
-    star = F.transform(F.filter(F.slice("members", 2, F.size("members") - 1), lambda y: _close(low, y)), lambda y: F.struct(low.node.alias("a"), y.node.alias("b")))
-    first = written(_confirmed(groups.select(F.explode(star).alias("p")).select("p.*").distinct(), sets), "links")
-    tree = components(first)
-
-    at = F.xxhash64("members").alias("g")
-    left = groups.where(F.size("members") > 2).select(at, F.posexplode("members").alias("k", "m")).select("g", "k", "m.node", "m.n")
-    left = left.join(tree.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))
-    apart = left.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.collect_list(F.when(F.col("k") > 0, F.struct("node", "n", "root"))).alias("members"))
-    across = F.flatten(F.transform("members", lambda x: F.transform(F.filter("members", lambda y: (x.node < y.node) & (x.root != y.root) & _close(x, y)), lambda y: F.struct(x.node.alias("a"), y.node.alias("b")))))
-    more = apart.where("x < y").select(F.explode(across).alias("p")).select("p.*").distinct()
-    tree = components(first.union(written(_confirmed(more, sets), "links")))
-    dropped(groups, sets)
-    return own.join(tree.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("doc_id", "h", "node", F.coalesce("root", "node").alias("root"))
+    meet = met.select("node").union(guessed.select(F.explode(F.array("a", "b")))).distinct()
+    one = own.join(meet, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row")
+    sets = written(map_texts(rows.join(one, "row", "left_semi").select("text"), sets_of, "node long, shingles array<long>", 0), "sets")
+
+    low = met.where(F.col("node") > F.col("low.node")).select(F.col("low.node").alias("a"), F.col("low.n").alias("m"), F.col("node").alias("b"), "n")
+    high = met.where(F.col("node") < F.col("high.node")).select(F.col("node").alias("a"), F.col("high.n").alias("m"), F.col("high.node").alias("b"), "n")
+    stars = low.union(high).where(_close(F.col("n"), F.col("m"))).select("a", "b").union(guessed.select("a", "b")).distinct()
+    first = written(_confirmed(stars, sets), "links")
+    tree = written(components(first), "tree")
+
+    left = _rooted(met.select("s", "node", "n"), tree)
+    apart = left.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k")).where("x < y AND k > 2").select("s")
+    open_ = written(left.join(apart, "s", "left_semi"), "open")
+    other = open_.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"))
+    across = open_.withColumnRenamed("node", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("to")) & _close(F.col("n"), F.col("m")))
+    more = written(_confirmed(across.select("a", "b").distinct(), sets), "links")
+    whole = _rooted(own.drop("fp"), tree if more.isEmpty() else components(first.union(more)))
+    dropped(met, sets, open_, guessed)
+    return whole
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """One row of each component of near copies, the one with the smallest id, all columns kept.
+    """One row of each component of near copies, the one with the smallest id, all columns kept, whatever their names.
 
-    Null ids come last; rows with equal or null ids are rows like others, told apart by their texts.
+    Null ids come last; rows are staged with a number once and chosen by it, so rows with equal or null ids are rows
+    like others. Null texts and texts without words are copies of each other; an empty table stays empty.
     """
-    found = written(near_copies(docs), "components")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    first = found.groupBy("root").agg(F.min(key).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h"))
-    marked = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    out = marked.join(first, same & (F.col("_text") == F.col("_h")), "left_semi")
-    copies = found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return (out.dropDuplicates(["doc_id", "_text"]) if copies else out).drop("_text")
+    row = fresh(docs, "_row")
+    staged = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_copies(staged, row)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")
+    first = written(found.groupBy("root").agg(F.min(key).alias("f")).select(F.col("f.row").alias(row)), "kept")
+    return staged.join(first, row, "left_semi").select(*columns(docs))

@@ -26,8 +26,8 @@ from .store import dropped, map_texts, text_bytes, written
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Fingerprints that the upper levels are built over, and about how many a shard holds; leaves are compared pair by pair.
-SAMPLE = 1 << 15
+#: Fingerprints that the upper levels are built over, for each shard; about how many a shard holds; leaves are compared pair by pair.
+SAMPLE = 64
 SHARD = 1 << 13
 LEAF = 256
 #: Levels above the shards: 2 ** DEPTH nodes go to every task.
@@ -181,7 +181,7 @@ def linked(fps: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     """``(a, b)``: links that join all distinct fingerprints within the radius, through any chain."""
     reach = radius // 2
     depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(1, count) / SHARD)))))
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column(0).to_numpy().view(np.uint64) if depth else np.zeros(0, np.uint64)
+    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE << depth).toArrow().column(0).to_numpy().view(np.uint64) if depth else np.zeros(0, np.uint64)
     nodes = [build(sample, t, depth, reach) for t in (0, 1)]
     held = fps.sparkSession.sparkContext.broadcast(nodes)
 

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from tessella.llm import nearcopies as X
 
 
@@ -70,3 +73,25 @@ def test_rows_without_ids_and_with_equal_ids(make, odd):
     left = sorted(r.text for r in X.clean(make(rows)).collect())
     assert left == sorted([near, text(2), text(3), text(4), text(0) + " end"])
     assert got(odd) == brute([(r.doc_id, r.text) for r in odd.collect()])
+
+
+def test_columns_of_any_name(make):
+    docs = make([(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, "")])
+    for name in ("_text", "_row", "_ID", "_h", "row", "node", "h", "a.b"):
+        docs = docs.selectExpr("*", f"'kept' AS `{name}`")
+    out = X.clean(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id, r["_text"], r["a.b"]) for r in out.collect()) == [(1, "kept", "kept"), (3, "kept", "kept")]
+
+
+def test_simhash_finds_links_that_are_confirmed(make):
+    """Links of the trees are candidates: they hold all pairs within the radius, and nothing unconfirmed joins."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join([*base[:k], "edited", *base[k:]]) for k in range(0, 400, 20)] + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(300)) for _ in range(20)]
+    sets = X.shingle_sets(pa.array(texts))
+    prints = np.array([X.fingerprint(s) for s in sets], np.int64).view(np.uint64)
+    for s, p in zip(sets, prints.tolist()):
+        assert p == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s))
+    near = np.bitwise_count(prints[:20, None] ^ prints[None, :20]) <= 3
+    assert near.sum() > 20
+    assert got(make(list(enumerate(texts)))) == brute(list(enumerate(texts)))
