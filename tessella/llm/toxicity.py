@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words map to symbols: insult (a lexicon with weights), threat, target, negation, report, other. Transducers read a
-clause's symbols in step, and their composition scores it: insults and threats give weight, a target nearby adds to it,
-negation before and reported speech take from it. A document's score comes from its matched clauses.
-
-The insult lexicon, of words and word beginnings, and the final calibration are learned from labelled rows: a bounded,
-hashed sample of at most SAMPLE rows outside the held-out fold.
+Words map to symbols: insult (a lexicon with weights), threat, target, negation, report, other. Five transducers read a
+clause's symbols: insults give a hit; a threat gives one at a target within reach; targets, negations and reported speech
+mark the hits that follow them. ``compose`` makes one machine of them, a table of states, and a clause is scored by one
+walk through it: each hit counts its word's weight times the factors of its marks. A document's score comes from its
+matched clauses, with a learned weight for each kind of hit.
+
+The insult lexicon, of words and word beginnings, and the weights are learned from labelled rows: a bounded, hashed
+sample of at most SAMPLE rows outside the held-out fold. Weights of kinds that the sample does not show stay at PRIOR.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,9 +25,8 @@ from pyspark.sql import functions as F
 
 from .store import bounded_batches, map_texts
 
-#: Labelled rows that are learned from, and entries of the lexicon, at most.
+#: Labelled rows that are learned from, at most.
 SAMPLE = 20_000
-LEXICON = 4_000
 #: Toxic rows that must have a term, and the evidence (nats, n times the log of its rate over the base rate) it needs.
 SUPPORT = 4
 EVIDENCE = 8.0
@@ -37,85 +38,121 @@ STEMS = (4, 5)
 REACH = 3
 THRESHOLD = 0.3
 
-THREAT = frozenset("kill hurt destroy punch stab shoot beat töten schlagen tuer frapper matar golpear".split())
-TARGET = frozenset("you your he she they them him her du dich ihr sie tu te vous toi usted ellos él ella".split())
-NEGATION = frozenset("not never no isn aren wasn don nicht kein keine pas jamais nunca jamás".split())
-REPORT = frozenset("said says called wrote quoted claimed sagte schrieb dit écrit dijo escribió".split())
+#: The grammar's closed word classes, in English, German, French and Spanish.
+THREAT = frozenset(
+    "kill hurt destroy punch stab shoot beat strangle töten schlagen umbringen verprügeln erschießen tuer tuerai frapper frapperai cogner "
+    "matar mataré golpear golpearé".split()
+)
+TARGET = frozenset("you your yours yourself he she they them him her du dich dir dein ihr euch sie tu te toi vous votre usted ustedes ellos él ella".split())
+NEGATION = frozenset("not never no nobody without isn aren wasn weren don doesn didn won nicht kein keine keiner nie niemals pas jamais aucun aucune nunca jamás ningún ninguna".split())
+REPORT = frozenset("said says say called calls wrote writes quoted claimed alleged sagte sagt schrieb nannte behauptete dit écrit déclaré appelé dijo dice escribió llamó".split())
 
 WORD = re.compile(r"\w+")
 CLAUSE = re.compile(r"[.!?;\n]+")
 
-OTHER, INSULT, THREATEN, AIM, NEGATE, TELL = range(6)
+OTHER, INSULT, THREATEN, AIM, NEGATE, TELL = SYMBOLS = range(6)
+#: What a machine gives out with a word: a hit by insult or by threat, and the marks on it.
+HIT, MENACE, AIMED, NEGATED, TOLD = (1 << i for i in range(5))
+#: What a mark does to a hit's weight, and the weight of a threat.
+FACTOR = {AIMED: 1.25, NEGATED: 0.25, TOLD: 0.6}
+THREAT_WEIGHT = 2.0
+#: Weights of a document's features before any row is seen: bias, sum, clauses, largest, and hits that are aimed, negated, told, threats.
+PRIOR = (-5.0, 0.0, 0.0, 0.0, 0.5, -1.0, -0.5, 1.0)
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """``step`` maps a state and a symbol to the next state and what is given out; the start state is 0."""
+    """Rows by state, columns by symbol: the next state, and what is given out; the start state is 0."""
+
+    next: tuple[tuple[int, ...], ...]
+    out: tuple[tuple[int, ...], ...]
 
-    step: Callable[[int, int], tuple[int, float]]
 
+def _row(usual: int, **other: int) -> tuple[int, ...]:
+    """A row of a table: ``usual`` but for the named symbols."""
+    named = {globals()[k]: v for k, v in other.items()}
+    return tuple(named.get(s, usual) for s in SYMBOLS)
 
-def _countdown(trigger: int, reach: int, active: float) -> Transducer:
-    """Gives ``active`` for ``reach`` words after the trigger, else 1."""
 
-    def step(state: int, symbol: int) -> tuple[int, float]:
-        if symbol == trigger:
-            return reach, 1.0
-        return max(0, state - 1), active if state else 1.0
+def insults() -> Transducer:
+    """A hit at each insult."""
+    return Transducer((_row(0),), (_row(0, INSULT=HIT),))
 
-    return Transducer(step)
 
+def threats(reach: int = REACH) -> Transducer:
+    """A hit at the first target within ``reach`` + 1 words after a threat."""
+    armed = range(reach + 2)
+    return Transducer(tuple(_row(max(0, s - 1), THREATEN=reach + 1, AIM=0) for s in armed), tuple(_row(0, AIM=MENACE if s else 0) for s in armed))
 
-def _latch(trigger: int, active: float) -> Transducer:
-    """Gives ``active`` from the trigger to the end of the clause, else 1."""
-    return Transducer(lambda state, symbol: (1, active) if state or symbol == trigger else (0, 1.0))
 
+def marks(trigger: str, mark: int, reach: int = REACH) -> Transducer:
+    """The mark on the ``reach`` words after a trigger."""
+    left = range(reach + 1)
+    return Transducer(tuple(_row(max(0, s - 1), **{trigger: reach}) for s in left), tuple(_row(mark if s else 0, **{trigger: 0}) for s in left))
 
-def _threat(weight: float, reach: int) -> Transducer:
-    """A threat followed by a target within reach gives its weight at the target."""
 
-    def step(state: int, symbol: int) -> tuple[int, float]:
-        if symbol == THREATEN:
-            return reach + 1, 0.0
-        return (0, weight) if state and symbol == AIM else (max(0, state - 1), 0.0)
+def told() -> Transducer:
+    """The mark from a word of speech to the end of the clause."""
+    return Transducer((_row(0, TELL=1), _row(1)), (_row(0), _row(TOLD)))
 
-    return Transducer(step)
 
+def compose(parts: Sequence[Transducer]) -> Transducer:
+    """One machine that walks all parts in step and gives out what they give; the states that can be reached."""
+    states, todo = {(0,) * len(parts): 0}, [(0,) * len(parts)]
+    after, out = [], []
+    for now in todo:
+        row, given = [], []
+        for symbol in SYMBOLS:
+            then = tuple(p.next[s][symbol] for p, s in zip(parts, now))
+            if then not in states:
+                states[then] = len(states)
+                todo.append(then)
+            row.append(states[then])
+            given.append(sum(p.out[s][symbol] for p, s in zip(parts, now)))
+        after.append(tuple(row))
+        out.append(tuple(given))
+    return Transducer(tuple(after), tuple(out))
 
-#: What gives weight, and what scales it.
-THREATS = _threat(2.0, REACH)
-SCALES = (_countdown(AIM, REACH, 1.25), _countdown(NEGATE, REACH, 0.25), _latch(TELL, 0.6))
 
+#: The grammar's parts by name, and all of them as one machine.
+PARTS = {"insult": insults(), "threat": threats(), "target": marks("AIM", AIMED), "negation": marks("NEGATE", NEGATED), "report": told()}
+MACHINE = compose(list(PARTS.values()))
 
-def clause_score(symbols: list[tuple[int, float]]) -> float:
-    """Weight of a clause, from ``(symbol, weight)`` of its words: the transducers' composition, run in step."""
-    armed, states, total = 0, [0] * len(SCALES), 0.0
+
+def hits(symbols: list[tuple[int, float]], machine: Transducer = MACHINE) -> list[tuple[int, float]]:
+    """``(what, weight)`` of each hit of a clause, from ``(symbol, weight)`` of its words."""
+    state, found = 0, []
     for symbol, weight in symbols:
-        armed, given = THREATS.step(armed, symbol)
-        scale = 1.0
-        for i, t in enumerate(SCALES):
-            states[i], factor = t.step(states[i], symbol)
-            scale *= factor
-        total += ((weight if symbol == INSULT else 0.0) + given) * scale
-    return total
+        given = machine.out[state][symbol]
+        state = machine.next[state][symbol]
+        if given & (HIT | MENACE):
+            scale = math.prod(f for m, f in FACTOR.items() if given & m)
+            found.append((given, ((weight if given & HIT else 0.0) + (THREAT_WEIGHT if given & MENACE else 0.0)) * scale))
+    return found
+
+
+def clause_score(symbols: list[tuple[int, float]], machine: Transducer = MACHINE) -> float:
+    """Weight of a clause."""
+    return sum(w for _, w in hits(symbols, machine))
 
 
 @dataclass
 class Grammar:
-    """A lexicon, and the calibration of clause scores."""
+    """A lexicon, the machine, and the weights of a document's features."""
 
     lexicon: dict[str, float] = field(default_factory=dict)
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = PRIOR
+    machine: Transducer = MACHINE
 
     def __post_init__(self) -> None:
-        self._finder = None
+        self._finder, self._seen = None, {}
 
     def __getstate__(self) -> dict:
-        return {"lexicon": self.lexicon, "weights": self.weights, "_finder": None}
+        return {"lexicon": self.lexicon, "weights": self.weights, "machine": self.machine, "_finder": None, "_seen": {}}
 
     @property
     def finder(self):
-        """An automaton of all that can give weight, to skip clauses without any."""
+        """An automaton of all that can give a hit, to skip clauses without any."""
         if self._finder is None:
             import ahocorasick
 
@@ -127,29 +164,40 @@ class Grammar:
         return self._finder
 
     def symbol(self, word: str) -> tuple[int, float]:
-        best = max((self.lexicon.get(t, 0.0) for t in terms_of(word)), default=0.0)
-        if best > 0:
-            return INSULT, best
-        for words, symbol in ((THREAT, THREATEN), (TARGET, AIM), (NEGATION, NEGATE), (REPORT, TELL)):
-            if word in words:
-                return symbol, 0.0
-        return OTHER, 0.0
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Of the matched clauses: log of the sum and of the number, and the largest score."""
+        """A word's symbol, and an insult's weight."""
+        found = self._seen.get(word)
+        if found is None:
+            best = max((self.lexicon.get(t, 0.0) for t in terms_of(word)), default=0.0)
+            classes = ((THREAT, THREATEN), (TARGET, AIM), (NEGATION, NEGATE), (REPORT, TELL))
+            found = (INSULT, best) if best > 0 else (next((s for words, s in classes if word in words), OTHER), 0.0)
+            if len(self._seen) >= 1 << 16:
+                self._seen.clear()
+            self._seen[word] = found
+        return found
+
+    def clauses(self, text: str | None) -> Iterator[list[tuple[int, float]]]:
+        """Hits of each clause that has any, in one pass: nothing is read again but the rest of a clause."""
         low = (text or "").lower()
-        scores, done = [], -1
+        done = -1
         for last, n in self.finder.iter(low):
             start = last - n + 1
             if last <= done or (start and (low[start - 1].isalnum() or low[start - 1] == "_")):
                 continue
-            begin = max((low.rfind(c, 0, start) for c in ".!?;\n"), default=-1) + 1
+            begin = max(max(low.rfind(c, done + 1, start) for c in ".!?;\n"), done) + 1
             end = CLAUSE.search(low, last)
             done = end.start() if end else len(low)
-            score = clause_score([self.symbol(w) for w in WORD.findall(low, begin, done)])
-            if score > 0:
-                scores.append(score)
-        return math.log1p(sum(scores)), math.log1p(len(scores)), max(scores, default=0.0)
+            if found := hits([self.symbol(w.group()) for w in WORD.finditer(low, begin, done)], self.machine):
+                yield found
+
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Of the matched clauses: log of the sum and of the number, the largest score; log of the weight by mark and of threats."""
+        scores, by = [], defaultdict(float)
+        for found in self.clauses(text):
+            scores.append(sum(w for _, w in found))
+            for given, weight in found:
+                for mark in (AIMED, NEGATED, TOLD, MENACE):
+                    by[mark] += weight if given & mark else 0.0
+        return math.log1p(sum(scores)), math.log1p(len(scores)), max(scores, default=0.0), *(math.log1p(by[m]) for m in (AIMED, NEGATED, TOLD, MENACE))
 
     def score(self, text: str | None) -> float:
         """0 to 1."""
@@ -185,7 +233,7 @@ def learn(rows: DataFrame) -> Grammar:
     n0 = n - n1
     base = math.log((n1 + 0.5) / (n0 + 0.5))
     if not n1 or not n0:
-        return Grammar({}, (base if n else -5.0, 0.0, 0.0, 0.0))
+        return Grammar({}, (base if n else PRIOR[0], *[0.0] * (len(PRIOR) - 1)))
     bounded_batches(rows.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,29 +252,31 @@ def learn(rows: DataFrame) -> Grammar:
         counted.where(F.col("bad") >= SUPPORT)
         .select("term", odds.alias("odds"), evidence.alias("evidence"))
         .where((F.col("odds") >= ODDS) & (F.col("evidence") >= EVIDENCE))
-        .orderBy(F.desc("evidence"), "term")
-        .limit(LEXICON)
     )
-    lexicon = {r.term: min(float(r.odds), 6.0) for r in best.collect()}
+    # Bounded by the terms of the sample's toxic rows.
+    lexicon = {r.term: min(float(r.odds), 6.0) for r in sorted(best.collect())}
     grammar = Grammar(lexicon)
     held = rows.sparkSession.sparkContext.broadcast(grammar)
 
+    names = [f"x{i}" for i in range(len(PRIOR) - 1)]
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         x = [held.value.features(t) for t in b.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in zip(*x)), pa.array([int(v > 0) for v in b.column(1).to_pylist()], pa.int32())], ["a", "b", "c", "y"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in zip(*x)), pa.array([int(v > 0) for v in b.column(1).to_pylist()], pa.int32())], [*names, "y"])
 
-    got = map_texts(rows, run, "a double, b double, c double, y int", 0).toArrow().to_pandas()
-    return Grammar(lexicon, logistic(got[["a", "b", "c"]].to_numpy(), got["y"].to_numpy(float)))
+    got = map_texts(rows, run, ", ".join(f"{x} double" for x in names) + ", y int", 0).toArrow().to_pandas().sort_values([*names, "y"])
+    return Grammar(lexicon, logistic(got[names].to_numpy(), got["y"].to_numpy(float), PRIOR[1:]))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
-    """Bias and weights by Newton's method; the penalty spares the bias."""
+def logistic(x: np.ndarray, y: np.ndarray, prior: Sequence[float], ridge: float = 1.0) -> tuple[float, ...]:
+    """Bias and weights by Newton's method; the penalty draws the weights to the prior and spares the bias."""
     x = np.c_[np.ones(len(x)), x]
     w, penalty = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
+    centre = np.array([0.0, *prior])
     w[0] = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ (w - centre))
         w += step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
@@ -252,7 +302,10 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that are not predicted toxic, all their columns."""
+    """Documents that are not predicted toxic, all their columns, whatever their names; null and empty texts stay.
+
+    Rows with equal or null ids are rows like others; without labels of both kinds all rows stay.
+    """
     grammar = learn(sample(docs, labels))
     held = docs.sparkSession.sparkContext.broadcast(grammar)
     at = docs.columns.index("text")
