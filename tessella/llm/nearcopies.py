@@ -7,8 +7,9 @@ first n - ceil(t n) + 1 members of either in any one order of all members (prefi
 of their prefixes' shingles as well, and all that meets is confirmed by the sets themselves. A sample of the texts
 puts common shingles last in the order, which keeps groups small; sampling never decides which pairs are found.
 
-Each group's least and greatest texts are compared with the others first; what these links and those of SimHash leave in
-several components of a group is then compared across components. Groups are joins that can be split, never one row.
+Each text is compared first with the candidate of SimHash and with the least text of most of its groups, one pair each;
+what these links leave in several components of a group is then compared across components, where sizes and counts
+of shingles by bucket allow it. Groups are joins that can be split, never one row; texts are read again only for pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .simhash import RADIUS, components, linked
 from .store import columns, dropped, fresh, map_texts, text_bytes, written
+from .words import bitmap, marked_places
 
 SHINGLE = 5
 #: Least similarity of near copies, as a fraction: 4 / 5.
@@ -31,6 +33,10 @@ COMMON = 3
 MOST_COMMON = 1 << 20
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: Buckets that a set's shingles are counted in, to bound what two sets share.
+COUNTS = 32
+#: log2 of the bits of the bitmap of prefix shingles that several sets have: 16 MB at any size of the input.
+BITMAP = 27
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -86,31 +92,56 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], top.column("n").to_numpy()[order]
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """``(s, node, n, low, high)``: sets that share a prefix shingle with another, and the ends of its group as ``(node, n)``."""
-    held = rows.sparkSession.sparkContext.broadcast(_common(rows))
+def _prefixes(rows: DataFrame, held, marked=None) -> DataFrame:
+    """``(s, node, n)`` of each prefix shingle, or of those that a bitmap marks."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         sets = shingle_sets(b.column(0))
         heads = [prefix(s, *held.value) for s in sets]
+        if marked is not None:
+            heads = [h[marked_places(marked.value, h)] for h in heads]
         times = [len(h) for h in heads]
         found = [np.concatenate(heads).view(np.int64), np.repeat(np.array([_name(s) for s in sets], np.int64), times), np.repeat(np.array([len(s) for s in sets], np.int32), times)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["s", "node", "n"])
 
-    # Copies are one set, so they fall together within tasks, before the shuffle.
-    met = written(map_texts(rows.select("text"), run, "s long, node long, n int", 0).distinct(), "prefixes")
-    ends = met.groupBy("s").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
-    out = written(met.join(ends.where("x < y").drop("x", "y"), "s"), "met")
-    dropped(met)
+    return map_texts(rows.select("text"), run, "s long, node long, n int", 0)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """``(s, node, n, low)``: sets that share a prefix shingle with another, and the least node of its group.
+
+    The first pass only counts, so copies fall together within tasks; a bitmap of what several sets have thins the second.
+    """
+    sc = rows.sparkSession.sparkContext
+    held = sc.broadcast(_common(rows))
+    ends = _prefixes(rows, held).groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    ends = written(ends.select("s", "low"), "ends")
+    marked = sc.broadcast(bitmap(ends.select(F.col("s").alias("anchor")), BITMAP))
+    out = written(_prefixes(rows, held, marked).distinct().join(ends, "s"), "met")
+    dropped(ends)
     return out
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets are near copies."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar."""
-    one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    part = both * SIMILAR[1] >= (F.size("set_a") + F.size("set_b") - both) * SIMILAR[0]
-    return pairs.join(one, "a").join(two, "b").where(part).select("a", "b")
+    one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [similar(x, y) for x, y in zip(shingle_sets(b.column(2)), shingle_sets(b.column(3)))]
+        return b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_texts(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long", 2)
+
+
+def counts(own: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each bucket."""
+    return np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=COUNTS).astype(np.int32)
 
 
 def _close(n: Column, m: Column) -> Column:
@@ -145,37 +176,36 @@ def near_copies(docs: DataFrame, row: str) -> DataFrame:
 
     def name(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(b.column(3))
-        found = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *found], ["row", "doc_id", "h", "node", "fp"])
+        buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * COUNTS, pa.int32()), pa.array(np.concatenate([counts(s) for s in sets])))
+        found = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), buckets]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *found], ["row", "doc_id", "h", "node", "fp", "counts"])
 
-    own = written(map_texts(rows, name, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, h long, node long, fp long", 3), "nodes")
+    own = written(map_texts(rows, name, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, h long, node long, fp long, counts array<int>", 3), "nodes")
     met = _met(rows)
-    guessed = written(simhash_links(own), "guessed")
-
-    def sets_of(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = shingle_sets(b.column(0))
-        shingles = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in found])], pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array([_name(s) for s in found], pa.int64()), shingles], ["node", "shingles"])
-
-    # One row of each set that meets another; only their texts are read again as sets.
-    meet = met.select("node").union(guessed.select(F.explode(F.array("a", "b")))).distinct()
-    one = own.join(meet, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row")
-    sets = written(map_texts(rows.join(one, "row", "left_semi").select("text"), sets_of, "node long, shingles array<long>", 0), "sets")
-
-    low = met.where(F.col("node") > F.col("low.node")).select(F.col("low.node").alias("a"), F.col("low.n").alias("m"), F.col("node").alias("b"), "n")
-    high = met.where(F.col("node") < F.col("high.node")).select(F.col("node").alias("a"), F.col("high.n").alias("m"), F.col("high.node").alias("b"), "n")
-    stars = low.union(high).where(_close(F.col("n"), F.col("m"))).select("a", "b").union(guessed.select("a", "b")).distinct()
-    first = written(_confirmed(stars, sets), "links")
+    guessed = simhash_links(own)
+    # The group's least node that is least most often, for the node that shares most with it.
+    times = met.where("low < node").groupBy("node", "low").agg(F.count(F.lit(1)).alias("k"))
+    likely = times.groupBy("node").agg(F.max(F.struct("k", F.bitwise_not("low").alias("l"))).alias("m")).select(F.bitwise_not("m.l").alias("a"), F.col("node").alias("b"))
+    stars = written(likely.union(guessed.select("a", "b")).distinct(), "stars")
+
+    # One row of each set that meets another; only their texts are read again.
+    meet = met.select("node").union(stars.select(F.explode(F.array("a", "b")))).distinct()
+    one = own.join(meet, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"), F.first("counts").alias("counts"))
+    texts = written(rows.select("row", "text").join(one, "row").select("node", "counts", "text"), "texts", "zstd")
+    first = written(_confirmed(stars, texts), "links")
     tree = written(components(first), "tree")
 
     left = _rooted(met.select("s", "node", "n"), tree)
-    apart = left.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k")).where("x < y AND k > 2").select("s")
-    open_ = written(left.join(apart, "s", "left_semi"), "open")
-    other = open_.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"))
+    apart = left.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
+    open_ = written(left.join(apart, "s", "left_semi").join(texts.select("node", "counts"), "node"), "open")
+    other = open_.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"), F.col("counts").alias("others"))
+    # Two sets share at most the lesser count of each bucket.
+    most = F.aggregate(F.zip_with("counts", "others", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
+    enough = most * (SIMILAR[0] + SIMILAR[1]) >= (F.col("n") + F.col("m")) * SIMILAR[0]
     across = open_.withColumnRenamed("node", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("to")) & _close(F.col("n"), F.col("m")))
-    more = written(_confirmed(across.select("a", "b").distinct(), sets), "links")
-    whole = _rooted(own.drop("fp"), tree if more.isEmpty() else components(first.union(more)))
-    dropped(met, sets, open_, guessed)
+    more = written(_confirmed(across.where(enough).select("a", "b").distinct(), texts), "links")
+    whole = _rooted(own.drop("fp", "counts"), tree if more.isEmpty() else components(first.union(more)))
+    dropped(met, texts, open_, stars)
     return whole
 
 

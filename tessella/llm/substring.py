@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .store import SLICE_BYTES, arrow_type, dropped, map_texts, text_bytes, written
+from .words import bitmap, marked_places
 
 LENGTH = 20
 #: Long enough that a seed seldom recurs by chance, however large the corpus is; at most LENGTH.
@@ -110,26 +111,6 @@ def _keyed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, rows.dropDuplicates(["doc_id", "key"])
 
 
-def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """Bitmap of a column of anchors, each once: at most a row for every 64 bits comes to the driver."""
-    bit = F.shiftrightunsigned("anchor", 64 - BITMAP)
-    cells = anchors.groupBy(F.shiftright(bit, 6).alias("cell")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
-    )
-    got = cells.toArrow()
-    out = np.zeros(1 << (BITMAP - 6), np.uint64)
-    out[got.column("cell").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _marked(bitmap: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """Places of the anchors whose bit is set."""
-    bit = anchor >> np.uint64(65 - (64 * len(bitmap)).bit_length())
-    return np.flatnonzero(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
-
-
-
-
 def _seeds(rows: DataFrame, length: int, seed: int) -> np.ndarray:
     """Bitmap of the anchors that occur at least twice."""
 
@@ -137,7 +118,7 @@ def _seeds(rows: DataFrame, length: int, seed: int) -> np.ndarray:
         found = [w.anchor for w, _ in winnowed(*text_bytes(b.column(2)), length, seed)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["anchor"])
 
-    return _bitmap(map_texts(rows, run, "anchor long", 2).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    return bitmap(map_texts(rows, run, "anchor long", 2).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), BITMAP)
 
 
 def _occurrences(rows: DataFrame, held, length: int, seed: int) -> DataFrame:
@@ -146,7 +127,7 @@ def _occurrences(rows: DataFrame, held, length: int, seed: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
         for w, before in winnowed(*text_bytes(b.column(2)), length, seed):
-            some = _marked(held.value, w.anchor)
+            some = marked_places(held.value, w.anchor)
             if len(some):
                 parts.append((w.anchor[some], w.spans(some), w.doc[some], w.start[some] - w.first[w.doc[some]] + before))
         if not parts:
@@ -175,7 +156,7 @@ def _firsts(groups: DataFrame, several: np.ndarray, length: int) -> DataFrame:
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 anchor = b.column(0).to_numpy().view(np.uint64)
-                take = _marked(held.value, anchor)
+                take = marked_places(held.value, anchor)
                 if alone:
                     take = np.setdiff1d(np.arange(len(anchor)), take)
                 rows = b.take(pa.array(take))
@@ -210,7 +191,7 @@ def _judged(docs: DataFrame, doc_id: str, text: str, length: int, seed: int) ->
     seeds = docs.sparkSession.sparkContext.broadcast(_seeds(seen, length, seed))
     found = _first(_occurrences(seen, seeds, length, seed), "anchor", "span").select("anchor", "span", "f.*")
     groups = written(found, "seeds", "zstd")
-    several = _bitmap(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    several = bitmap(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), BITMAP)
     first = _firsts(groups, several, length)
     lists = written(first.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("first")), "firsts", "zstd")
     dropped(groups)
@@ -221,7 +202,7 @@ def _judged(docs: DataFrame, doc_id: str, text: str, length: int, seed: int) ->
         """Of each text: windows that hold a seed and are not the first of their kind, merged."""
         own: dict[int, list[np.ndarray]] = {}
         for w, before in winnowed(*text_bytes(texts), length, seed):
-            some = _marked(seeds.value, w.anchor)
+            some = marked_places(seeds.value, w.anchor)
             start, count = w.start[some] - w.first[w.doc[some]] + before, w.count[some]
             inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             at, of = np.repeat(start, count) + inside, np.repeat(w.doc[some], count)

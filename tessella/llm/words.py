@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Words are runs of bytes other than space and 9 to 13; in UTF-8 that is the same as for code points.
 IS_GAP = np.zeros(256, bool)
@@ -139,3 +141,21 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
         least, at = np.where(right, b, a), np.where(right, at[step:], at[:-step])
         done += step
     return at
+
+
+def bitmap(anchors: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of 2 ** bits of a column ``anchor`` of hashes, each once: at most a row for every 64 bits comes to the driver."""
+    bit = F.shiftrightunsigned("anchor", 64 - bits)
+    cells = anchors.groupBy(F.shiftright(bit, 6).alias("cell")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
+    )
+    got = cells.toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got.column("cell").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def marked_places(marked: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Places of the hashes whose bit is set in a bitmap."""
+    bit = hashed >> np.uint64(65 - (64 * len(marked)).bit_length())
+    return np.flatnonzero(marked[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
