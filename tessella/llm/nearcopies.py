@@ -8,8 +8,10 @@ of their prefixes' shingles as well, and all that meets is confirmed by the sets
 puts common shingles last in the order, which keeps groups small; sampling never decides which pairs are found.
 
 Each text is compared first with the candidate of SimHash and with the least text of most of its groups, one pair each;
-what these links leave in several components of a group is then compared across components, where sizes and counts
-of shingles by bucket allow it. Groups are joins that can be split, never one row; texts are read again only for pairs.
+what these links leave in several components of a group is then compared across components. Pairs must share enough of
+their prefixes: of two similar sets, the one whose prefix ends first in the order has all it shares of that prefix
+in the other's prefix as well, and it can miss only what similarity lets it miss. So passages that many texts share do
+not make pairs. Groups are joins that can be split, never one row; texts are read again only for pairs.
 """
 
 from __future__ import annotations
@@ -33,8 +35,6 @@ COMMON = 3
 MOST_COMMON = 1 << 20
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
-#: Buckets that a set's shingles are counted in, to bound what two sets share.
-COUNTS = 32
 #: log2 of the bits of the bitmap of prefix shingles that several sets have: 16 MB at any size of the input.
 BITMAP = 27
 
@@ -128,20 +128,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar."""
-    one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+def _confirmed(pairs: DataFrame, own: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar; one row of each node is read again, whole."""
+    pairs = written(pairs, "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = own.join(named, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    texts = written(rows.select("row", "text").join(one, "row").select("node", "text"), "texts", "zstd")
+    sides = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         keep = [similar(x, y) for x, y in zip(shingle_sets(b.column(2)), shingle_sets(b.column(3)))]
         return b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_texts(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long", 2)
-
-
-def counts(own: np.ndarray) -> np.ndarray:
-    """How many shingles of a set fall into each bucket."""
-    return np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=COUNTS).astype(np.int32)
+    both = pairs.join(next(sides), "a").join(next(sides), "b").select("a", "b", "text_a", "text_b")
+    out = written(map_texts(both, run, "a long, b long", 2), "links")
+    dropped(pairs, texts)
+    return out
 
 
 def _close(n: Column, m: Column) -> Column:
@@ -149,6 +151,13 @@ def _close(n: Column, m: Column) -> Column:
     return F.least(n, m) * SIMILAR[1] >= F.greatest(n, m) * SIMILAR[0]
 
 
+def _enough(shared: Column, n: Column, m: Column) -> Column:
+    """Whether two sets of sizes n and m that share so many prefix shingles can be similar."""
+    t, of = SIMILAR
+    least = F.ceil((n + m) * F.lit(t) / F.lit(t + of))
+    return shared >= least + 1 - F.ceil(F.greatest(n, m) * F.lit(t) / F.lit(of))
+
+
 def _rooted(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     """``nodes`` with the root of their component."""
     roots = tree.select(F.col("node").alias("of"), "root")
@@ -176,36 +185,30 @@ def near_copies(docs: DataFrame, row: str) -> DataFrame:
 
     def name(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(b.column(3))
-        buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * COUNTS, pa.int32()), pa.array(np.concatenate([counts(s) for s in sets])))
-        found = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), buckets]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *found], ["row", "doc_id", "h", "node", "fp", "counts"])
+        found = [pa.array([f(s) for s in sets], pa.int64()) for f in (_name, fingerprint)]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *found], ["row", "doc_id", "h", "node", "fp"])
 
-    own = written(map_texts(rows, name, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, h long, node long, fp long, counts array<int>", 3), "nodes")
+    own = written(map_texts(rows, name, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, h long, node long, fp long", 3), "nodes")
     met = _met(rows)
-    guessed = simhash_links(own)
     # The group's least node that is least most often, for the node that shares most with it.
-    times = met.where("low < node").groupBy("node", "low").agg(F.count(F.lit(1)).alias("k"))
-    likely = times.groupBy("node").agg(F.max(F.struct("k", F.bitwise_not("low").alias("l"))).alias("m")).select(F.bitwise_not("m.l").alias("a"), F.col("node").alias("b"))
-    stars = written(likely.union(guessed.select("a", "b")).distinct(), "stars")
-
-    # One row of each set that meets another; only their texts are read again.
-    meet = met.select("node").union(stars.select(F.explode(F.array("a", "b")))).distinct()
-    one = own.join(meet, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"), F.first("counts").alias("counts"))
-    texts = written(rows.select("row", "text").join(one, "row").select("node", "counts", "text"), "texts", "zstd")
-    first = written(_confirmed(stars, texts), "links")
+    times = met.where("low < node").groupBy("node", "n", "low").agg(F.count(F.lit(1)).alias("k"))
+    likely = times.groupBy("node", "n").agg(F.max(F.struct("k", F.bitwise_not("low").alias("l"))).alias("best"))
+    sizes = met.where("low = node").select(F.col("node").alias("a"), F.col("n").alias("m")).distinct()
+    stars = likely.select(F.bitwise_not("best.l").alias("a"), F.col("node").alias("b"), "n", "best.k").join(sizes, "a")
+    stars = stars.where(_close(F.col("n"), F.col("m")) & _enough(F.col("k"), F.col("n"), F.col("m"))).select("a", "b")
+    first = _confirmed(stars.union(simhash_links(own)).distinct(), own, rows)
     tree = written(components(first), "tree")
 
     left = _rooted(met.select("s", "node", "n"), tree)
     apart = left.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
-    open_ = written(left.join(apart, "s", "left_semi").join(texts.select("node", "counts"), "node"), "open")
-    other = open_.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"), F.col("counts").alias("others"))
-    # Two sets share at most the lesser count of each bucket.
-    most = F.aggregate(F.zip_with("counts", "others", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    enough = most * (SIMILAR[0] + SIMILAR[1]) >= (F.col("n") + F.col("m")) * SIMILAR[0]
+    open_ = written(left.join(apart, "s", "left_semi"), "open")
+    other = open_.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"))
     across = open_.withColumnRenamed("node", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("to")) & _close(F.col("n"), F.col("m")))
-    more = written(_confirmed(across.where(enough).select("a", "b").distinct(), texts), "links")
-    whole = _rooted(own.drop("fp", "counts"), tree if more.isEmpty() else components(first.union(more)))
-    dropped(met, texts, open_, stars)
+    # All groups that two components' nodes share are open, so this counts all that their prefixes share.
+    shared = across.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
+    more = _confirmed(shared.where(_enough(F.col("k"), F.col("n"), F.col("m"))).select("a", "b"), own, rows)
+    whole = _rooted(own.drop("fp"), tree if more.isEmpty() else components(first.union(more)))
+    dropped(met, open_)
     return whole
 
 
