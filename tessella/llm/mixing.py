@@ -101,14 +101,14 @@ def balance(counts: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), row: str | None = None) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies)`` of every document, and the column ``row`` if one is named.
+    """``(doc_id, source, size, source_size, target, copies)`` of every document, and ``row``, a column or ``tie``, if one is named.
 
     A null source is a source. Documents without words take no part and have no copies; with none that has words all
     targets are 0. Rows with equal ids are rows of their own, ordered by their texts. Copies follow from ids and texts
     alone, so reruns agree. Other columns are left out.
     """
     more = [] if row is None else [row]
-    rows = written(sizes(docs, *more), "sizes")
+    rows = written(sizes(docs, *(c for c in more if c != "tie")), "sizes")
     totals = rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
     sources = written(targets(totals, weights), "targets")
     named = rows.join(sources.select(F.col("source").alias("name"), "no"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
@@ -129,11 +129,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), row: str | None =
     copies = F.greatest(F.least(up_to(F.col("k")) - up_to(F.col("k") - 1), F.lit(CAP)), F.lit(0)).cast("long")
     chosen = k.select("doc_id", "source", "no", "size", copies.alias("copies"), *more)
     empty = named.where("size = 0").select("doc_id", "source", "no", "size", F.lit(0).cast("long").alias("copies"), *more)
-    return (
-        chosen.unionByName(empty)
-        .join(sources.select("no", "source_size", "target"), "no")
-        .select("doc_id", "source", "size", "source_size", "target", "copies", *more)
-    )
+    out = chosen.unionByName(empty).join(sources.select("no", "source_size", "target"), "no")
+    out = out.select("doc_id", "source", "size", "source_size", "target", "copies", *more)
+    out._tessella_parts = [rows, sources, by_size, dealt]
+    return out
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -144,12 +143,20 @@ def digest(docs: DataFrame) -> DataFrame:
 def apply(docs: DataFrame) -> DataFrame:
     """The mix itself: each row as often as it has copies, all columns kept, whatever their names.
 
-    Rows are staged with a number once, and copies are counted and joined by that number, so rows with equal or null ids
-    are rows like others.
+    Copies are joined to rows by id and text. Where several rows have the same id and text, all rows are staged with a number
+    first and joined by that, so rows with equal or null ids are rows like others.
     """
-    row, many = fresh(docs, "_row"), fresh(docs, "_many")
-    staged = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    chosen = mix(staged, row=row).where("copies > 0").select(row, F.array_repeat(F.lit(0), F.col("copies").cast("int")).alias(many))
-    # Staged, so that its size is known to the join, and one that is small is not shuffled against the texts.
-    joined = staged.join(written(chosen, "copies"), row)
+    tie, many, of = fresh(docs, "_tie"), fresh(docs, "_many"), fresh(docs, "_of")
+    count = F.array_repeat(F.lit(0), F.col("copies").cast("int")).alias(many)
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    if docs.groupBy("doc_id", text).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        chosen = mix(docs, row="tie")
+        few = written(chosen.where("copies > 0").select(F.col("doc_id").alias(of), F.col("tie").alias(tie), count), "copies")
+        own = fresh(docs, "_own")
+        joined = docs.withColumn(own, text).join(few, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(own) == F.col(tie)))
+    else:
+        staged = written(docs.withColumn(tie, F.monotonically_increasing_id()), "numbered")
+        chosen = mix(staged, row=tie)
+        joined = staged.join(written(chosen.where("copies > 0").select(tie, count), "copies"), tie)
+    dropped(*chosen._tessella_parts)
     return joined.select(*columns(docs), F.explode(many).alias(many)).select(*columns(docs))

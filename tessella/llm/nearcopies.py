@@ -35,6 +35,8 @@ COMMON = 3
 MOST_COMMON = 1 << 20
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
+#: Bits of a set's parities, a multiple of 64: whether it has an odd number of shingles in each of so many buckets.
+PARITIES = 1024
 #: log2 of the bits of the bitmap of prefix shingles that several sets have: 16 MB at any size of the input.
 BITMAP = 27
 
@@ -132,8 +134,11 @@ def _confirmed(pairs: DataFrame, own: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar; one row of each node is read again, whole."""
     pairs = written(pairs, "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = own.join(named, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    texts = written(rows.select("row", "text").join(one, "row").select("node", "text"), "texts", "zstd")
+    one = own.join(named, "node", "left_semi").groupBy("node").agg(F.min(F.struct("h", "doc_id")).alias("r"))
+    one = one.select("node", F.col("r.h").alias("of"), F.col("r.doc_id").alias("id"))
+    # Rows with the same id and text are one text.
+    same = (F.col("h") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    texts = written(rows.join(one, same).select("node", "text").dropDuplicates(["node"]), "texts", "zstd")
     sides = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,6 +151,12 @@ def _confirmed(pairs: DataFrame, own: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """The parities of a set; two sets differ in at least as many shingles as parities."""
+    odd = np.bincount((own >> np.uint64(54)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _close(n: Column, m: Column) -> Column:
     """Whether two sets' sizes allow them to be similar."""
     return F.least(n, m) * SIMILAR[1] >= F.greatest(n, m) * SIMILAR[0]
@@ -158,6 +169,13 @@ def _enough(shared: Column, n: Column, m: Column) -> Column:
     return shared >= least + 1 - F.ceil(F.greatest(n, m) * F.lit(t) / F.lit(of))
 
 
+def _alike(one: str, two: str, n: Column, m: Column) -> Column:
+    """Whether two sets' parities allow them to be similar."""
+    t, of = SIMILAR
+    apart = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return apart * (t + of) <= (n + m) * (of - t)
+
+
 def _rooted(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     """``nodes`` with the root of their component."""
     roots = tree.select(F.col("node").alias("of"), "root")
@@ -165,30 +183,32 @@ def _rooted(nodes: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def simhash_links(own: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(a, b)``: each node beside the least node of those whose fingerprints chain to its own; candidates for confirmation."""
+    """``(a, b)``: nodes whose fingerprints the trees link, directly or through others of a shard; candidates for confirmation."""
     nodes = own.groupBy("node").agg(F.min("fp").alias("fp"))
-    prints = written(nodes.select("fp").distinct(), "fingerprints")
-    tree = components(linked(prints, prints.count(), radius)).select(F.col("node").alias("of"), "root")
-    named = nodes.join(tree, F.col("fp") == F.col("of"), "left").select("node", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("node").alias("a"))
-    return named.join(least, "root").where("a < node").select("a", F.col("node").alias("b"))
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    tree = linked(least.select("fp"), least.count(), radius)
+    x, y = (least.select(F.col("fp").alias(f), F.col("least").alias(n)) for f, n in (("a", "p"), ("b", "q")))
+    apart = tree.where("a <> b").join(x, "a").join(y, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    equal = nodes.join(least, "fp").where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return apart.union(equal)
 
 
-def near_copies(docs: DataFrame, row: str) -> DataFrame:
-    """``(row, doc_id, h, node, root)`` of every row: its number, the hash of its text, its set of shingles, and its component's name.
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``(doc_id, h, node, root)`` of every row: the hash of its text, its set of shingles, and its component's name.
 
     Texts link at SIMILAR or more; texts with the same set are one node, so null texts and texts without words are copies
     of each other.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col(row).alias("row"), "doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
 
     def name(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(b.column(3))
+        sets = shingle_sets(b.column(2))
         found = [pa.array([f(s) for s in sets], pa.int64()) for f in (_name, fingerprint)]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *found], ["row", "doc_id", "h", "node", "fp"])
+        odd = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (PARITIES // 64), pa.int32()), pa.array(np.concatenate([parities(s) for s in sets])))
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found, odd], ["doc_id", "h", "node", "fp", "odd"])
 
-    own = written(map_texts(rows, name, f"row long, doc_id {dict(rows.dtypes)['doc_id']}, h long, node long, fp long", 3), "nodes")
+    own = written(map_texts(rows, name, f"doc_id {dict(rows.dtypes)['doc_id']}, h long, node long, fp long, odd array<long>", 2), "nodes")
     met = _met(rows)
     # The group's least node that is least most often, for the node that shares most with it.
     times = met.where("low < node").groupBy("node", "n", "low").agg(F.count(F.lit(1)).alias("k"))
@@ -201,13 +221,15 @@ def near_copies(docs: DataFrame, row: str) -> DataFrame:
 
     left = _rooted(met.select("s", "node", "n"), tree)
     apart = left.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
-    open_ = written(left.join(apart, "s", "left_semi"), "open")
-    other = open_.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"))
-    across = open_.withColumnRenamed("node", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("to")) & _close(F.col("n"), F.col("m")))
+    odd = own.groupBy("node").agg(F.first("odd").alias("odd"))
+    open_ = written(left.join(apart, "s", "left_semi").join(odd, "node"), "open")
+    other = open_.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"), F.col("odd").alias("odds"))
+    n, m = F.col("n"), F.col("m")
+    across = open_.withColumnRenamed("node", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("to")) & _close(n, m) & _alike("odd", "odds", n, m))
     # All groups that two components' nodes share are open, so this counts all that their prefixes share.
     shared = across.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    more = _confirmed(shared.where(_enough(F.col("k"), F.col("n"), F.col("m"))).select("a", "b"), own, rows)
-    whole = _rooted(own.drop("fp"), tree if more.isEmpty() else components(first.union(more)))
+    more = _confirmed(shared.where(_enough(F.col("k"), n, m)).select("a", "b"), own, rows)
+    whole = _rooted(own.drop("fp", "odd"), tree if more.isEmpty() else components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
     dropped(met, open_)
     return whole
 
@@ -215,12 +237,15 @@ def near_copies(docs: DataFrame, row: str) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """One row of each component of near copies, the one with the smallest id, all columns kept, whatever their names.
 
-    Null ids come last; rows are staged with a number once and chosen by it, so rows with equal or null ids are rows
-    like others. Null texts and texts without words are copies of each other; an empty table stays empty.
+    Null ids come last; rows with equal or null ids are rows like others, told apart by their texts; of rows with the same
+    id and text any one is kept. Null texts and texts without words are copies of each other; an empty table stays empty.
     """
-    row = fresh(docs, "_row")
-    staged = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = near_copies(staged, row)
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")
-    first = written(found.groupBy("root").agg(F.min(key).alias("f")).select(F.col("f.row").alias(row)), "kept")
-    return staged.join(first, row, "left_semi").select(*columns(docs))
+    found = near_copies(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    hashed, first, other = fresh(docs, "_h"), fresh(docs, "_id"), fresh(docs, "_first")
+    best = found.groupBy("root").agg(F.min(key).alias("f")).select(F.col("f.doc_id").alias(first), F.col("f.h").alias(other))
+    kept = written(best, "kept")
+    same = F.col("doc_id").eqNullSafe(F.col(first)) & (F.col(hashed) == F.col(other))
+    out = docs.withColumn(hashed, F.xxhash64(F.coalesce("text", F.lit("")))).join(kept, same, "left_semi")
+    copies = not found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return (out.dropDuplicates(["doc_id", hashed]) if copies else out).select(*columns(docs))

@@ -121,7 +121,7 @@ class Encoder:
         self.known = np.zeros((4, 1 << 12), np.uint64)
         self.words = 0
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
 
     def _seek(self, hashed: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The memo's number of each word, -1 for an unknown one, and the cell where it is or would go."""
@@ -151,8 +151,8 @@ class Encoder:
         flat, size = self._ids(words)
         first, after = self.words, self.words + len(words)
         if after > len(self.size):
-            room = 2 * after
-            self.start, self.size = (np.concatenate([x[:first], np.zeros(room - first, np.int64)]) for x in (self.start, self.size))
+            room = max(after, min(2 * after, self.room))
+            self.start, self.size = (np.concatenate([x[:first], np.zeros(room - first, x.dtype)]) for x in (self.start, self.size))
             self.known = np.concatenate([self.known[:, :first], np.zeros((4, room - first), np.uint64)], 1)
         self.known[:, first:after] = word
         self.start[first:after], self.size[first:after] = self.used + np.cumsum(size) - size, size
