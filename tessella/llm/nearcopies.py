@@ -7,8 +7,9 @@ first n - ceil(t n) + 1 members of either in any one order of all members (prefi
 of their prefixes' shingles as well, and all that meets is confirmed by the sets themselves. A sample of the texts
 puts common shingles last in the order, which keeps groups small; sampling never decides which pairs are found.
 
-Each text is compared first with the candidate of SimHash and with the least text of most of its groups, one pair each;
-what these links leave in several components of a group is then compared across components. Pairs must share enough of
+Each text is compared first with the candidate of SimHash and with the least text of most of its groups, one pair each,
+then, in a few turns, with texts drawn from its groups, so that large clusters become one component in linear work;
+what these links leave in several components of a group is then compared across components, all of it. Pairs must share enough of
 their prefixes: of two similar sets, the one whose prefix ends first in the order has all it shares of that prefix
 in the other's prefix as well, and it can miss only what similarity lets it miss. So passages that many texts share do
 not make pairs. Groups are joins that can be split, never one row; texts are read again only for pairs.
@@ -37,6 +38,8 @@ MOST_COMMON = 1 << 20
 CHUNK = 1 << 15
 #: Bits of a set's parities, a multiple of 64: whether it has an odd number of shingles in each of so many buckets.
 PARITIES = 1024
+#: Most turns in which each set is compared with a few drawn from its groups, before groups are compared across components.
+TURNS = 3
 #: log2 of the bits of the bitmap of prefix shingles that several sets have: 16 MB at any size of the input.
 BITMAP = 27
 
@@ -182,6 +185,29 @@ def _rooted(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     return nodes.join(roots, F.col("node") == F.col("of"), "left").drop("of").withColumn("root", F.coalesce("root", "node"))
 
 
+def _open(met: DataFrame, tree: DataFrame, odd: DataFrame) -> DataFrame:
+    """``(node, s, n, root, odd)``: the sets of groups that several components share."""
+    left = _rooted(met.select("s", "node", "n"), tree)
+    apart = left.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
+    return written(left.join(apart, "s", "left_semi").join(odd, "node"), "open")
+
+
+def _drawn(open_: DataFrame, turn: int) -> DataFrame:
+    """``(a, b)``: each set with two that a hash draws from each of its groups, if of other components and perhaps similar."""
+    of = F.struct(F.xxhash64("node", "s", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("to"), F.col("odd").alias("odds"))
+    drawn = open_.groupBy("s").agg(F.array(F.min(of), F.max(of)).alias("d")).select("s", F.explode("d").alias("d")).select("s", "d.*")
+    met = open_.join(drawn, "s").where((F.col("root") != F.col("to")) & _close(F.col("n"), F.col("m")) & _alike("odd", "odds", F.col("n"), F.col("m")))
+    return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def _across(open_: DataFrame) -> DataFrame:
+    """``(a, b, n, m)``, once for each group: sets of different components that may be similar."""
+    other = open_.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"), F.col("odd").alias("odds"))
+    n, m = F.col("n"), F.col("m")
+    both = open_.withColumnRenamed("node", "a").join(other, "s")
+    return both.where((F.col("a") < F.col("b")) & (F.col("root") != F.col("to")) & _close(n, m) & _alike("odd", "odds", n, m)).select("a", "b", "n", "m")
+
+
 def simhash_links(own: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(a, b)``: nodes whose fingerprints the trees link, directly or through others of a shard; candidates for confirmation."""
     nodes = own.groupBy("node").agg(F.min("fp").alias("fp"))
@@ -219,18 +245,23 @@ def near_copies(docs: DataFrame) -> DataFrame:
     first = _confirmed(stars.union(simhash_links(own)).distinct(), own, rows)
     tree = written(components(first), "tree")
 
-    left = _rooted(met.select("s", "node", "n"), tree)
-    apart = left.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
-    odd = own.groupBy("node").agg(F.first("odd").alias("odd"))
-    open_ = written(left.join(apart, "s", "left_semi").join(odd, "node"), "open")
-    other = open_.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("to"), F.col("odd").alias("odds"))
+    odd = written(own.groupBy("node").agg(F.first("odd").alias("odd")), "odd")
+    for turn in range(TURNS):
+        open_ = _open(met, tree, odd)
+        links = _confirmed(_drawn(open_, turn), own, rows)
+        dropped(open_)
+        if links.isEmpty():
+            break
+        merged = written(components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "tree")
+        dropped(tree, links)
+        tree = merged
+    open_ = _open(met, tree, odd)
     n, m = F.col("n"), F.col("m")
-    across = open_.withColumnRenamed("node", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("to")) & _close(n, m) & _alike("odd", "odds", n, m))
     # All groups that two components' nodes share are open, so this counts all that their prefixes share.
-    shared = across.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
+    shared = _across(open_).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
     more = _confirmed(shared.where(_enough(F.col("k"), n, m)).select("a", "b"), own, rows)
     whole = _rooted(own.drop("fp", "odd"), tree if more.isEmpty() else components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
-    dropped(met, open_)
+    dropped(met, odd, open_)
     return whole
 
 
