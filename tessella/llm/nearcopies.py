@@ -36,8 +36,8 @@ COMMON = 3
 MOST_COMMON = 1 << 20
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
-#: Bits of a set's parities, a multiple of 64: whether it has an odd number of shingles in each of so many buckets.
-PARITIES = 1024
+#: Least and most bits of a set's parities, powers of two, by its size: whether it has an odd number of shingles in each of so many buckets.
+PARITIES = (256, 4096)
 #: Most turns in which each set is compared with a few drawn from its groups, before groups are compared across components.
 TURNS = 3
 #: log2 of the bits of the bitmap of prefix shingles that several sets have: 16 MB at any size of the input.
@@ -155,8 +155,9 @@ def _confirmed(pairs: DataFrame, own: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def parities(own: np.ndarray) -> np.ndarray:
-    """The parities of a set; two sets differ in at least as many shingles as parities."""
-    odd = np.bincount((own >> np.uint64(54)).astype(np.int64), minlength=PARITIES) & 1
+    """The parities of a set; two sets differ in at least as many shingles as parities, or as parities folded to the shorter."""
+    bits = min(max(PARITIES[0], 1 << max(0, len(own) - 1).bit_length()), PARITIES[1])
+    odd = np.bincount(((own >> np.uint64(52)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -172,10 +173,17 @@ def _enough(shared: Column, n: Column, m: Column) -> Column:
     return shared >= least + 1 - F.ceil(F.greatest(n, m) * F.lit(t) / F.lit(of))
 
 
+def _folded(one: str, two: str) -> Column:
+    """Parities ``one``, their halves put together if ``two`` has fewer. Sizes that are close differ by one halving at most."""
+    half = (F.size(one) / 2).cast("int")
+    both = F.zip_with(F.slice(one, 1, half), F.slice(one, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(one) > F.size(two), both).otherwise(F.col(one))
+
+
 def _alike(one: str, two: str, n: Column, m: Column) -> Column:
     """Whether two sets' parities allow them to be similar."""
     t, of = SIMILAR
-    apart = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    apart = F.aggregate(F.zip_with(_folded(one, two), _folded(two, one), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     return apart * (t + of) <= (n + m) * (of - t)
 
 
@@ -231,7 +239,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     def name(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(b.column(2))
         found = [pa.array([f(s) for s in sets], pa.int64()) for f in (_name, fingerprint)]
-        odd = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (PARITIES // 64), pa.int32()), pa.array(np.concatenate([parities(s) for s in sets])))
+        bits = [parities(s) for s in sets]
+        odd = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bits)]), pa.int32()), pa.array(np.concatenate(bits)))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found, odd], ["doc_id", "h", "node", "fp", "odd"])
 
     own = written(map_texts(rows, name, f"doc_id {dict(rows.dtypes)['doc_id']}, h long, node long, fp long, odd array<long>", 2), "nodes")
