@@ -17,8 +17,8 @@ from . import porter
 #: Maximal runs of ASCII letters and digits; every other character, accented letters too, separates.
 TOKEN = "[A-Za-z0-9]+"
 
-# Words that queries may name although the index leaves them out.
-QUERIED_STOP_WORDS = ("way", "like", "new", "one", "us", "use", "used", "would")
+# Fixed value: a word that the configured queries name although the index leaves it out.
+QUERIED_STOP_WORDS = ("way",)
 
 TERM_COUNTS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
 

@@ -255,7 +255,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         ),
         "empty_docs": (
             lambda s, d: text_index.documents_without_terms(docs(s, d), raw_counts(s, d)),
-            f"WITH {COUNTS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT c.doc_id FROM counts c JOIN documents d ON c.doc_id = d.doc_id WHERE length(d.text) > 40)",
+            f"WITH {COUNTS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM counts)",
         ),
         "labels_needed": (
             lambda s, d: text_index.labels_needed(raw_counts(s, d), _NEEDED),

@@ -173,6 +173,13 @@ def lookup(store: DataFrame, wanted: DataFrame, key: str = "label") -> DataFrame
     return store.join(wanted.select(key).distinct(), key)
 
 
-def upsert(store: DataFrame, more: DataFrame, key: str = "label") -> DataFrame:
-    """The store after a batch write: last write wins by key."""
-    return store.join(more.select(key), key, "left_anti").unionByName(more)
+def upsert(store: DataFrame, more: DataFrame, key: str = "label", order: str | None = None) -> DataFrame:
+    """The store after a batch write: last write wins by key, one row of each key of ``more``.
+
+    Of several rows of one key the one greatest by ``order`` is the last, ties and no ``order`` by the other columns.
+    """
+    rest = [c for c in more.columns if c != key]
+    first = [c for c in rest if c == order]
+    last = more.groupBy(key).agg(F.max(F.struct(*first, *(c for c in rest if c != order))).alias("_last")) if rest else more.distinct()
+    last = last.select(key, "_last.*") if rest else last
+    return store.join(last.select(key), key, "left_anti").unionByName(last)

@@ -157,3 +157,9 @@ def test_metrics(spark):
     with m.phase("count"):
         m.counted("rows", spark.range(7)).count()
     assert m.rows["rows"].get == {"rows": 7} and m.report(spark).first().runs == 1
+
+
+def test_upsert_keeps_the_last_of_equal_keys(spark):
+    old = spark.createDataFrame([("k", 1, 0), ("m", 2, 0)], "label string, v int, at int")
+    new = spark.createDataFrame([("k", 9, 1), ("k", 3, 2), ("z", 5, 1), ("z", 5, 1)], "label string, v int, at int")
+    assert sorted(tuple(r) for r in files.upsert(old, new, order="at").collect()) == [("k", 3, 2), ("m", 2, 0), ("z", 5, 1)]
