@@ -48,10 +48,13 @@ class TextIndex:
         writer.parquet(f"{self.path}/{table}")
 
     def add(self, docs: DataFrame, batch: int, doc_id: str = "doc_id", text: str = "text") -> None:
-        """Index a batch of documents. Postings are clustered by bucket and term for pruning at search."""
+        """Index a batch of documents. Postings are clustered by bucket and term for pruning at search.
+
+        Spark sizes the tasks by their data: small buckets share one, and a bucket with a very common term is split.
+        """
         rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         counts = X.term_counts(rows, self.stop_words)
-        clustered = counts.withColumn("bucket", _bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term")
+        clustered = counts.withColumn("bucket", _bucket("term")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         self._write(clustered, "postings", batch, "append", ("batch", "bucket"))
         self._write(rows.select("doc_id"), "docs", batch, "append")
 
@@ -77,7 +80,8 @@ class TextIndex:
         return text_search.search(self._pruned(boolean.words(tree)), self.docs, tree, k)
 
     def search_batch(self, queries: Sequence[tuple[int, str]], k: int = text_search.TOP_K) -> DataFrame:
-        return text_search.search_batch(self.counts, self.docs, queries, k, X.query_word)
+        terms = {t for _, q in queries for t in text_search.named_terms(q, X.query_word)}
+        return text_search.search_batch(self._pruned(terms), self.docs, queries, k, X.query_word)
 
     def postings(self) -> DataFrame:
         return text_index.postings(self.counts.select("doc_id", "term", "tf"))

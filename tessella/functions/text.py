@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import string
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,10 +65,17 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(porter.stem, na_action="ignore")
 
 
-@F.pandas_udf(TERM_COUNTS)
-def _stemmed_counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for words in batches:
-        yield words.map(lambda ws: [{"term": t, "tf": n} for t, n in Counter(map(porter.stem, ws)).items()])
+@F.arrow_udf(TERM_COUNTS)
+def _stemmed_counts(words: pa.Array) -> pa.Array:
+    """Terms of each row's words. Each different word of a batch is stemmed once; rows are counted as numbers."""
+    rows = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    seen = words.flatten().dictionary_encode()
+    stems = pa.array([porter.stem(w) for w in seen.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    n = max(len(stems.dictionary), 1)
+    term_of = stems.indices.to_numpy(zero_copy_only=False)[seen.indices.to_numpy(zero_copy_only=False)]
+    cells, times = np.unique(rows * n + term_of, return_counts=True)
+    counts = pa.StructArray.from_arrays([stems.dictionary.take(pa.array(cells % n)), pa.array(times, pa.int32())], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(cells // n, np.arange(len(words) + 1)), pa.int32()), counts)
 
 
 def query_word(word: str) -> str:
@@ -73,15 +83,39 @@ def query_word(word: str) -> str:
     return porter.stem("".join(c.lower() if c.isascii() else c for c in word))
 
 
+def only_named(words: Column, terms: Iterable[str], stemmed: bool = True) -> Column:
+    """Tokens that may give one of ``terms``, before rows are made of them; without stems, exactly those that do.
+
+    The stemmer cuts a word's end and puts at most two letters of its own in place, so a word begins with all but the last
+    two letters of its stem.
+    """
+    named = sorted(set(terms))
+    if not named:
+        return F.array().cast("array<string>")
+    if not stemmed:
+        return F.filter(words, lambda w: w.isin(named))
+    heads = sorted({t[:-2] for t in named})
+    return F.filter(words, lambda w: reduce(lambda a, b: a | b, (w.startswith(h) for h in heads)))
+
+
 def term_counts(
-    docs: DataFrame, stop_words: Iterable[str] = (), stemmed: bool = True, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    stop_words: Iterable[str] = (),
+    stemmed: bool = True,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    terms: Iterable[str] | None = None,
 ) -> DataFrame:
     """One row ``(doc_id, term, tf)`` for each document and term.
 
     A document is one row, so with stems its terms are counted inside the row and nothing is shuffled; without
     stems the count is a JVM aggregation. Null and empty texts give no rows. Other columns are ignored.
+    ``terms`` leaves only their rows, as a query that names them needs; other words are dropped inside the document's row.
     """
     words = tokens(text)
+    if terms is not None:
+        terms = sorted(set(terms))
+        words = only_named(words, terms, stemmed)
     if stop_words:
         words = without_stop_words(words, stop_words)
     if not stemmed:
@@ -90,4 +124,10 @@ def term_counts(
             .groupBy("doc_id", "term")
             .agg(F.count(F.lit(1)).cast("int").alias("tf"))
         )
-    return docs.select(F.col(doc_id).alias("doc_id"), F.inline(_stemmed_counts(words)))
+    counts = docs.select(F.col(doc_id).alias("doc_id"), F.inline(_stemmed_counts(words)))
+    return counts if terms is None else counts.where(F.col("term").isin(terms))
+
+
+def document_terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, term)`` of each row's different tokens, made inside the row: nothing is shuffled. Ids must differ."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(tokens(text))).alias("term"))

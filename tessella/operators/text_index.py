@@ -20,7 +20,8 @@ def postings(counts: DataFrame, block: int = 1 << 20) -> DataFrame:
     earlier blocks, so that a term in very many documents is numbered by many tasks.
     """
     parts = counts.withColumn("part", F.floor(F.col("doc_id") / F.lit(block)))
-    sizes = parts.groupBy("term", "part").agg(F.count(F.lit(1)).alias("n"))
+    # Sizes name tf, so both branches need the same columns of counts and share its shuffle.
+    sizes = parts.groupBy("term", "part").agg(F.count_if(F.col("tf") > 0).alias("n"))
     before = Window.partitionBy("term").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("term", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     inside = Window.partitionBy("term", "part").orderBy("doc_id")

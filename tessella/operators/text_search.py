@@ -20,6 +20,11 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(df > 0, F.log10(n / df)).otherwise(F.lit(0.0))
 
 
+def named_terms(query: str | B.Node, norm: Callable[[str], str] = str.lower) -> list[str]:
+    """The terms that a query names: all that a search needs of the counts."""
+    return sorted(B.words(B.parse(query, norm) if isinstance(query, str) else query))
+
+
 def _weights(counts: DataFrame, docs: DataFrame, terms: Sequence[str], stats: DataFrame | None) -> DataFrame:
     """idf of the named terms: as many rows as the query has terms, so a broadcast is bounded by the query."""
     known = stats if stats is not None else document_frequencies(counts.where(F.col("term").isin(*terms)))

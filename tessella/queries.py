@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import keyed
+from .engine import TextIndex
+from .functions import keyed, vector
 from .functions import text as X
 from .operators import fusion, text_index, text_search, vision
 from .plans import boolean as B
 from .sources import files
 from .sql import porter_sql
+from .staging import shared_folder
+from .streaming import ingest
 
 K = 16
 QUERY_IMAGE = 3
@@ -28,12 +32,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def raw_counts(spark: SparkSession, d: str) -> DataFrame:
-    return X.term_counts(table(spark, d, "documents"), stemmed=False)
+def raw_counts(spark: SparkSession, d: str, terms: Iterable[str] | None = None) -> DataFrame:
+    return X.term_counts(table(spark, d, "documents"), stemmed=False, terms=terms)
 
 
-def stemmed_counts(spark: SparkSession, d: str) -> DataFrame:
-    return X.term_counts(table(spark, d, "documents"), STOP)
+def stemmed_counts(spark: SparkSession, d: str, terms: Iterable[str] | None = None) -> DataFrame:
+    return X.term_counts(table(spark, d, "documents"), STOP, terms=terms)
+
+
+def document_terms(spark: SparkSession, d: str) -> DataFrame:
+    return X.document_terms(table(spark, d, "documents"))
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +149,43 @@ BOOLEAN = {
 
 
 def _search(query: str, k: int | None) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: text_search.search(raw_counts(s, d), docs(s, d), query, k)
+    return lambda s, d: text_search.search(raw_counts(s, d, text_search.named_terms(query)), docs(s, d), query, k)
+
+
+def _stemmed_search(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    terms = text_search.named_terms(query, X.query_word)
+    return lambda s, d: text_search.search(stemmed_counts(s, d, terms), docs(s, d), query, norm=X.query_word)
+
+
+def _batch(s: SparkSession, d: str) -> DataFrame:
+    terms = {t for q in BATCH for t in text_search.named_terms(q)}
+    return text_search.search_batch(raw_counts(s, d, terms), docs(s, d), list(enumerate(BATCH)))
+
+
+def _new_index(s: SparkSession) -> TextIndex:
+    return TextIndex(s, f"{shared_folder(s)}/index-{uuid4().hex}", STOP).create()
+
+
+def _stored(s: SparkSession, d: str) -> TextIndex:
+    """An index of all documents, stored in the shared folder."""
+    index = _new_index(s)
+    index.add(table(s, d, "documents"), 1)
+    return index
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """Postings of an index that was filled by a stream of the documents table."""
+    index = _new_index(s)
+    stream = s.readStream.schema(table(s, d, "documents").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parquet*")
+    ingest.ingest_texts(stream, index, f"{index.path}-progress", available_now=True).awaitTermination()
+    return index.counts.select("doc_id", "term", "tf")
+
+
+def _vector_measures(s: SparkSession, d: str) -> DataFrame:
+    """Distances and dot product of each vector and its reverse."""
+    a, b = F.col("embedding"), F.reverse("embedding")
+    measures = {"l2": vector.l2(a, b), "squared_l2": vector.squared_l2(a, b), "dot": vector.dot(a, b)}
+    return table(s, d, "embeddings").select("vec_id", *[F.round(m, 5).alias(n) for n, m in measures.items()])
 
 
 def _image(technique: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -154,7 +198,7 @@ def _image(technique: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _fusion(mode: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(s: SparkSession, d: str) -> DataFrame:
-        found = text_search.search(raw_counts(s, d), docs(s, d), FUSION_QUERY)
+        found = _search(FUSION_QUERY, text_search.TOP_K)(s, d)
         seen = _image("kmeans")(s, d).withColumnRenamed("image_id", "doc_id")
         return fusion.fuse(found, seen, mode)
 
@@ -184,7 +228,7 @@ def _articles(s: SparkSession, d: str, compat: bool) -> DataFrame:
 def _sealed(s: SparkSession, d: str) -> DataFrame:
     """Label, seal, look up by label, check and open the postings of the fixed terms."""
     key, master = bytes(16), bytes(32)
-    counts = raw_counts(s, d).where(F.col("term").isin("thing", "hand", "tion"))
+    counts = raw_counts(s, d, ("thing", "hand", "tion"))
     found = text_index.postings(counts)
     marked = found.withColumn("label", keyed.label(keyed.term_key(master, F.col("term")), F.col("pos").cast("int")))
     record = F.to_json(F.struct("doc_id", "tf")).cast("binary")
@@ -234,7 +278,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
             f"WITH {COUNTS} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_tokens FROM counts GROUP BY 1",
         ),
         "term_df": (
-            lambda s, d: text_index.document_frequencies(raw_counts(s, d)),
+            lambda s, d: text_index.document_frequencies(document_terms(s, d)),
             f"WITH {COUNTS} SELECT term, count(*) AS df FROM counts GROUP BY 1",
         ),
         "postings_pos": (
@@ -242,23 +286,23 @@ def registry() -> dict[str, tuple[Query, str | None]]:
             f"WITH {COUNTS} SELECT term, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS pos, doc_id, tf FROM counts",
         ),
         "index_size": (
-            lambda s, d: text_index.index_size(raw_counts(s, d)),
+            lambda s, d: text_index.index_size(document_terms(s, d)),
             f"WITH {COUNTS} SELECT count(*) AS index_size FROM counts",
         ),
         "list_words": (
-            lambda s, d: text_index.words_by_frequency(raw_counts(s, d)),
+            lambda s, d: text_index.words_by_frequency(document_terms(s, d)),
             f"WITH {COUNTS} SELECT term, count(*) AS df FROM counts GROUP BY 1 ORDER BY df, term",
         ),
         "top_terms": (
-            lambda s, d: text_index.document_frequencies(raw_counts(s, d)).orderBy(F.desc("df"), "term").limit(20),
+            lambda s, d: text_index.document_frequencies(document_terms(s, d)).orderBy(F.desc("df"), "term").limit(20),
             f"WITH {COUNTS} SELECT term, count(*) AS df FROM counts GROUP BY 1 ORDER BY df DESC, term LIMIT 20",
         ),
         "empty_docs": (
-            lambda s, d: text_index.documents_without_terms(docs(s, d), raw_counts(s, d)),
+            lambda s, d: text_index.documents_without_terms(docs(s, d), document_terms(s, d)),
             f"WITH {COUNTS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM counts)",
         ),
         "labels_needed": (
-            lambda s, d: text_index.labels_needed(raw_counts(s, d), _NEEDED),
+            lambda s, d: text_index.labels_needed(raw_counts(s, d, _NEEDED), _NEEDED),
             f"WITH {COUNTS} SELECT CAST(sum(CASE term WHEN 'thing' THEN 2 ELSE 1 END) AS BIGINT) AS labels_needed FROM counts WHERE term IN ('thing', 'tion', 'zzz')",
         ),
         "dense_ids": (
@@ -272,17 +316,35 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "rank_tfidf_topk": (_search("thing || hand || ther", 10), _search_sql("thing || hand || ther")),
         "rank_not_zero_scores": (_search("!thing && !tion", 10), _search_sql("!thing && !tion")),
         "rank_stemmed_topk": (
-            lambda s, d: text_search.search(stemmed_counts(s, d), docs(s, d), "things || (hands && !tions)", norm=X.query_word),
+            _stemmed_search("things || (hands && !tions)"),
             _search_sql("things || (hands && !tions)", X.query_word, counts=STEMMED),
         ),
         "stopword_in_query": (
-            lambda s, d: text_search.search(stemmed_counts(s, d), docs(s, d), "the || thes", norm=X.query_word),
+            _stemmed_search("the || thes"),
             _search_sql("the || thes", X.query_word, counts=STEMMED),
         ),
         "batch_queries_topk": (
-            lambda s, d: text_search.search_batch(raw_counts(s, d), docs(s, d), list(enumerate(BATCH))),
+            _batch,
             _batch_sql(list(enumerate(BATCH))),
         ),
+        "stored_index_search": (
+            lambda s, d: _stored(s, d).search("things || (hands && !tions)"),
+            _search_sql("things || (hands && !tions)", X.query_word, counts=STEMMED),
+        ),
+        "stored_index_batch": (
+            lambda s, d: _stored(s, d).search_batch(list(enumerate(BATCH))),
+            _batch_sql(list(enumerate(BATCH)), X.query_word, STEMMED),
+        ),
+        "stored_index_postings": (
+            lambda s, d: _stored(s, d).postings(),
+            f"WITH {STEMMED} SELECT term, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS pos, doc_id, tf FROM counts",
+        ),
+        "stream_index_matches_batch": (_streamed, f"WITH {STEMMED} SELECT doc_id, term, tf FROM counts"),
+        "vector_measures": (
+            _vector_measures,
+            f"""SELECT vec_id, round(list_distance(a, b), 5) AS l2, round(list_distance(a, b) ** 2, 5) AS squared_l2, round(list_inner_product(a, b), 5) AS dot
+ FROM (SELECT vec_id, {_DOUBLE.format('embedding')} AS a, {_DOUBLE.format('list_reverse(embedding)')} AS b FROM embeddings)""",
+        ),
         "query_from_tags": (
             _tag_queries,
             r"SELECT item_id, array_to_string(list_transform(list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda t: t <> ''), lambda t: replace(t, ' ', '_')), ' || ') AS query FROM benchmark",
