@@ -14,6 +14,8 @@ from .text_search import DIGITS
 TOP_K = 15
 #: A codebook goes to every task only up to this many numbers; a larger one is assigned in blocks of centres.
 BLOCK_NUMBERS = 8_000_000
+#: Descriptors are measured in tiles, so that tile times block of centres has at most this many cells at once.
+TILE_CELLS = 4_000_000
 
 
 def _matrix(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +50,28 @@ def _largest_dot(x: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.where(value > 0, best, 0), value
 
 
+def _best(x: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], near: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Centre number and measure of the best centre of all blocks, in tiles of bounded size."""
+    centre, measure = np.full(len(x), blocks[0][0][0], "int32"), np.full(len(x), np.inf if near else 0.0)
+    for ids, m in blocks:
+        step = max(1, TILE_CELLS // len(m))
+        for i in range(0, len(x), step):
+            own = slice(i, i + step)
+            at, value = (_nearest if near else _largest_dot)(x[own], m)
+            better = value < measure[own] if near else value > measure[own]
+            centre[own], measure[own] = np.where(better, ids[at], centre[own]), np.where(better, value, measure[own])
+    return centre, measure
+
+
+def _sent(descriptors: DataFrame, codebook: DataFrame) -> tuple[list, int]:
+    """The codebook's blocks as broadcasts, and the length of its vectors."""
+    numbers, vectors = _matrix(codebook)
+    dim = vectors.shape[1] if vectors.size else 0
+    step = max(1, BLOCK_NUMBERS // max(dim, 1))
+    sc = descriptors.sparkSession.sparkContext
+    return [sc.broadcast((numbers[i : i + step], vectors[i : i + step])) for i in range(0, len(numbers), step)], dim
+
+
 def assign(descriptors: DataFrame, codebook: DataFrame, technique: str = "kmeans") -> DataFrame:
     """``(image_id, desc_no, centre, measure)``: nearest centre, or hyperplane of largest dot product for ``lsh``.
 
@@ -57,23 +81,12 @@ def assign(descriptors: DataFrame, codebook: DataFrame, technique: str = "kmeans
     """
     if technique not in ("kmeans", "lsh"):
         raise ValueError(f"unknown technique {technique!r}")
-    numbers, vectors = _matrix(codebook)
-    dim = vectors.shape[1] if vectors.size else 0
-    step = max(1, BLOCK_NUMBERS // max(dim, 1))
-    blocks = [(numbers[i : i + step], vectors[i : i + step]) for i in range(0, len(numbers), step)]
-    sc = descriptors.sparkSession.sparkContext
-    held = [sc.broadcast(b) for b in blocks]
+    held, dim = _sent(descriptors, codebook)
     near = technique == "kmeans"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _vectors(b.column(2), dim)
-            centre, measure = np.full(len(x), numbers[0], "int32"), np.full(len(x), np.inf if near else 0.0)
-            for block in held:
-                ids, m = block.value
-                at, value = (_nearest if near else _largest_dot)(x, m)
-                better = value < measure if near else value > measure
-                centre, measure = np.where(better, ids[at], centre), np.where(better, value, measure)
+            centre, measure = _best(_vectors(b.column(2), dim), [h.value for h in held], near)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(centre.astype("int32")), pa.array(measure)],
                 ["image_id", "desc_no", "centre", "measure"],
@@ -160,17 +173,36 @@ def macqueen(descriptors: DataFrame, codebook: DataFrame) -> DataFrame:
     """One pass of sequential k-means over a stream's next batch, as a distributed weighted update.
 
     Each centre moves to the mean of itself, with weight ``n`` (1 if absent), and of the batch's descriptors nearest to
-    it; returns ``(centre, centre_vec, n)``. For a batch of one descriptor this is MacQueen's rule.
+    it; returns ``(centre, centre_vec, n)``. For a batch of one descriptor this is MacQueen's rule; for a larger one it is a
+    batch mean, which does not depend on the order of the descriptors. Each task sums its descriptors by centre, so what is
+    shuffled grows with tasks and centres, not with descriptors.
     """
-    held = codebook if "n" in codebook.columns else codebook.withColumn("n", F.lit(1).cast("long"))
-    near = assign(descriptors, codebook).select("image_id", "desc_no", "centre")
+    weighted = codebook if "n" in codebook.columns else codebook.withColumn("n", F.lit(1).cast("long"))
+    held, dim = _sent(descriptors, codebook)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [h.value for h in held]
+        if not blocks:
+            return
+        numbers = np.concatenate([ids for ids, _ in blocks])
+        total, more = np.zeros((len(numbers), dim)), np.zeros(len(numbers), "int64")
+        for b in batches:
+            x = _vectors(b.column(0), dim)
+            at = np.searchsorted(numbers, _best(x, blocks, True)[0])
+            np.add.at(total, at, x)
+            more += np.bincount(at, minlength=len(numbers))
+        seen = np.flatnonzero(more)
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1) * dim, pa.int32()), pa.array(total[seen].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[seen]), sums, pa.array(more[seen])], ["centre", "total", "more"])
+
+    fit = descriptors.where(F.size("vec") == dim).select("vec")
     parts = (
-        descriptors.join(near, ["image_id", "desc_no"])
-        .select("centre", F.posexplode("vec").alias("at", "x"))
+        fit.mapInArrow(run, "centre int, total array<double>, more long")
+        .select("centre", F.posexplode("total").alias("at", "x"), "more")
         .groupBy("centre", "at")
-        .agg(F.sum(F.col("x").cast("double")).alias("total"), F.count(F.lit(1)).alias("more"))
+        .agg(F.sum("x").alias("total"), F.sum("more").alias("more"))
     )
-    old = held.select("centre", "n", F.posexplode("centre_vec").alias("at", "x"))
+    old = weighted.select("centre", "n", F.posexplode("centre_vec").alias("at", "x"))
     moved = old.join(parts, ["centre", "at"], "left").select(
         "centre",
         "at",

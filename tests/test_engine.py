@@ -163,3 +163,48 @@ def test_upsert_keeps_the_last_of_equal_keys(spark):
     old = spark.createDataFrame([("k", 1, 0), ("m", 2, 0)], "label string, v int, at int")
     new = spark.createDataFrame([("k", 9, 1), ("k", 3, 2), ("z", 5, 1), ("z", 5, 1)], "label string, v int, at int")
     assert sorted(tuple(r) for r in files.upsert(old, new, order="at").collect()) == [("k", 3, 2), ("m", 2, 0), ("z", 5, 1)]
+
+
+def test_sequential_means_do_not_depend_on_tiles_or_tasks(spark, monkeypatch):
+    import numpy as np
+
+    from tessella.operators import vision
+
+    rng = np.random.default_rng(5)
+    points, centres = rng.normal(size=(300, 4)).astype("float32"), rng.normal(size=(7, 4)).astype("float32")
+    schema = "image_id long, desc_no int, vec array<float>"
+    rows = [(i, 0, p.tolist()) for i, p in enumerate(points)] + [(900, 0, None), (901, 0, [1.0])]
+    book = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "centre int, centre_vec array<float>")
+    near = ((points[:, None, :].astype(float) - centres[None]) ** 2).sum(2).argmin(1)
+    for cells, numbers in ((4_000_000, 8_000_000), (30, 12)):
+        monkeypatch.setattr(vision, "TILE_CELLS", cells)
+        monkeypatch.setattr(vision, "BLOCK_NUMBERS", numbers)
+        x = spark.createDataFrame(rows, schema).repartition(5)
+        assert {r.image_id: r.centre for r in vision.assign(x, book).collect()} == dict(enumerate(near.tolist()))
+        for r in vision.macqueen(x, book).collect():
+            own = points[near == r.centre].astype(float)
+            assert r.n == 1 + len(own)
+            assert np.allclose(r.centre_vec, (centres[r.centre] + own.sum(0)) / r.n, atol=1e-5)
+    assert vision.macqueen(spark.createDataFrame([], schema), book).where("n = 1").count() == 7
+
+
+def test_named_terms_are_all_a_search_needs(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for terms in ([], ["thing"], ["th", "zzz"], ["hand", "tion", "a"]):
+        for stemmed in (True, False):
+            want = X.term_counts(docs, ["the"], stemmed).where(F.col("term").isin(terms) if terms else F.lit(False))
+            got = X.term_counts(docs, ["the"], stemmed, terms=terms)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "Things thing THE s")], "doc_id long, text string")
+    assert sorted(map(tuple, X.term_counts(odd, ["the"]).collect())) == [(3, "s", 1), (3, "thing", 2)]
+    assert sorted(map(tuple, X.document_terms(odd).collect())) == [(3, t) for t in ("s", "the", "thing", "things")]
+
+
+def test_a_word_begins_with_its_stem_but_for_two_letters():
+    from itertools import product
+
+    from tessella.functions import porter
+
+    ends = ["", "s", "es", "ies", "ed", "ing", "y", "e", "ll"] + [a for a, _ in porter.STEP2 + porter.STEP3] + list(porter.STEP4)
+    for word in map("".join, product(("a", "tr", "hop", "rel", "logi", "iz"), ends, ends, ("", "s", "ed", "ing", "y", "ly"))):
+        assert word.startswith(porter.stem(word)[:-2])
