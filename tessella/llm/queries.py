@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, fuzzyhash, mixing, ordinal, preference, sharding, simhash, substring, tokenfile, toxicity
+from . import decontaminate, fuzzyhash, merkle, mixing, ordinal, preference, sharding, simhash, substring, tokenfile, toxicity
 from .store import table
 
 #: The vocabulary file is a parameter of the operator and stays outside the repository.
@@ -25,4 +25,5 @@ def registry() -> dict:
         "op8_hash_shards": (lambda s, d: sharding.digest(docs(s, d)), None),
         "op9_toxicity": (lambda s, d: toxicity.digest(docs(s, d), table(s, d, "labels")), None),
         "op10_simhash_components": (lambda s, d: simhash.digest(docs(s, d)), None),
+        "op11_merkle_manifest": (lambda s, d: merkle.digest(docs(s, d)), None),
     }
