@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, fuzzyhash, merkle, mixing, ordinal, periodic, preference, sharding, simhash, substring, tokenfile, toxicity
+from . import decontaminate, fuzzyhash, language, merkle, mixing, ordinal, periodic, preference, sharding, simhash, substring, tokenfile, toxicity
 from .store import table
 
 #: The vocabulary file is a parameter of the operator and stays outside the repository.
@@ -27,4 +27,5 @@ def registry() -> dict:
         "op10_simhash_components": (lambda s, d: simhash.digest(docs(s, d)), None),
         "op11_merkle_manifest": (lambda s, d: merkle.digest(docs(s, d)), None),
         "op12_periodic_runs": (lambda s, d: periodic.digest(docs(s, d)), None),
+        "op13_language": (lambda s, d: language.digest(docs(s, d)), None),
     }
