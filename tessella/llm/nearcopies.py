@@ -4,8 +4,9 @@ Each text's fingerprint is the majority of its shingles' hashes, and vantage-poi
 RADIUS bits, as in ``simhash``. Similar sets may differ in more bits than any radius that trees can search (about 10 of 64
 at the limit, up to 19), so their links are completed exactly: two sets with Jaccard similarity t or more share one of the
 first n - ceil(t n) + 1 members of either in any one order of all members (prefix filter). So texts meet in the groups
-of their prefixes' shingles as well, and all that meets is confirmed by the sets themselves. A sample of the texts
-puts common shingles last in the order, which keeps groups small; sampling never decides which pairs are found.
+of their prefixes' shingles as well, and all that meets is confirmed by the sets themselves. Counts over a fixed share of all
+texts put common shingles last in the order, which keeps groups as small in a large table as in a small one; they never
+decide which pairs are found.
 
 Each text is compared first with the candidate of SimHash and with the least text of most of its groups, one pair each,
 then, in a few turns, with texts drawn from its groups, so that large clusters become one component in linear work;
@@ -30,10 +31,13 @@ from .words import bitmap, marked_places
 SHINGLE = 5
 #: Least similarity of near copies, as a fraction: 4 / 5.
 SIMILAR = (4, 5)
-#: Rows that tell which shingles are common, how often such a one occurs there, and how many are told to the tasks.
+#: Rows that tell which shingles are common: one in SHARE of all, however many, and at least SAMPLE.
+SHARE = 6
 SAMPLE = 1 << 13
+#: Of those, the rows that have a common shingle, and how much more often each further level of common ones occurs.
 COMMON = 3
-MOST_COMMON = 1 << 20
+LEVELS = 4
+STEP = 8
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 #: Least and most bits of a set's parities, powers of two, by its size: whether it has an odd number of shingles in each of so many buckets.
@@ -71,30 +75,35 @@ def fingerprint(own: np.ndarray) -> int:
     return int(np.packbits(2 * over > len(own)).view(np.int64)[0])
 
 
-def prefix(own: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The shingles of which similar sets share one: the rarest first, by the sample, then by hash."""
+def prefix(own: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """The shingles of which similar sets share one: the rarest first, by level, then by hash."""
     n = len(own)
     p = n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1 if n else 0
-    if not len(common):
-        return own[:p]
-    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-    return own[np.argsort(np.where(common[at] == own, times[at], 0), kind="stable")[:p]]
+    at = np.zeros(n, np.int8)
+    for marked in levels:
+        at[marked_places(marked, own)] += 1
+    return own[np.argsort(at, kind="stable")[:p]]
 
 
-def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, ascending, and how many sampled texts have them."""
+def _common(rows: DataFrame) -> list[np.ndarray]:
+    """Bitmaps of common shingles, each level's in the one before, whose size does not grow with the input.
+
+    A share of all rows is counted, so a shingle that is not marked is in about as many texts at any size of the input. A bit
+    that several shingles have puts rare ones among the common; any order of all shingles finds the same pairs.
+    """
     n = rows.count()
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return []
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(b.column(0))).view(np.int64))], ["s"])
 
-    seen = map_texts(rows.select("text").sample(min(1.0, SAMPLE / n), 1), run, "s long", 0)
-    top = seen.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(MOST_COMMON).toArrow()
-    shingles = top.column("s").to_numpy().view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], top.column("n").to_numpy()[order]
+    few = rows.select("text").sample(min(1.0, max(SAMPLE / n, 1 / SHARE)), 1)
+    seen = map_texts(few, run, "s long", 0).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    seen = written(seen.select(F.col("s").alias("anchor"), "n"), "common")
+    out = [bitmap(seen.where(F.col("n") >= COMMON * STEP**k), BITMAP) for k in range(LEVELS)]
+    dropped(seen)
+    return [b for b in out if b.any()]
 
 
 def _prefixes(rows: DataFrame, held, marked=None) -> DataFrame:
@@ -102,7 +111,7 @@ def _prefixes(rows: DataFrame, held, marked=None) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         sets = shingle_sets(b.column(0))
-        heads = [prefix(s, *held.value) for s in sets]
+        heads = [prefix(s, held.value) for s in sets]
         if marked is not None:
             heads = [h[marked_places(marked.value, h)] for h in heads]
         times = [len(h) for h in heads]
