@@ -4,87 +4,178 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Sequence
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import fusion, text_index, text_search, vision
+from .plans import boolean
+from .segments import Manifest
 
-#: Postings fall into this many folders by a hash of their term, so a query reads the folders of its terms only.
+#: Folders of a large segment, by a hash of the term, so a query reads the folders of its terms only; a small one has fewer.
 BUCKETS = 256
+#: Documents of a segment of the lowest tier, at most, when it is added at once.
+SMALL = 10_000
+POSTINGS = "doc_id long, term string, tf int"
+STATS = "term string, df long, max_tf int"
 
 
-def _bucket(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+def _bucket(column: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def _bucket_of(term: str, n: int) -> int:
+    """The same as ``_bucket``, for one term, without a job."""
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % n
 
 
 class TextIndex:
-    """Postings, documents and document frequencies as Parquet tables under one folder.
+    """Postings, documents and term statistics under one folder, in segments that a manifest names.
 
-    Adds are append-only and come in numbered batches; a batch written again replaces itself, so a retried add counts
-    once. Document ids must be new. A document without terms still counts in the universe of NOT and in N.
+    An add is one segment and comes with a number; the same number again replaces it, so a retried add counts once. As soon as
+    ``fan`` segments of a tier exist they are merged into one of the next tier, so many small adds leave a bounded number of
+    files. The number of an add that was merged is done with: adding it again does nothing. Searches read the segments of
+    one manifest, while others are added or merged, and take document frequencies and the number of documents from storage.
+
+    Document ids must be new; rows without an id are left out. A document without terms still counts in the universe of NOT
+    and in N.
     """
 
-    def __init__(self, spark: SparkSession, path: str, stop_words: Iterable[str] | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, stop_words: Iterable[str] | None = None, fan: int = 8):
+        if fan < 2:
+            raise ValueError("fan must be 2 or more")
+        self.spark, self.path, self.fan = spark, path.rstrip("/"), fan
         self.stop_words = X.default_stop_words(spark) if stop_words is None else sorted(stop_words)
+        self.manifest = Manifest(spark, self.path)
 
     def create(self) -> TextIndex:
-        """Empty tables in place of whatever there is."""
-        self._write(self.spark.createDataFrame([], "doc_id long"), "docs", 0, "overwrite")
-        empty = self.spark.createDataFrame([], "doc_id long, term string, tf int")
-        self._write(empty.withColumn("bucket", _bucket("term")), "postings", 0, "overwrite")
+        """An empty index in place of whatever there is."""
+        self.manifest.change(lambda live: [])
+        self.manifest.vacuum(0)
         return self
 
     clear = create
 
-    def _write(self, df: DataFrame, table: str, batch: int, mode: str, by: Sequence[str] = ("batch",)) -> None:
-        out = df.withColumn("batch", F.lit(batch).cast("long"))
-        if mode == "overwrite" and not out.head(1):
-            out.write.mode("overwrite").parquet(f"{self.path}/{table}")
-            return
-        writer = out.write.mode("overwrite").partitionBy(*by).option("partitionOverwriteMode", "dynamic")
-        writer.parquet(f"{self.path}/{table}")
+    def _tier(self, docs: int) -> int:
+        tier, most = 0, SMALL
+        while docs > most:
+            tier, most = tier + 1, most * self.fan
+        return tier
 
-    def add(self, docs: DataFrame, batch: int, doc_id: str = "doc_id", text: str = "text") -> None:
-        """Index a batch of documents. Postings are clustered by bucket and term for pruning at search.
+    def _write(self, name: str, table: str, rows: DataFrame, buckets: int) -> list[int]:
+        """Write a table clustered by bucket and term; which buckets it has.
 
         Spark sizes the tasks by their data: small buckets share one, and a bucket with a very common term is split.
         """
-        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        counts = X.term_counts(rows, self.stop_words)
-        clustered = counts.withColumn("bucket", _bucket("term")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-        self._write(clustered, "postings", batch, "append", ("batch", "bucket"))
-        self._write(rows.select("doc_id"), "docs", batch, "append")
+        where = f"{self.path}/segments/{name}/{table}"
+        order = [c for c in ("bucket", "term", "doc_id") if c == "bucket" or c in rows.columns]
+        clustered = rows.withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket").sortWithinPartitions(*order)
+        clustered.write.mode("overwrite").partitionBy("bucket").parquet(where)
+        found = [n for n, _ in self.manifest.names(f"segments/{name}/{table}")]
+        return sorted(int(n.split("=")[1]) for n in found if n.startswith("bucket="))
+
+    def _segment(self, kind: str, ids: DataFrame, postings: DataFrame, batches: list[int], stats: DataFrame | None = None, tier: int = 0) -> dict:
+        """Write a segment that no manifest names yet."""
+        name = f"{kind}-{uuid4().hex}"
+        where = f"{self.path}/segments/{name}"
+        ids.hint("rebalance").write.parquet(f"{where}/docs")
+        n = self.spark.read.schema("doc_id long").parquet(f"{where}/docs").count()
+        tier = max(tier, self._tier(n))
+        buckets = min(BUCKETS, 4**tier)
+        full = self._write(name, "postings", postings, buckets)
+        if stats is None:
+            own = self._read("postings", POSTINGS, [{"name": name}])
+            stats = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"))
+        self._write(name, "stats", stats, buckets)
+        return {"name": name, "tier": tier, "docs": n, "batches": batches, "buckets": buckets, "full": full}
+
+    def add(self, docs: DataFrame, batch: int, doc_id: str = "doc_id", text: str = "text") -> None:
+        """Index a batch of documents as a segment of its own, then merge what is due."""
+        if any(batch in s["batches"] and len(s["batches"]) > 1 for s in self.manifest.read()[1]):
+            return
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+        made = self._segment(f"add{batch}", rows.select("doc_id"), X.term_counts(rows, self.stop_words), [batch])
+        self.manifest.change(lambda live: [s for s in live if s["batches"] != [batch]] + [made])
+        self.compact()
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+    def compact(self, all_: bool = False) -> None:
+        """Merge tiers that are full, lowest first; with ``all_``, all segments into one.
+
+        Frequencies and greatest counts are merged from the segments' own; postings are read once and written once. A merge
+        whose segments another writer has replaced meanwhile is dropped.
+        """
+        while True:
+            live = self.manifest.read()[1]
+            tiers = sorted({s["tier"] for s in live})
+            due = [[s for s in live if s["tier"] == t] for t in tiers]
+            chosen = live if all_ and len(live) > 1 else next((d for d in due if len(d) >= self.fan), None)
+            if not chosen:
+                return
+            stats = self._read("stats", STATS, chosen).groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"))
+            batches = sorted(b for s in chosen for b in s["batches"])
+            tier = max(s["tier"] for s in chosen) + 1
+            made = self._segment("merge", self._read("docs", "doc_id long", chosen), self._read("postings", POSTINGS, chosen), batches, stats, tier)
+            gone = {s["name"] for s in chosen}
+            self.manifest.change(lambda now: [s for s in now if s["name"] not in gone] + [made] if gone <= {s["name"] for s in now} else None)
+            if all_:
+                return
+
+    def vacuum(self, grace: float = 3600.0) -> list[str]:
+        """Delete merged and replaced segments that no reader of the last ``grace`` seconds can have begun with."""
+        return self.manifest.vacuum(grace)
+
+    def _read(self, table: str, schema: str, live: list[dict], terms: Iterable[str] | None = None) -> DataFrame:
+        """A table of some segments; with ``terms``, of the folders that hold them only."""
+        paths = []
+        for s in live:
+            where = f"{self.path}/segments/{s['name']}/{table}"
+            if terms is None:
+                paths.append(where)
+            else:
+                wanted = {_bucket_of(t, s["buckets"]) for t in terms}
+                paths += [f"{where}/bucket={b}" for b in s["full"] if b in wanted]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
 
     @property
     def docs(self) -> DataFrame:
-        return self._table("docs", "doc_id long, batch long")
+        return self._read("docs", "doc_id long", self.manifest.read()[1])
 
     @property
     def counts(self) -> DataFrame:
-        return self._table("postings", "doc_id long, term string, tf int, batch long, bucket int")
+        return self._read("postings", POSTINGS, self.manifest.read()[1])
 
-    def _pruned(self, terms: Iterable[str]) -> DataFrame:
-        wanted = self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket("term").alias("b"))
-        return self.counts.where(F.col("bucket").isin([r.b for r in wanted.distinct().collect()]))
+    def statistics(self, terms: Iterable[str] | None = None) -> DataFrame:
+        """Stored ``(term, df, max_tf)``: documents that have the term, and its greatest count in one."""
+        return self._statistics(self.manifest.read()[1], terms)
 
-    def search(self, query: str, k: int | None = text_search.TOP_K) -> DataFrame:
-        from .plans import boolean
+    def _statistics(self, live: list[dict], terms: Iterable[str] | None) -> DataFrame:
+        own = self._read("stats", STATS, live, terms)
+        own = own if terms is None else own.where(F.col("term").isin(*terms))
+        return own.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"))
+
+    def _known(self, terms: Sequence[str]) -> tuple[DataFrame, DataFrame, dict]:
+        """Postings of the terms, all documents, and the stored statistics, of one manifest."""
+        live = self.manifest.read()[1]
+        how = {"stats": self._statistics(live, terms).select("term", "df"), "size": sum(s["docs"] for s in live)}
+        return self._read("postings", POSTINGS, live, terms), self._read("docs", "doc_id long", live), how
 
+    def search(self, query: str, k: int | None = text_search.TOP_K) -> DataFrame:
         tree = boolean.parse(query, X.query_word)
-        return text_search.search(self._pruned(boolean.words(tree)), self.docs, tree, k)
+        counts, docs, how = self._known(sorted(boolean.words(tree)))
+        return text_search.search(counts, docs, tree, k, **how)
 
     def search_batch(self, queries: Sequence[tuple[int, str]], k: int = text_search.TOP_K) -> DataFrame:
-        terms = {t for _, q in queries for t in text_search.named_terms(q, X.query_word)}
-        return text_search.search_batch(self._pruned(terms), self.docs, queries, k, X.query_word)
+        counts, docs, how = self._known(sorted({t for _, q in queries for t in text_search.named_terms(q, X.query_word)}))
+        return text_search.search_batch(counts, docs, queries, k, X.query_word, **how)
 
     def postings(self) -> DataFrame:
-        return text_index.postings(self.counts.select("doc_id", "term", "tf"))
+        return text_index.postings(self.counts)
 
     def size(self) -> int:
         return self.counts.count()

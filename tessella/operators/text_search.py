@@ -25,11 +25,11 @@ def named_terms(query: str | B.Node, norm: Callable[[str], str] = str.lower) ->
     return sorted(B.words(B.parse(query, norm) if isinstance(query, str) else query))
 
 
-def _weights(counts: DataFrame, docs: DataFrame, terms: Sequence[str], stats: DataFrame | None) -> DataFrame:
+def _weights(counts: DataFrame, docs: DataFrame, terms: Sequence[str], stats: DataFrame | None, size: int | None) -> DataFrame:
     """idf of the named terms: as many rows as the query has terms, so a broadcast is bounded by the query."""
     known = stats if stats is not None else document_frequencies(counts.where(F.col("term").isin(*terms)))
     known = known.where(F.col("term").isin(*terms))
-    return known.select("term", idf(collection_size(docs), F.col("df")).alias("idf"))
+    return known.select("term", idf(collection_size(docs) if size is None else F.lit(size), F.col("df")).alias("idf"))
 
 
 def matches(
@@ -38,18 +38,19 @@ def matches(
     query: str | B.Node,
     norm: Callable[[str], str] = str.lower,
     stats: DataFrame | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """All matching documents ``(doc_id, score)``, unordered.
 
     Postings of the named terms are read once and aggregated by document into a flag for each term and the score;
     the query is then one predicate. All documents are joined only if the query can hold without any term.
-    ``stats`` are stored document frequencies; without them they are counted.
+    ``stats`` are stored document frequencies and ``size`` the number of documents; without them they are counted.
     """
     tree = B.parse(query, norm) if isinstance(query, str) else query
     times = B.words(tree)
     terms = sorted(times)
     flag = {t: f"has_{i}" for i, t in enumerate(terms)}
-    weights = F.broadcast(_weights(counts, docs, terms, stats))
+    weights = F.broadcast(_weights(counts, docs, terms, stats, size))
     repeated = F.create_map(*[x for t in terms for x in (F.lit(t), F.lit(times[t]))])
     hits = (
         counts.where(F.col("term").isin(*terms))
@@ -80,6 +81,7 @@ def search_batch(
     k: int = TOP_K,
     norm: Callable[[str], str] = str.lower,
     stats: DataFrame | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """``(query_id, rank, doc_id, score)`` of many queries in one job.
 
@@ -91,7 +93,7 @@ def search_batch(
     uses = [(i, t, n) for i, tree in trees.items() for t, n in B.words(tree).items()]
     terms = sorted({t for _, t, _ in uses})
     named = F.broadcast(spark.createDataFrame(uses, "query_id int, term string, times int"))
-    weights = F.broadcast(_weights(counts, docs, terms, stats))
+    weights = F.broadcast(_weights(counts, docs, terms, stats, size))
     hits = (
         counts.where(F.col("term").isin(*terms))
         .join(weights, "term")

@@ -17,7 +17,7 @@ from .plans import boolean as B
 from .sources import files
 from .sql import porter_sql
 from .staging import shared_folder
-from .streaming import ingest
+from .streaming import counters, ingest
 
 K = 16
 QUERY_IMAGE = 3
@@ -167,12 +167,27 @@ def _new_index(s: SparkSession) -> TextIndex:
 
 
 def _stored(s: SparkSession, d: str) -> TextIndex:
-    """An index of all documents, stored in the shared folder."""
-    index = _new_index(s)
-    index.add(table(s, d, "documents"), 1)
+    """An index of all documents, stored in the shared folder by several adds, of which the first are merged."""
+    index = TextIndex(s, f"{shared_folder(s)}/index-{uuid4().hex}", STOP, fan=2).create()
+    all_docs = table(s, d, "documents")
+    for batch in range(3):
+        index.add(all_docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == batch), batch)
     return index
 
 
+def _stream_positions(s: SparkSession, d: str) -> DataFrame:
+    """Positions that a stream gives out over three arrivals of documents, by id, each after a restart."""
+    docs_ = table(s, d, "documents").select("doc_id", "text")
+    where = f"{shared_folder(s)}/arrivals-{uuid4().hex}"
+    low, high = docs_.approxQuantile("doc_id", [1 / 3, 2 / 3], 0.01) or (0.0, 0.0)
+    id_ = F.col("doc_id")
+    for part in (id_ < low, (id_ >= low) & (id_ < high), id_ >= high):
+        docs_.where(part).write.mode("append").parquet(f"{where}/in")
+        stream = s.readStream.schema(docs_.schema).parquet(f"{where}/in")
+        counters.ingest_positions(stream, f"{where}/out", f"{where}/log", STOP, available_now=True).awaitTermination()
+    return counters.read_positions(s, f"{where}/out")
+
+
 def _streamed(s: SparkSession, d: str) -> DataFrame:
     """Postings of an index that was filled by a stream of the documents table."""
     index = _new_index(s)
@@ -339,6 +354,14 @@ def registry() -> dict[str, tuple[Query, str | None]]:
             lambda s, d: _stored(s, d).postings(),
             f"WITH {STEMMED} SELECT term, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS pos, doc_id, tf FROM counts",
         ),
+        "stored_index_statistics": (
+            lambda s, d: _stored(s, d).statistics(),
+            f"WITH {STEMMED} SELECT term, CAST(count(*) AS BIGINT) AS df, max(tf) AS max_tf FROM counts GROUP BY 1",
+        ),
+        "stream_positions": (
+            _stream_positions,
+            f"WITH {STEMMED} SELECT term, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS pos, doc_id, tf FROM counts",
+        ),
         "stream_index_matches_batch": (_streamed, f"WITH {STEMMED} SELECT doc_id, term, tf FROM counts"),
         "vector_measures": (
             _vector_measures,
