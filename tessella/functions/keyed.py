@@ -3,13 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
-import struct
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BLOCK = 64
 
@@ -28,19 +24,27 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return sha256(F.concat(outer, sha256(F.concat(inner, message.cast("binary")))))
 
 
-@F.pandas_udf(T.BinaryType())
-def hmac_by_row(key: pd.Series, message: pd.Series) -> pd.Series:
-    """HMAC-SHA256 where each row has a key of its own; null in, null out."""
-    return pd.Series(
-        [None if k is None or m is None else hmac.digest(bytes(k), bytes(m), "sha256") for k, m in zip(key, message)],
-        dtype=object,
-    )
+def _masked(key: Column, mask: int) -> Column:
+    """A key of 32 bytes, XORed with a byte and padded with it to a block: four bytes at a time, as numbers."""
+    digits, word = F.hex(key), int.from_bytes(bytes([mask]) * 4, "big")
+    parts = [F.conv(F.substring(digits, 8 * i + 1, 8), 16, 10).cast("long").bitwiseXOR(F.lit(word)) for i in range(8)]
+    return F.unhex(F.concat(*[F.lpad(F.hex(p), 8, "0") for p in parts], F.lit(f"{mask:02x}" * (BLOCK - 32))))
 
 
-@F.pandas_udf(T.BinaryType())
-def int32_le(n: pd.Series) -> pd.Series:
-    """Counters as four little-endian bytes."""
-    return n.map(lambda v: struct.pack("<i", int(v)), na_action="ignore")
+def masked_keys(key: Column) -> Column:
+    """What a key of 32 bytes begins its two hashes with: made once for a term or centre, used for all its labels."""
+    return F.when(F.length(key) == 32, F.struct(_masked(key, 0x36).alias("inner"), _masked(key, 0x5C).alias("outer")))
+
+
+def hmac_masked(masked: Column, message: Column) -> Column:
+    """HMAC-SHA256 where each row has a key of its own, given as ``masked_keys``; null in, null out."""
+    return sha256(F.concat(masked["outer"], sha256(F.concat(masked["inner"], message.cast("binary")))))
+
+
+def int32_le(n: Column) -> Column:
+    """Numbers as four little-endian bytes."""
+    digits = F.lpad(F.hex(n.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+    return F.unhex(F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)]))
 
 
 def term_key(master: bytes, term: Column) -> Column:
@@ -48,9 +52,19 @@ def term_key(master: bytes, term: Column) -> Column:
     return hmac_sha256(master, term)
 
 
+def centre_key(master: bytes, centre: Column) -> Column:
+    """Key of a visual word: over its number as four little-endian bytes."""
+    return hmac_sha256(master, int32_le(centre))
+
+
 def label(key: Column, position: Column) -> Column:
-    """Opaque label of a posting: the term's key over the posting's position."""
-    return hmac_by_row(key, int32_le(position))
+    """Opaque label of a posting: the term's or centre's key over the posting's position."""
+    return label_masked(masked_keys(key), position)
+
+
+def label_masked(masked: Column, position: Column) -> Column:
+    """The same, from keys that are masked already."""
+    return hmac_masked(masked, int32_le(position))
 
 
 def seal(payload: Column, key: bytes, label_: Column) -> Column:

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import columns, fresh, written
+from ..staging import columns, dropped, fresh, written
+
+#: Postings of a range partition, about.
+PART_ROWS = 1 << 21
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -13,21 +22,44 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def postings(counts: DataFrame, block: int = 1 << 20) -> DataFrame:
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A running number for each term of a sorted partition, and the partition's number."""
+    part, last, n = TaskContext.get().partitionId(), None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        term = b.column(0)
+        fresh_ = np.r_[term[0].as_py() != last, pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False)].astype(bool)
+        at = np.arange(len(term))
+        begins = np.maximum.accumulate(np.where(fresh_, at, -1))
+        k = np.where(begins >= 0, at - begins, at + n)
+        last, n = term[-1].as_py(), int(k[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k), pa.array(np.full(len(term), part, np.int32))], [*b.schema.names, "k", "part"])
+
+
+def postings(counts: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     """``(term, pos, doc_id, tf)`` with ``pos`` the document's place, from 0, in the term's list by doc_id.
 
-    Documents fall into blocks of ids; a running number within (term, block) is shifted by the counts of the term's
-    earlier blocks, so that a term in very many documents is numbered by many tasks.
+    The counts are made once and written, then ranged by term and id into parts of about ``rows``, so a term in very many
+    documents, or ids of any spread, are numbered by many tasks. Only a part's first term may have begun in earlier parts: its
+    shift is one row a part, which bounds the broadcast. Rows without an id or a term have no place and are left out; equal
+    ids keep a place each. A term may be of any type that has an order, such as the number of a visual word.
     """
-    parts = counts.withColumn("part", F.floor(F.col("doc_id") / F.lit(block)))
-    sizes = parts.groupBy("term", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("term").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("term", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    inside = Window.partitionBy("term", "part").orderBy("doc_id")
-    numbered = parts.withColumn("k", F.row_number().over(inside) - 1)
-    return numbered.join(shifts, ["term", "part"]).select(
-        "term", (F.col("k") + F.col("shift")).cast("long").alias("pos"), "doc_id", "tf"
-    )
+    kinds = dict(counts.dtypes)
+    staged = written(counts.where(F.col("doc_id").isNotNull() & F.col("term").isNotNull()).select("term", "doc_id", "tf"), "counts")
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), staged.count() // rows + 1)
+    ranged = staged.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    schema = f"term {kinds['term']}, doc_id {kinds['doc_id']}, tf {kinds['tf']}, k long, part int"
+    made = written(ranged.mapInArrow(_numbered, schema), "postings")
+    dropped(staged)
+    ends = made.groupBy("part").agg(F.min("term").alias("first"), F.max(F.struct("term", "k")).alias("end"))
+    so_far = Window.partitionBy("end.term").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.select("part", "first", F.col("end.term").alias("last"), F.sum(F.col("end.k") + 1).over(so_far).alias("n"))
+    order = Window.orderBy("part")
+    goes_on = F.lag("last").over(order) == F.col("first")
+    shifts = ends.select("part", "first", F.when(goes_on, F.lag("n").over(order)).otherwise(F.lit(0)).alias("shift"))
+    shift = F.when(F.col("term") == F.col("first"), F.col("shift")).otherwise(F.lit(0))
+    return made.join(F.broadcast(shifts), "part").select("term", (F.col("k") + shift).alias("pos"), "doc_id", "tf")
 
 
 def collection_size(docs: DataFrame) -> Column:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text_index import postings as number_postings
 from .text_search import DIGITS
 
 TOP_K = 15
@@ -129,6 +130,17 @@ def histogram_fingerprint(hist: DataFrame, k: int) -> DataFrame:
     )
 
 
+def labels_needed(hist: DataFrame, query_hist: DataFrame) -> DataFrame:
+    """Postings that an image query ``(centre, qf)`` fetches: images of its non-zero centres, summed."""
+    asked = query_hist.where("qf > 0").select("centre").distinct()
+    return hist.join(asked, "centre", "left_semi").agg(F.count(F.lit(1)).alias("labels_needed"))
+
+
+def postings(hist: DataFrame) -> DataFrame:
+    """``(term, pos, doc_id, tf)`` of a histogram, centres as terms and images as documents, as a text index has them."""
+    return number_postings(hist.select(F.col("centre").alias("term"), F.col("image_id").alias("doc_id"), "tf"))
+
+
 def idf(n: Column, df: Column) -> Column:
     """log10(N / df), with df at least 1."""
     return F.log10(n / F.greatest(df, F.lit(1)))

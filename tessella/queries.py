@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from .engine import TextIndex
 from .functions import keyed, vector
 from .functions import text as X
-from .operators import fusion, text_index, text_search, vision
+from .operators import fusion, sealed_index, text_index, text_search, vision
 from .plans import boolean as B
 from .sources import files
 from .sql import porter_sql
-from .staging import shared_folder
+from .staging import shared_folder, written
 from .streaming import counters, ingest
 
 K = 16
@@ -240,18 +240,42 @@ def _articles(s: SparkSession, d: str, compat: bool) -> DataFrame:
     return turns.select("conv_id", F.posexplode(files.articles(F.col("text"), compat)).alias("article_no", "body"))
 
 
+KEY, MASTER = bytes(16), bytes(32)
+SEALED_TERMS = ("thing", "hand", "tion")
+
+
 def _sealed(s: SparkSession, d: str) -> DataFrame:
-    """Label, seal, look up by label, check and open the postings of the fixed terms."""
-    key, master = bytes(16), bytes(32)
-    counts = raw_counts(s, d, ("thing", "hand", "tion"))
-    found = text_index.postings(counts)
-    marked = found.withColumn("label", keyed.label(keyed.term_key(master, F.col("term")), F.col("pos").cast("int")))
-    record = F.to_json(F.struct("doc_id", "tf")).cast("binary")
-    store = marked.select("label", F.col("label").alias("inside"), keyed.seal(record, key, F.col("label")).alias("record"))
-    got = files.lookup(store, marked.select("label", "term"))
-    opened = got.select(keyed.checked(keyed.unseal(F.col("record"), key, F.col("label")), F.col("inside"), F.col("label")).cast("string").alias("j"))
-    parsed = opened.select(F.from_json("j", "doc_id long, tf int").alias("r"))
-    return parsed.select("r.doc_id", "r.tf")
+    """Seal the postings of all terms, then find, check and open those of some terms by the labels that their counters give."""
+    found = text_index.postings(raw_counts(s, d))
+    store = written(sealed_index.sealed(found, MASTER, KEY), "store")
+    counters_ = text_index.document_frequencies(found.where(F.col("term").isin(*SEALED_TERMS)))
+    got = sealed_index.opened(store, sealed_index.wanted(counters_, MASTER), KEY)
+    return got.select(F.col("id").alias("doc_id"), F.col("tf").cast("int").alias("tf"))
+
+
+def _sealed_image(s: SparkSession, d: str) -> DataFrame:
+    """The same for the visual words of one image, over the postings of all images."""
+    h = hist(s, d)
+    store = written(sealed_index.sealed(vision.postings(h), MASTER, KEY, "centre"), "store")
+    asked = vision.centre_frequencies(h).join(query_hist(h), "centre").select(F.col("centre").alias("term"), "df")
+    got = sealed_index.opened(store, sealed_index.wanted(asked, MASTER, "centre"), KEY)
+    return got.select(F.col("term").alias("centre"), F.col("id").alias("image_id"), "tf")
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    marked = sealed_index.labelled(text_index.postings(raw_counts(s, d)), MASTER)
+    return marked.select("term", "pos", F.hex("label").alias("label"))
+
+
+def _hmac_sql(key: str, message: str) -> str:
+    """HMAC-SHA256 of a message under a key of 64 hexadecimal digits, in DuckDB."""
+
+    def pad(mask: int) -> str:
+        word = int.from_bytes(bytes([mask]) * 4, "big")
+        parts = [f"printf('%08x', xor(CAST('0x' || substr({key}, {8 * i + 1}, 8) AS BIGINT), {word}))" for i in range(8)]
+        return "unhex(" + " || ".join(parts) + f" || '{mask:02x}' || repeat('{mask:02x}', 31))"
+
+    return f"upper(sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || {message}))))"
 
 
 def _macqueen(s: SparkSession, d: str) -> DataFrame:
@@ -439,6 +463,24 @@ def registry() -> dict[str, tuple[Query, str | None]]:
             f"""WITH {COUNTS} SELECT DISTINCT term, upper(sha256(unhex('{"5c" * 64}') || unhex(sha256(unhex('{"36" * 64}') || encode(term))))) AS term_key FROM counts""",
         ),
         "sealed_lookup": (_sealed, f"WITH {COUNTS} SELECT doc_id, tf FROM counts WHERE term IN ('thing', 'hand', 'tion')"),
+        "sealed_image_lookup": (
+            _sealed_image,
+            f"WITH {CODEBOOK}, {NEAREST}, {HIST} SELECT centre, image_id, tf FROM hist WHERE centre IN (SELECT centre FROM hist WHERE image_id = {QUERY_IMAGE})",
+        ),
+        "image_labels_needed": (
+            lambda s, d: vision.labels_needed(h := hist(s, d), query_hist(h)),
+            f"WITH {CODEBOOK}, {NEAREST}, {HIST} SELECT count(*) AS labels_needed FROM hist WHERE centre IN (SELECT centre FROM hist WHERE image_id = {QUERY_IMAGE})",
+        ),
+        "image_postings_pos": (
+            lambda s, d: vision.postings(hist(s, d)).select(F.col("term").alias("centre"), "pos", F.col("doc_id").alias("image_id"), "tf"),
+            f"WITH {CODEBOOK}, {NEAREST}, {HIST} SELECT centre, row_number() OVER (PARTITION BY centre ORDER BY image_id) - 1 AS pos, image_id, tf FROM hist",
+        ),
+        "posting_labels": (
+            _labels,
+            f"""WITH {COUNTS}, placed AS (SELECT term, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS pos FROM counts),
+ keys AS (SELECT DISTINCT term, sha256(unhex('{"5c" * 64}') || unhex(sha256(unhex('{"36" * 64}') || encode(term)))) AS k FROM counts)
+ SELECT term, pos, {_hmac_sql('k', "unhex(printf('%02x%02x%02x00', pos & 255, (pos >> 8) & 255, (pos >> 16) & 255))")} AS label FROM placed JOIN keys USING (term)""",
+        ),
         "macqueen_step": (
             _macqueen,
             f"""WITH {CODEBOOK}, {NEAREST}, x AS (SELECT a.centre, unnest(range(len(vec))) AS axis, unnest(vec) AS x FROM assigned a JOIN ({VECTORS}) v USING (image_id, desc_no)),
