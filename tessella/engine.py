@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import fusion, text_index, text_search, vision
+from .operators import codebooks, fusion, text_index, text_search, vision
 from .plans import boolean
 from .segments import Manifest
 
@@ -218,7 +218,7 @@ class ImageIndex:
 
         m = self.meta
         lsh = m["technique"] == "lsh"
-        made = gaussian_codebook(self.spark, m["k"], m["dim"], seed) if lsh else vision.kmeans_codebook(descriptors, m["k"], seed)
+        made = gaussian_codebook(self.spark, m["k"], m["dim"], seed) if lsh else codebooks.kmeans_codebook(descriptors, m["k"], seed)
         self.set_codebook(made)
 
     def add(self, descriptors: DataFrame, batch: int) -> None:

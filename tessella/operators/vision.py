@@ -9,22 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import dropped, written
 from .text_index import postings as number_postings
 from .text_search import DIGITS
 
 TOP_K = 15
 #: A codebook goes to every task only up to this many numbers; a larger one is assigned in blocks of centres.
 BLOCK_NUMBERS = 8_000_000
+#: Numbers of the sums by centre that a task keeps before it gives them out.
+HELD_NUMBERS = 4_000_000
 #: Descriptors are measured in tiles, so that tile times block of centres has at most this many cells at once.
 TILE_CELLS = 4_000_000
 
 
-def _matrix(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Centre numbers and vectors in centre order. Codebooks are model parameters: k times dim numbers."""
-    rows = codebook.select("centre", "centre_vec").orderBy("centre").collect()
-    return np.array([r.centre for r in rows], "int32"), np.array([r.centre_vec for r in rows], "float64")
-
-
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dim)
 
@@ -51,53 +48,86 @@ def _largest_dot(x: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.where(value > 0, best, 0), value
 
 
-def _best(x: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], near: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Centre number and measure of the best centre of all blocks, in tiles of bounded size."""
-    centre, measure = np.full(len(x), blocks[0][0][0], "int32"), np.full(len(x), np.inf if near else 0.0)
-    for ids, m in blocks:
-        step = max(1, TILE_CELLS // len(m))
-        for i in range(0, len(x), step):
-            own = slice(i, i + step)
-            at, value = (_nearest if near else _largest_dot)(x[own], m)
-            better = value < measure[own] if near else value > measure[own]
-            centre[own], measure[own] = np.where(better, ids[at], centre[own]), np.where(better, value, measure[own])
+def _best(x: np.ndarray, ids: np.ndarray, m: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Centre number and measure of the best centre of a block, in tiles of bounded size."""
+    centre, measure = np.empty(len(x), "int32"), np.empty(len(x))
+    step = max(1, TILE_CELLS // len(m))
+    for i in range(0, len(x), step):
+        at, measure[i : i + step] = (_nearest if near else _largest_dot)(x[i : i + step], m)
+        centre[i : i + step] = ids[at]
     return centre, measure
 
 
-def _sent(descriptors: DataFrame, codebook: DataFrame) -> tuple[list, int]:
-    """The codebook's blocks as broadcasts, and the length of its vectors."""
-    numbers, vectors = _matrix(codebook)
-    dim = vectors.shape[1] if vectors.size else 0
-    step = max(1, BLOCK_NUMBERS // max(dim, 1))
-    sc = descriptors.sparkSession.sparkContext
-    return [sc.broadcast((numbers[i : i + step], vectors[i : i + step])) for i in range(0, len(numbers), step)], dim
+class _Blocks:
+    """A codebook in blocks of at most BLOCK_NUMBERS numbers, each sent to the tasks by itself.
 
+    Only the length of the first vector and the numbers of the blocks are looked at before; a block is in the driver's
+    memory while it is sent. Centre numbers must differ.
+    """
 
-def assign(descriptors: DataFrame, codebook: DataFrame, technique: str = "kmeans") -> DataFrame:
-    """``(image_id, desc_no, centre, measure)``: nearest centre, or hyperplane of largest dot product for ``lsh``.
+    def __init__(self, codebook: DataFrame):
+        self.codebook, first = codebook, codebook.select(F.size("centre_vec").alias("n")).first()
+        self.dim = max(first.n, 0) if first else 0
+        self.step = max(1, BLOCK_NUMBERS // max(self.dim, 1))
+        block = F.floor(F.col("centre") / self.step)
+        self.numbers = sorted(r.b for r in codebook.select(block.alias("b")).distinct().collect())
 
-    Every descriptor counts once. Descriptors are never shuffled; the codebook goes to the tasks in blocks of at
-    most BLOCK_NUMBERS numbers, and the best of the blocks is kept. Null vectors and vectors of another length than
-    the codebook's are left out.
+    def send(self, number: int):
+        own = self.codebook.where((F.col("centre") >= number * self.step) & (F.col("centre") < (number + 1) * self.step))
+        got = own.select(F.col("centre").cast("int"), F.col("centre_vec").cast("array<double>")).orderBy("centre").toArrow()
+        vectors = got.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim)
+        return self.codebook.sparkSession.sparkContext.broadcast((got.column(0).to_numpy(), vectors))
+
+
+def _search_block(held, dim: int, near: bool, at: int, first: bool):
+    """Batches with ``centre`` and ``measure`` of the best so far; column ``at`` has the vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, m = held.value
+        for b in batches:
+            kept = b.columns if first else b.columns[:-2]
+            centre, measure = _best(_vectors(b.column(at), dim), ids, m, near)
+            if not first:
+                c, v = b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()
+                better = measure < v if near else measure > np.maximum(v, 0.0)
+                centre, measure = np.where(better, centre, c), np.where(better, measure, v)
+            names = [*b.schema.names[: len(kept)], "centre", "measure"]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(centre.astype("int32")), pa.array(measure)], names)
+
+    return run
+
+
+def placed(descriptors: DataFrame, codebook: DataFrame, technique: str = "kmeans") -> DataFrame:
+    """``descriptors`` with ``centre`` and ``measure``: nearest centre, or hyperplane of largest dot product for ``lsh``.
+
+    Descriptors are never shuffled. A codebook of up to BLOCK_NUMBERS numbers goes to the tasks whole; a larger one goes block
+    by block, each pass over a written table of the best so far, so tasks and driver hold one block. Null vectors and
+    vectors of another length than the codebook's are left out; without centres nothing is placed.
     """
     if technique not in ("kmeans", "lsh"):
         raise ValueError(f"unknown technique {technique!r}")
-    held, dim = _sent(descriptors, codebook)
-    near = technique == "kmeans"
+    blocks = _Blocks(codebook)
+    rows = descriptors.where(F.size("vec") == blocks.dim)
+    at = rows.columns.index("vec")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    schema = f"{kinds}, centre int, measure double"
+    if not blocks.numbers:
+        return rows.where("false").select("*", F.lit(None).cast("int").alias("centre"), F.lit(None).cast("double").alias("measure"))
+    for n, number in enumerate(blocks.numbers):
+        before, held = rows, blocks.send(number)
+        rows = rows.mapInArrow(_search_block(held, blocks.dim, technique == "kmeans", at, n == 0), schema)
+        if len(blocks.numbers) > 1:
+            rows = written(rows, "minima")
+            held.destroy()
+            if n:
+                dropped(before)
+    return rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            centre, measure = _best(_vectors(b.column(2), dim), [h.value for h in held], near)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(centre.astype("int32")), pa.array(measure)],
-                ["image_id", "desc_no", "centre", "measure"],
-            )
-
-    fit = descriptors.where(F.size("vec") == dim).select("image_id", "desc_no", "vec")
-    kinds = dict(fit.dtypes)
-    return fit.mapInArrow(
-        run, f"image_id {kinds['image_id']}, desc_no {kinds['desc_no']}, centre int, measure double"
-    )
+
+def assign(descriptors: DataFrame, codebook: DataFrame, technique: str = "kmeans") -> DataFrame:
+    """``(image_id, desc_no, centre, measure)`` as ``placed`` finds them. Every descriptor counts once."""
+    rows = descriptors.select("image_id", "desc_no", "vec")
+    return placed(rows, codebook, technique).select("image_id", "desc_no", "centre", "measure")
 
 
 def histogram(assigned: DataFrame) -> DataFrame:
@@ -118,16 +148,16 @@ def histogram_density(hist: DataFrame) -> DataFrame:
 
 
 def histogram_fingerprint(hist: DataFrame, k: int) -> DataFrame:
-    """A string of 0 and 1 over the centres of each image, and how many images share it."""
-    marks = F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.when(F.array_contains("own", c), "1").otherwise("0")
-    )
-    images = hist.groupBy("image_id").agg(F.collect_set("centre").alias("own"))
-    return (
-        images.select(F.array_join(marks, "").alias("fingerprint"))
-        .groupBy("fingerprint")
-        .agg(F.count(F.lit(1)).alias("images"))
-    )
+    """A string of 0 and 1 over the ``k`` centres of each image, and how many images share it; centres beyond are left out.
+
+    The string is made of the gaps between an image's own centres, in order: linear in k.
+    """
+    own = hist.where((F.col("centre") >= 0) & (F.col("centre") < k)).groupBy("image_id").agg(F.array_sort(F.collect_set("centre")).alias("own"))
+    rest = hist.select("image_id").distinct().join(own, "image_id", "left").select(F.coalesce("own", F.array().cast("array<int>")).alias("own"))
+    before = F.concat(F.array(F.lit(-1)), F.col("own"))
+    gaps = F.zip_with("own", F.slice(before, 1, F.greatest(F.size("own"), F.lit(1))), lambda c, b: F.concat(F.repeat(F.lit("0"), c - b - 1), F.lit("1")))
+    ones = F.when(F.size("own") > 0, F.array_join(gaps, "")).otherwise(F.lit(""))
+    return rest.select(F.rpad(ones, k, "0").alias("fingerprint")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("images"))
 
 
 def labels_needed(hist: DataFrame, query_hist: DataFrame) -> DataFrame:
@@ -181,66 +211,54 @@ def first_k_codebook(descriptors: DataFrame, k: int) -> DataFrame:
     return first.select((F.row_number().over(order) - 1).alias("centre"), F.col("vec").alias("centre_vec"))
 
 
-def macqueen(descriptors: DataFrame, codebook: DataFrame) -> DataFrame:
-    """One pass of sequential k-means over a stream's next batch, as a distributed weighted update.
+def centre_sums(near: DataFrame, dim: int, weight: bool) -> DataFrame:
+    """``(centre, at, total, n)``: weighted sums of the vectors of each centre, made inside the tasks."""
+    most = max(1, HELD_NUMBERS // max(dim, 1))
 
-    Each centre moves to the mean of itself, with weight ``n`` (1 if absent), and of the batch's descriptors nearest to
-    it; returns ``(centre, centre_vec, n)``. For a batch of one descriptor this is MacQueen's rule; for a larger one it is a
-    batch mean, which does not depend on the order of the descriptors. Each task sums its descriptors by centre, so what is
-    shuffled grows with tasks and centres, not with descriptors.
-    """
-    weighted = codebook if "n" in codebook.columns else codebook.withColumn("n", F.lit(1).cast("long"))
-    held, dim = _sent(descriptors, codebook)
+    def out(held: dict[int, tuple[np.ndarray, float]]) -> pa.RecordBatch:
+        totals = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * dim, pa.int32()), pa.array(np.concatenate([t for t, _ in held.values()]) if held else np.zeros(0)))
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), totals, pa.array([n for _, n in held.values()], pa.float64())], ["centre", "total", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [h.value for h in held]
-        if not blocks:
-            return
-        numbers = np.concatenate([ids for ids, _ in blocks])
-        total, more = np.zeros((len(numbers), dim)), np.zeros(len(numbers), "int64")
+        held: dict[int, tuple[np.ndarray, float]] = {}
         for b in batches:
-            x = _vectors(b.column(0), dim)
-            at = np.searchsorted(numbers, _best(x, blocks, True)[0])
-            np.add.at(total, at, x)
-            more += np.bincount(at, minlength=len(numbers))
-        seen = np.flatnonzero(more)
-        sums = pa.ListArray.from_arrays(pa.array(np.arange(len(seen) + 1) * dim, pa.int32()), pa.array(total[seen].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(numbers[seen]), sums, pa.array(more[seen])], ["centre", "total", "more"])
-
-    fit = descriptors.where(F.size("vec") == dim).select("vec")
-    parts = (
-        fit.mapInArrow(run, "centre int, total array<double>, more long")
-        .select("centre", F.posexplode("total").alias("at", "x"), "more")
-        .groupBy("centre", "at")
-        .agg(F.sum("x").alias("total"), F.sum("more").alias("more"))
-    )
+            if not b.num_rows:
+                continue
+            x, centre = _vectors(b.column(0), dim), b.column(1).to_numpy()
+            w = b.column(2).to_numpy().astype("float64") if weight else np.ones(len(x))
+            order = np.argsort(centre, kind="stable")
+            ids, first = np.unique(centre[order], return_index=True)
+            totals, counts = np.add.reduceat((x * w[:, None])[order], first), np.add.reduceat(w[order], first)
+            for c, t, n in zip(ids.tolist(), totals, counts.tolist()):
+                old = held.get(c)
+                held[c] = (t, n) if old is None else (old[0] + t, old[1] + n)
+            if len(held) > most:
+                yield out(held)
+                held = {}
+        yield out(held)
+
+    parts = near.select("vec", "centre", *(["weight"] if weight else [])).mapInArrow(run, "centre int, total array<double>, n double")
+    return parts.select("centre", "n", F.posexplode("total").alias("at", "x")).groupBy("centre", "at").agg(F.sum("x").alias("total"), F.sum("n").alias("n"))
+
+
+def codebook_rows(cells: DataFrame) -> DataFrame:
+    """``(centre, centre_vec, n)`` from ``(centre, at, x, n)``."""
+    vec = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda c: c.x.cast("float"))
+    return cells.groupBy("centre").agg(vec.alias("centre_vec"), F.max("n").alias("n"))
+
+
+def macqueen(points: DataFrame, codebook: DataFrame) -> DataFrame:
+    """One batch as a mean: each centre moves to the mean of itself, ``n`` times (1 if absent), and of the points nearest to it.
+
+    It does not depend on the order of the points; for one point it is MacQueen's rule. Returns ``(centre, centre_vec, n)``.
+    """
+    weighted = codebook if "n" in codebook.columns else codebook.withColumn("n", F.lit(1).cast("long"))
+    parts = centre_sums(placed(points.select("image_id", "desc_no", "vec"), codebook), _Blocks(codebook).dim, False)
+    more = parts.select("centre", "at", "total", F.col("n").cast("long").alias("more"))
     old = weighted.select("centre", "n", F.posexplode("centre_vec").alias("at", "x"))
-    moved = old.join(parts, ["centre", "at"], "left").select(
-        "centre",
-        "at",
-        (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"),
-        (
-            (F.col("x").cast("double") * F.col("n") + F.coalesce("total", F.lit(0.0)))
-            / (F.col("n") + F.coalesce("more", F.lit(0)))
-        ).alias("x"),
-    )
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s.x.cast("float"))
-    return moved.groupBy("centre").agg(ordered.alias("centre_vec"), F.max("n").alias("n"))
-
-
-def kmeans_codebook(
-    descriptors: DataFrame, k: int, seed: int = 0, max_iter: int = 20, weight: str | None = None
-) -> DataFrame:
-    """Lloyd's k-means with parallel k-means++ seeding; ``weight`` names a column for points that stand for several."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", initMode="k-means||")
-    if weight:
-        model.setWeightCol(weight)
-    fitted = model.fit(descriptors.withColumn("features", array_to_vector(F.col("vec").cast("array<double>"))))
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(fitted.clusterCenters())]
-    return descriptors.sparkSession.createDataFrame(rows, "centre int, centre_vec array<float>")
+    count = F.col("n") + F.coalesce("more", F.lit(0))
+    mean = (F.col("x").cast("double") * F.col("n") + F.coalesce("total", F.lit(0.0))) / count
+    return codebook_rows(old.join(more, ["centre", "at"], "left").select("centre", "at", mean.alias("x"), count.alias("n")))
 
 
 def compactness(assigned: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .engine import TextIndex
 from .functions import keyed, vector
 from .functions import text as X
-from .operators import fusion, sealed_index, text_index, text_search, vision
+from .operators import codebooks, fusion, sealed_index, text_index, text_search, vision
 from .plans import boolean as B
 from .sources import files
 from .sql import porter_sql
@@ -283,8 +283,88 @@ def _macqueen(s: SparkSession, d: str) -> DataFrame:
     return moved.select("centre", "n", F.posexplode("centre_vec").alias("axis", "x")).select("centre", "n", "axis", F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
+def _book(df: DataFrame) -> DataFrame:
+    """A codebook as rows of rounded numbers; a zero has no sign."""
+    rows = df.select("centre", *[c for c in df.columns if c == "n"], F.posexplode("centre_vec").alias("axis", "x"))
+    return rows.withColumn("x", F.round(F.col("x").cast("double"), 4) + F.lit(0.0))
+
+
 def _kmeans(s: SparkSession, d: str) -> DataFrame:
-    return vision.kmeans_codebook(descriptors(s, d), K, seed=7)
+    return codebooks.kmeans_codebook(descriptors(s, d), K, seed=7, max_iter=20, attempts=2)
+
+
+def _incremental(s: SparkSession, d: str) -> DataFrame:
+    """A first batch from the first descriptors, then a second with the first one's centres as weighted points."""
+    x, second = descriptors(s, d), F.col("image_id") % 5 == 4
+    first = codebooks.lloyd_step(x.where(~second), codebook(s, d))
+    return _book(codebooks.incremental_step(x.where(second), written(first, "codebook")))
+
+
+SEQ_K, LANES, BATCHES = 6, 3, 4
+
+
+def _sequential(s: SparkSession, d: str) -> DataFrame:
+    """Batches of images by their number; the first gives the centres, the others train them."""
+    x = descriptors(s, d)
+    trainer = codebooks.SequentialKMeans(s, f"{shared_folder(s)}/trainer-{uuid4().hex}", SEQ_K, LANES)
+    for batch in range(BATCHES):
+        trainer.update(x.where(F.col("image_id") % BATCHES == batch), batch)
+    return _book(trainer.version())
+
+
+def _gaussian_search(s: SparkSession, d: str) -> DataFrame:
+    h = vision.histogram(vision.assign(descriptors(s, d), vector.gaussian_codebook(s, K, 64, 7), "lsh"))
+    return vision.search(h, query_hist(h))
+
+
+def _seed_sql() -> str:
+    """Centres drawn one by one, each over the squared distances that the earlier ones leave."""
+    wait = lambda turn: f"-ln((CAST('0x' || substr(md5('7:0:{turn}:' || image_id || ':' || desc_no), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+    order = "image_id, desc_no LIMIT 1"
+    out = [f"p AS (SELECT image_id, desc_no, {_DOUBLE.format('vec')} AS v, vec FROM ({VECTORS}))", f"s0 AS (SELECT v, vec FROM p ORDER BY {wait(0)}, {order})"]
+    out.append("d0 AS (SELECT image_id, desc_no, p.v, p.vec, list_distance(p.v, s0.v) AS d FROM p, s0)")
+    for i in range(1, K):
+        out.append(f"s{i} AS (SELECT v, vec FROM d{i - 1} WHERE d > 0 ORDER BY {wait(i)} / (d * d), {order})")
+        out.append(f"d{i} AS (SELECT image_id, desc_no, b.v, b.vec, least(b.d, list_distance(b.v, s{i}.v)) AS d FROM d{i - 1} b, s{i})")
+    rows = " UNION ALL ".join(f"SELECT {i} AS centre, vec AS centre_vec FROM s{i}" for i in range(K))
+    return ", ".join(out) + f", seeds AS ({rows})"
+
+
+def _cells_sql(book: str, n: str = "") -> str:
+    return f"SELECT centre, {n}CAST(unnest(range(len(centre_vec))) AS INTEGER) AS axis, round(CAST(unnest(centre_vec) AS DOUBLE), 4) + 0.0 AS x FROM {book}"
+
+
+def _step_sql(name: str, points: str, book: str) -> str:
+    """A weighted Lloyd's step over ``points (v, w)`` from ``book (centre, centre_vec)``."""
+    return f"""{name}_near AS (SELECT v, w, id, arg_min(centre, (list_distance(v, {_DOUBLE.format('centre_vec')}), centre)) AS centre FROM (SELECT *, row_number() OVER () AS id FROM {points}), {book} GROUP BY ALL),
+ {name}_cells AS (SELECT centre, unnest(range(len(v))) AS axis, unnest(v) AS x, w FROM {name}_near),
+ {name}_means AS (SELECT centre, axis, sum(x * w) / sum(w) AS x, sum(w) AS n FROM {name}_cells GROUP BY 1, 2),
+ {name} AS (SELECT centre, CAST(list(x ORDER BY axis) AS FLOAT[]) AS centre_vec, CAST(max(n) AS DOUBLE) AS n FROM {name}_means GROUP BY 1)"""
+
+
+def _sequential_sql() -> str:
+    """One descriptor of each lane at a time; a batch ends when its longest lane does, then the lanes are put together."""
+    lane = f"CAST('0x' || substr(md5(CAST(image_id AS VARCHAR)), 1, 8) AS BIGINT) % {LANES}"
+    return f"""WITH RECURSIVE p AS (SELECT image_id, desc_no, {_DOUBLE.format('vec')} AS v, image_id % {BATCHES} AS batch, {lane} AS lane FROM ({VECTORS})),
+ q AS (SELECT batch, lane, v, row_number() OVER (PARTITION BY batch, lane ORDER BY image_id, desc_no) AS r FROM p WHERE batch > 0),
+ lens AS (SELECT batch, max(r) AS m FROM q GROUP BY 1),
+ f AS (SELECT row_number() OVER (ORDER BY image_id, desc_no) - 1 AS centre, v FROM p WHERE batch = 0 ORDER BY image_id, desc_no LIMIT {SEQ_K}),
+ run AS (SELECT CAST(1 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS r, lane, centre, axis, v[axis + 1] AS c, CAST(1 AS BIGINT) AS n, v[axis + 1] AS c0, CAST(1 AS BIGINT) AS n0
+  FROM f, range({LANES}) l(lane), range(64) a(axis)
+  UNION ALL
+  SELECT CASE WHEN r = m THEN batch + 1 ELSE batch END, CASE WHEN r = m THEN 0 ELSE r + 1 END, lane, centre, axis,
+   CASE WHEN r = m THEN (c0 * n0 + more) / (n0 + times) WHEN best = centre AND x IS NOT NULL THEN c + (x - c) / (n + 1) ELSE c END,
+   CASE WHEN r = m THEN CAST(n0 + times AS BIGINT) WHEN best = centre AND x IS NOT NULL THEN n + 1 ELSE n END,
+   CASE WHEN r = m THEN (c0 * n0 + more) / (n0 + times) ELSE c0 END, CASE WHEN r = m THEN CAST(n0 + times AS BIGINT) ELSE n0 END
+  FROM (SELECT *, first_value(centre) OVER (PARTITION BY lane ORDER BY d, centre) AS best FROM
+   (SELECT run.*, m, q.v[axis + 1] AS x, sum((c - q.v[axis + 1]) ** 2) OVER (PARTITION BY run.lane, centre) AS d,
+    sum(c * n - c0 * n0) OVER (PARTITION BY centre, axis) AS more, sum(n - n0) OVER (PARTITION BY centre, axis) AS times
+    FROM run JOIN lens USING (batch) LEFT JOIN q ON q.batch = run.batch AND q.lane = run.lane AND q.r = run.r + 1)))
+ SELECT CAST(centre AS INTEGER) AS centre, n, CAST(axis AS INTEGER) AS axis, round(c, 4) + 0.0 AS x FROM run WHERE batch = {BATCHES} AND lane = 0"""
+
+
+_GAUSS = "(CAST('0x' || substr(sha256('7:' || c || ':' || a), {}, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+GAUSS_BOOK = f"""book AS (SELECT CAST(c AS INTEGER) AS centre, list_transform(range(64), lambda a: CAST(25.0 * sqrt(-2.0 * ln({_GAUSS.format(1)})) * cos(2.0 * pi() * {_GAUSS.format(14)}) AS FLOAT)) AS centre_vec FROM range({K}) t(c))"""
 
 
 def _pos_docs(s: SparkSession, d: str) -> DataFrame:
@@ -488,6 +568,22 @@ def registry() -> dict[str, tuple[Query, str | None]]:
  g AS (SELECT centre, axis, sum(CAST(x AS DOUBLE)) AS total, count(*) AS more FROM x GROUP BY 1, 2)
  SELECT c.centre, 1 + coalesce(more, 0) AS n, CAST(c.axis AS INTEGER) AS axis, round(CAST(CAST((c.x + coalesce(total, 0)) / (1 + coalesce(more, 0)) AS FLOAT) AS DOUBLE), 4) AS x FROM c LEFT JOIN g ON g.centre = c.centre AND g.axis = c.axis""",
         ),
+        "kmeans_seeding": (
+            lambda s, d: _book(codebooks.seed_codebook(descriptors(s, d), K, seed=7)),
+            f"WITH {_seed_sql()} {_cells_sql('seeds')}",
+        ),
+        "lloyd_step": (
+            lambda s, d: _book(codebooks.lloyd_step(descriptors(s, d), codebook(s, d))),
+            f"WITH {CODEBOOK}, points AS (SELECT {_DOUBLE.format('vec')} AS v, 1.0::DOUBLE AS w FROM ({VECTORS})), {_step_sql('moved', 'points', 'book')} {_cells_sql('moved', 'n, ')}",
+        ),
+        "incremental_kmeans": (
+            _incremental,
+            f"""WITH {CODEBOOK}, points AS (SELECT {_DOUBLE.format('vec')} AS v, 1.0::DOUBLE AS w, image_id % 5 = 4 AS second FROM ({VECTORS})),
+ b1 AS (SELECT v, w FROM points WHERE NOT second), {_step_sql('one', 'b1', 'book')},
+ b2 AS (SELECT v, w FROM points WHERE second UNION ALL SELECT {_DOUBLE.format('centre_vec')}, n FROM one), {_step_sql('two', 'b2', 'one')} {_cells_sql('two', 'n, ')}""",
+        ),
+        "sequential_kmeans": (_sequential, _sequential_sql()),
+        "image_search_gaussian_topk": (_gaussian_search, _image_sql(LSH).replace(CODEBOOK, GAUSS_BOOK)),
         "kmeans_codebook": (_kmeans, None),
     }
     return out

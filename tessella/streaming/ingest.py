@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import ImageIndex, TextIndex
+from ..operators.codebooks import SequentialKMeans
 
 
 def _start(stream: DataFrame, add, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -33,3 +34,11 @@ def ingest_descriptors(
 ) -> StreamingQuery:
     """Append images; an image's descriptors must come in one batch."""
     return _start(stream, index.add, checkpoint, available_now)
+
+
+def train_codebook(stream: DataFrame, trainer: SequentialKMeans, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Train a codebook with descriptors as they come: the first micro-batch gives the first centres, each later one trains them.
+
+    A micro-batch that is replayed begins with the same version of the centres and writes its own again.
+    """
+    return _start(stream, trainer.update, checkpoint, available_now)
