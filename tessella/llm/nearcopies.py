@@ -34,10 +34,9 @@ SIMILAR = (4, 5)
 #: Rows that tell which shingles are common: one in SHARE of all, however many, and at least SAMPLE.
 SHARE = 6
 SAMPLE = 1 << 13
-#: Of those, the rows that have a common shingle, and how much more often each further level of common ones occurs.
+#: Of those, the rows that have a common shingle. Each further level of common ones occurs twice as often; half as many can.
 COMMON = 3
-LEVELS = 4
-STEP = 8
+LEVELS = 10
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 #: Least and most bits of a set's parities, powers of two, by its size: whether it has an odd number of shingles in each of so many buckets.
@@ -101,7 +100,7 @@ def _common(rows: DataFrame) -> list[np.ndarray]:
     few = rows.select("text").sample(min(1.0, max(SAMPLE / n, 1 / SHARE)), 1)
     seen = map_texts(few, run, "s long", 0).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     seen = written(seen.select(F.col("s").alias("anchor"), "n"), "common")
-    out = [bitmap(seen.where(F.col("n") >= COMMON * STEP**k), BITMAP) for k in range(LEVELS)]
+    out = [bitmap(seen.where(F.col("n") >= COMMON << k), BITMAP - k) for k in range(LEVELS)]
     dropped(seen)
     return [b for b in out if b.any()]
 
