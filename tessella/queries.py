@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .engine import TextIndex
@@ -14,6 +14,7 @@ from .functions import keyed, vector
 from .functions import text as X
 from .operators import codebooks, fusion, sealed_index, text_index, text_search, vision
 from .plans import boolean as B
+from .sources import articles as article_files
 from .sources import files
 from .sql import porter_sql
 from .staging import shared_folder, written
@@ -166,7 +167,7 @@ def _new_index(s: SparkSession) -> TextIndex:
     return TextIndex(s, f"{shared_folder(s)}/index-{uuid4().hex}", STOP).create()
 
 
-def _stored(s: SparkSession, d: str) -> TextIndex:
+def stored_index(s: SparkSession, d: str) -> TextIndex:
     """An index of all documents, stored in the shared folder by several adds, of which the first are merged."""
     index = TextIndex(s, f"{shared_folder(s)}/index-{uuid4().hex}", STOP, fan=2).create()
     all_docs = table(s, d, "documents")
@@ -240,6 +241,27 @@ def _articles(s: SparkSession, d: str, compat: bool) -> DataFrame:
     return turns.select("conv_id", F.posexplode(files.articles(F.col("text"), compat)).alias("article_no", "body"))
 
 
+def _written_articles(s: SparkSession, d: str) -> str:
+    """Turns of conversations as articles of a few text files; the folder."""
+    where = f"{shared_folder(s)}/articles-{uuid4().hex}"
+    title = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    article_files.write_article_files(table(s, d, "conversations").select(title.alias("title"), "text"), where, 4)
+    return where
+
+
+def _article_files(s: SparkSession, d: str) -> DataFrame:
+    """Articles numbered over all files, read in ranges that cut the files."""
+    found = article_files.read_article_files(s, _written_articles(s, d), split_bytes=1 << 16)
+    return found.select("title", "text", F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("times"))
+
+
+def _article_stream(s: SparkSession, d: str) -> DataFrame:
+    where = _written_articles(s, d)
+    out = article_files.stream_article_files(s, where, 1 << 16).writeStream.format("parquet").option("path", f"{where}-read")
+    out.option("checkpointLocation", f"{where}-log").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(article_files.SCHEMA).parquet(f"{where}-read").select("title", "text")
+
+
 KEY, MASTER = bytes(16), bytes(32)
 SEALED_TERMS = ("thing", "hand", "tion")
 
@@ -447,19 +469,19 @@ def registry() -> dict[str, tuple[Query, str | None]]:
             _batch_sql(list(enumerate(BATCH))),
         ),
         "stored_index_search": (
-            lambda s, d: _stored(s, d).search("things || (hands && !tions)"),
+            lambda s, d: stored_index(s, d).search("things || (hands && !tions)"),
             _search_sql("things || (hands && !tions)", X.query_word, counts=STEMMED),
         ),
         "stored_index_batch": (
-            lambda s, d: _stored(s, d).search_batch(list(enumerate(BATCH))),
+            lambda s, d: stored_index(s, d).search_batch(list(enumerate(BATCH))),
             _batch_sql(list(enumerate(BATCH)), X.query_word, STEMMED),
         ),
         "stored_index_postings": (
-            lambda s, d: _stored(s, d).postings(),
+            lambda s, d: stored_index(s, d).postings(),
             f"WITH {STEMMED} SELECT term, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS pos, doc_id, tf FROM counts",
         ),
         "stored_index_statistics": (
-            lambda s, d: _stored(s, d).statistics(),
+            lambda s, d: stored_index(s, d).statistics(),
             f"WITH {STEMMED} SELECT term, CAST(count(*) AS BIGINT) AS df, max(tf) AS max_tf FROM counts GROUP BY 1",
         ),
         "stream_positions": (
@@ -476,6 +498,14 @@ def registry() -> dict[str, tuple[Query, str | None]]:
             _tag_queries,
             r"SELECT item_id, array_to_string(list_transform(list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda t: t <> ''), lambda t: replace(t, ' ', '_')), ' || ') AS query FROM benchmark",
         ),
+        "article_files": (
+            _article_files,
+            "SELECT concat_ws('-', conv_id, turn) AS title, coalesce(text, '') || chr(10) AS text, CAST(1 AS BIGINT) AS times FROM conversations",
+        ),
+        "article_stream": (
+            _article_stream,
+            "SELECT concat_ws('-', conv_id, turn) AS title, coalesce(text, '') || chr(10) AS text FROM conversations",
+        ),
         "read_articles": (
             lambda s, d: _articles(s, d, False),
             "SELECT conv_id, CAST(0 AS INTEGER) AS article_no, coalesce(text, '') || chr(10) AS body FROM conversations",
