@@ -88,30 +88,62 @@ def _by_turn(x: Column, y: Column) -> Column:
     return order(x.turn, y.turn, order(x.role, y.role, order(x.text, y.text, F.lit(0))))
 
 
+def answered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(turns, pairs)``: each conversation up to its last answer, chosen, beside itself with another one's last answer, rejected.
+
+    Conversations 2k and 2k + 1 give each other their answers, so a pair has all turns before the answer in common. In the
+    new turns ids are text; ``pairs`` has ``(pair_id, chosen, rejected, donor)``, where pair_id is the conversation's own id and donor
+    the one whose answer is rejected. Conversations without an id, without an assistant's turn or without a partner that
+    has one are left out. Of turns with one number the last by role and text is the answer.
+    """
+    own = turns.where("conv_id IS NOT NULL").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    at = F.struct("turn", "role", "text")
+    last = own.where(F.col("role") == TRAINED).groupBy("conv_id").agg(F.max(at).alias("answer"))
+    partner = F.col("conv_id").cast("long").bitwiseXOR(F.lit(1))
+    both = last.join(last.select(partner.alias("conv_id"), F.col("conv_id").alias("donor"), F.col("answer").alias("given")), "conv_id")
+    name = lambda mark: F.concat(F.col("conv_id").cast("string"), F.lit(mark))
+    met = own.join(both, "conv_id")
+    chosen = met.where(at <= F.col("answer")).select(name("+").alias("conv_id"), "turn", "role", "text")
+    before = met.where(at < F.col("answer")).select(name("-").alias("conv_id"), "turn", "role", "text")
+    answer = both.select(name("-").alias("conv_id"), "answer.turn", "given.role", "given.text")
+    pairs = both.select(F.col("conv_id").alias("pair_id"), name("+").alias("chosen"), name("-").alias("rejected"), "donor")
+    return chosen.union(before).union(answer), pairs
+
+
 def digest(turns: DataFrame) -> DataFrame:
-    """Consecutive conversations paired; masks as text, ``start+length`` joined by commas."""
+    """Each conversation's own last answer against its partner's; masks as text, ``start+length`` joined by commas.
+
+    ``chosen`` is the conversation and ``rejected`` the one whose answer stands against it. Rows that are null, repeated or without
+    a partner are as in ``answered``; an empty table has no pairs.
+    """
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s.start.cast("string"), s.length.cast("string"))), ",")
-    out = format_pairs(turns, consecutive(turns))
+    made, pairs = answered(turns)
+    out = format_pairs(made, pairs).drop("chosen", "rejected").join(pairs.select("pair_id", F.col("pair_id").alias("chosen"), F.col("donor").alias("rejected")), "pair_id")
     return out.withColumn("chosen_mask", shown("chosen_mask")).withColumn("rejected_mask", shown("rejected_mask"))
 
 
 #: The same rows for DuckDB.
-SQL = """WITH ids AS (SELECT DISTINCT conv_id, conv_id // 2 AS pair_id FROM conversations WHERE conv_id IS NOT NULL),
-p AS (SELECT pair_id, min(conv_id) AS chosen, max(conv_id) AS rejected FROM ids GROUP BY 1 HAVING min(conv_id) < max(conv_id)),
-t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
- row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k FROM conversations),
-n AS (SELECT conv_id, max(k) AS n FROM t GROUP BY 1),
-d AS (SELECT p.pair_id, min(a.k) AS k FROM p JOIN t a ON a.conv_id = p.chosen JOIN t b ON b.conv_id = p.rejected AND b.k = a.k
+SQL = """WITH o AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+ rank() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+m AS (SELECT conv_id, max(k) AS k FROM o WHERE role = 'assistant' GROUP BY 1),
+l AS (SELECT DISTINCT o.* FROM o JOIN m ON m.conv_id = o.conv_id AND m.k = o.k),
+p AS (SELECT a.conv_id, b.conv_id AS donor, a.turn, a.k, b.text AS given FROM l a JOIN l b ON b.conv_id = xor(a.conv_id, 1)),
+u AS (SELECT o.conv_id, 1 AS side, o.turn, o.role, o.text FROM o JOIN p ON p.conv_id = o.conv_id WHERE o.k <= p.k
+ UNION ALL SELECT o.conv_id, 2, o.turn, o.role, o.text FROM o JOIN p ON p.conv_id = o.conv_id WHERE o.k < p.k
+ UNION ALL SELECT conv_id, 2, turn, 'assistant', given FROM p),
+t AS (SELECT conv_id, side, role, text, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, role, text) AS k FROM u),
+n AS (SELECT conv_id, side, max(k) AS n FROM t GROUP BY 1, 2),
+d AS (SELECT a.conv_id, min(a.k) AS k FROM t a JOIN t b ON b.conv_id = a.conv_id AND a.side = 1 AND b.side = 2 AND b.k = a.k
  WHERE a.role <> b.role OR a.text <> b.text GROUP BY 1),
-c AS (SELECT p.*, CAST(coalesce(d.k - 1, least(x.n, y.n)) AS INTEGER) AS prompt_turns FROM p JOIN n x ON x.conv_id = p.chosen
- JOIN n y ON y.conv_id = p.rejected LEFT JOIN d ON d.pair_id = p.pair_id),
-r AS (SELECT conv_id, role, k, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown, length(role) + 5 AS head, length(text) + 8 AS body FROM t),
-s AS (SELECT c.pair_id, c.prompt_turns, r.*, (r.conv_id = c.chosen) AS first_side,
- sum(head + body) OVER (PARTITION BY c.pair_id, r.conv_id, r.k > c.prompt_turns ORDER BY r.k) - body AS start FROM c JOIN r ON r.conv_id IN (c.chosen, c.rejected))
-SELECT c.pair_id, c.chosen, c.rejected, c.prompt_turns,
- coalesce(string_agg(shown, '' ORDER BY k) FILTER (first_side AND k <= s.prompt_turns), '') AS prompt,
- coalesce(string_agg(shown, '' ORDER BY k) FILTER (first_side AND k > s.prompt_turns), '') AS chosen_completion,
- coalesce(string_agg(shown, '' ORDER BY k) FILTER (NOT first_side AND k > s.prompt_turns), '') AS rejected_completion,
- coalesce(string_agg(start || '+' || body, ',' ORDER BY k) FILTER (first_side AND k > s.prompt_turns AND role = 'assistant'), '') AS chosen_mask,
- coalesce(string_agg(start || '+' || body, ',' ORDER BY k) FILTER (NOT first_side AND k > s.prompt_turns AND role = 'assistant'), '') AS rejected_mask
-FROM c JOIN s ON s.pair_id = c.pair_id GROUP BY ALL"""
+c AS (SELECT p.conv_id, p.donor, CAST(coalesce(d.k - 1, least(x.n, y.n)) AS INTEGER) AS prompt_turns FROM p JOIN n x ON x.conv_id = p.conv_id AND x.side = 1
+ JOIN n y ON y.conv_id = p.conv_id AND y.side = 2 LEFT JOIN d ON d.conv_id = p.conv_id),
+r AS (SELECT conv_id, side, role, k, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown, length(role) + 5 AS head, length(text) + 8 AS body FROM t),
+s AS (SELECT c.donor, c.prompt_turns, r.*,
+ sum(head + body) OVER (PARTITION BY r.conv_id, r.side, r.k > c.prompt_turns ORDER BY r.k) - body AS start FROM c JOIN r ON r.conv_id = c.conv_id)
+SELECT conv_id AS pair_id, conv_id AS chosen, donor AS rejected, prompt_turns,
+ coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 1 AND k <= prompt_turns), '') AS prompt,
+ coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 1 AND k > prompt_turns), '') AS chosen_completion,
+ coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 2 AND k > prompt_turns), '') AS rejected_completion,
+ coalesce(string_agg(start || '+' || body, ',' ORDER BY k) FILTER (side = 1 AND k > prompt_turns AND role = 'assistant'), '') AS chosen_mask,
+ coalesce(string_agg(start || '+' || body, ',' ORDER BY k) FILTER (side = 2 AND k > prompt_turns AND role = 'assistant'), '') AS rejected_mask
+FROM s GROUP BY conv_id, donor, prompt_turns"""

@@ -87,3 +87,25 @@ def test_ids_above_doubles(spark):
     turns = [(i, 0, "user", f"t{i}") for i in (big, big + 1, big + 2, big + 3, -1, -2)]
     pairs = X.consecutive(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r.chosen, r.rejected) for r in pairs) == [(-2, -1), (big, big + 1), (big + 2, big + 3)]
+
+
+def test_most_registered_pairs_have_a_prompt(spark, data):
+    turns = spark.read.parquet(f"{data}/conversations.parquet")
+    rows = X.digest(turns).collect()
+    assert rows and sum(r.prompt_turns > 0 and r.prompt != "" for r in rows) > 0.9 * len(rows)
+    assert all(r.rejected == r.chosen ^ 1 for r in rows)
+
+
+def test_answers_are_swapped(spark):
+    rows = [
+        (4, 0, "user", "q4"), (4, 1, "assistant", "a4"), (4, 2, "user", "thanks"), (5, 7, "assistant", "a5"), (5, 6, None, "q5"),
+        (8, 0, "user", "no answer"), (9, 0, "assistant", "alone"), (None, 0, "assistant", "no id"), (12, 0, "assistant", "same"), (13, 0, "assistant", "same"),
+        (20, 1, "assistant", "twice"), (20, 1, "assistant", "twice"), (20, 0, "user", "u"), (21, None, "assistant", None),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS donor", "2 AS answer")
+    got = {r.pair_id: r for r in X.digest(df).collect()}
+    assert sorted(got) == [4, 5, 12, 13, 20, 21]
+    assert (got[4].prompt, got[4].chosen_completion, got[4].rejected_completion) == ("<|user|>\nq4<|end|>\n", "<|assistant|>\na4<|end|>\n", "<|assistant|>\na5<|end|>\n")
+    assert (got[5].prompt_turns, got[5].rejected, got[5].rejected_mask) == (1, 4, "14+10")
+    assert got[12].prompt_turns == 1 and got[12].chosen_completion == got[12].rejected_completion == ""
+    assert got[21].rejected_completion == "<|assistant|>\ntwice<|end|>\n" and got[20].prompt_turns == 1
