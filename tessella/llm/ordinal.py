@@ -174,7 +174,19 @@ def scored(docs: DataFrame, model: Model, keep: int = KEEP, tail: float = TAIL)
     return map_texts(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, grade double, tail double, keep boolean", 1)
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """``(doc_id, grade)`` of labels: 0 for poor texts, 1 for good ones that are toxic, 2 for good ones that aren't.
+
+    A null quality is no rating; a null mark of toxicity is none. Rows without an id stay, for ``sample`` to leave out.
+    """
+    good = F.when(F.coalesce(F.col("toxic"), F.lit(0)) > 0, 1).otherwise(2)
+    return labels.select("doc_id", F.when(F.col("quality") > 0, good).when(F.col("quality").isNotNull(), 0).alias("grade"))
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Ratings are the labels' quality."""
-    ratings = labels.select("doc_id", F.col("quality").alias("grade"))
-    return scored(docs, learn(docs, ratings))
+    """``(doc_id, grade, tail, keep)`` of every document, from three grades: its expected grade, and whether it is likely good.
+
+    ``tail`` is the probability of a good text, toxic or not; the expected grade tells these apart as well. Null and empty texts,
+    equal and null ids are rows like others. With one grade, or none, scores are constant.
+    """
+    return scored(docs, learn(docs, graded(labels)))

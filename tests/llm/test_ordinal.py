@@ -69,3 +69,50 @@ def test_quality_on_documents(spark, data):
     model = X.learn(docs, labels.where(~part).select("doc_id", F.col("quality").alias("grade")))
     out = X.scored(docs, model).join(labels.where(part), "doc_id").collect()
     assert sum(r.keep == (r.quality == 1) for r in out) > 0.9 * len(out)
+
+
+def test_three_grades_of_the_labels(spark, data):
+    """Held-out rows of the given tables: two thresholds, good texts kept, and the expected grade orders toxic good texts below clean ones."""
+    docs, labels = (spark.read.parquet(f"{data}/../sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = X.learn(docs, X.graded(labels.where(~part)))
+    assert model.grades == [0, 1, 2] and model.thresholds[0] < model.thresholds[1]
+    out = X.scored(docs, model).join(X.graded(labels.where(part)).withColumnRenamed("grade", "true"), "doc_id").collect()
+    assert len(out) > 800
+    assert sum(r.keep == (r.true >= 1) for r in out) > 0.9 * len(out)
+    toxic, clean = ([r.grade for r in out if r.true == g] for g in (1, 2))
+    assert np.mean([t < c for t in toxic for c in clean]) > 0.85
+    assert sum(abs(r.grade - r.true) for r in out) / len(out) < 0.3
+    assert any(abs(r.grade - 2 * r.tail) > 0.05 for r in out)
+
+
+def test_likelihood_is_that_of_an_independent_solver():
+    """Newton steps on the same penalised likelihood, over the columns that occur, end no lower than the fit by more than a little."""
+    rows = _rated(200, seed=5)
+    texts, y = [t for _, t, _ in rows], np.array([min(g, 2) for *_, g in rows])
+    model = X.fit(texts, y.tolist(), epochs=400)
+    raw = [t.encode() for t in texts]
+    row, column, value = X.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    used, at = np.unique(column, return_inverse=True)
+    x = np.zeros((len(texts), len(used)))
+    np.add.at(x, (row, at), value)
+    above = (y[:, None] > np.arange(2)[None, :]).astype(float)
+
+    def loss(w, t):
+        z = np.clip(x @ w[:, None] - t[None, :], -35, 35)
+        return (np.log1p(np.exp(z)) - above * z).sum(1).mean() + X.RIDGE / 2 * w @ w
+
+    w, t = np.zeros(len(used)), np.zeros(2)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ w[:, None] - t[None, :])))
+        gap, c = p - above, p * (1 - p)
+        g = np.r_[x.T @ gap.sum(1) / len(y) + X.RIDGE * w, -gap.mean(0)]
+        h = np.zeros((len(used) + 2, len(used) + 2))
+        h[:-2, :-2] = x.T @ (x * c.sum(1)[:, None]) / len(y) + X.RIDGE * np.eye(len(used))
+        for k in range(2):
+            h[:-2, len(used) + k] = h[len(used) + k, :-2] = -(x.T @ c[:, k]) / len(y)
+            h[len(used) + k, len(used) + k] = c[:, k].mean() + 1e-9
+        step = np.linalg.solve(h, g)
+        w, t = w - step[:-2], t - step[-2:]
+    best, own = loss(w, t), loss(model.weights[used], model.thresholds)
+    assert best <= own + 1e-9 and own < best + 0.02
