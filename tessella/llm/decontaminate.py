@@ -149,39 +149,40 @@ def _blocks(benchmark: DataFrame, named: bool) -> Iterator[list[tuple[int, str]]
     yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """``(doc_id, item_id, distance, end)``: each document and item that occurs in it within its budget.
+def matched(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
+    """``(doc_id, hits)`` of every row; hits are ``(item_id, distance, end)`` of the items that occur in its text within their budget.
 
     Case and white space do not count; ``end`` is a place in the normalised text. Items under SHORTEST characters match
-    without edits, as whole words. Null and empty texts and items without an id, which no row could name, match nothing. Rows with equal ids are searched each. Other columns
-    are left out; an empty benchmark matches nothing.
+    without edits, as whole words. Null and empty texts and items without an id, which no row could name, match nothing. Rows
+    with equal or null ids keep their own hits: nothing is joined or grouped. Other columns are left out; an empty benchmark
+    matches nothing. Each block of items is one pass; between blocks the rows with their hits so far are written.
     """
     rows = docs.select("doc_id", "text")
     kind, of = dict(rows.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    named = arrow_type(benchmark, "item_id")
+    hit = pa.struct([("item_id", arrow_type(benchmark, "item_id")), ("distance", pa.int32()), ("end", pa.int64())])
     sc = docs.sparkSession.sparkContext
-    out = None
+    out, staged = None, None
     for block in _blocks(benchmark.select("item_id", "text"), True):
         held = sc.broadcast(block)
 
-        def run(b: pa.RecordBatch, held=held, key=uuid.uuid4().hex) -> pa.RecordBatch | None:
+        def run(b: pa.RecordBatch, held=held, key=uuid.uuid4().hex) -> pa.RecordBatch:
             matcher = Matcher.of(key, held.value, errors)
-            at, found = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                for hit in matcher.find(normal(t)):
-                    at.append(i)
-                    found.append(hit)
-            if not at:
-                return None
-            item, distance, end = zip(*found)
-            return pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at)), pa.array(item, named), pa.array(distance, pa.int32()), pa.array(end, pa.int64())],
-                ["doc_id", "item_id", "distance", "end"],
-            )
-
-        found = map_texts(rows, run, f"doc_id {kind}, item_id {of}, distance int, end long", 1)
-        out = found if out is None else out.union(found)
-    return out
+            own = [[dict(zip(("item_id", "distance", "end"), h)) for h in matcher.find(normal(t))] for t in b.column(1).to_pylist()]
+            if b.num_columns == 3:
+                own = [before + more for before, more in zip(b.column(2).to_pylist(), own)]
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.list_(hit))], ["doc_id", "text", "hits"])
+
+        if out is not None:
+            before, staged = staged, written(out, "matched")
+            if before is not None:
+                dropped(before)
+        out = map_texts(rows if staged is None else staged, run, f"doc_id {kind}, text string, hits array<struct<item_id: {of}, distance: int, end: bigint>>", 1)
+    return out.select("doc_id", "hits")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
+    """``(doc_id, item_id, distance, end)``: a row for each hit of ``matched``."""
+    return matched(docs, benchmark, errors).select("doc_id", F.inline("hits"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
@@ -209,11 +210,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Data
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row a document that has an item: ``(doc_id, item_ids, distances)``, items ascending."""
-    pairs = F.array_sort(F.collect_list(F.struct("item_id", "distance")))
-    return (
-        matches(docs, benchmark)
-        .groupBy("doc_id")
-        .agg(pairs.alias("p"))
-        .select("doc_id", F.col("p.item_id").alias("item_ids"), F.col("p.distance").alias("distances"))
-    )
+    """``(doc_id, item_ids, distances)`` of each row that has an item, items ascending; rows of one id, or none, are rows of their own."""
+    pairs = F.array_sort(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["distance"].alias("distance"))))
+    found = matched(docs, benchmark).where(F.size("hits") > 0).select("doc_id", pairs.alias("p"))
+    return found.select("doc_id", F.col("p.item_id").alias("item_ids"), F.col("p.distance").alias("distances"))

@@ -107,3 +107,14 @@ def test_items_named_by_strings(spark, make):
     bench = spark.createDataFrame([("q1", "what is the capital of the country in the south"), (None, "art")], "item_id string, text string")
     out = X.digest(make([(1, "so what is the capital of the country in the south?"), (2, "art")]), bench).collect()
     assert [tuple(r) for r in out] == [(1, ["q1"], [0])]
+
+
+def test_rows_of_one_id_are_kept_apart(make, spark, monkeypatch):
+    item, other = "a benchmark item of some length to find", "another benchmark item, longer than a few words"
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    docs = make([(7, item), (7, f"x {item}"), (None, item), (None, f"{other} and {item}"), (3, "nothing of it")])
+    want = sorted([(7, (1,), (0,)), (7, (1,), (0,)), (None, (1,), (0,)), (None, (1, 2), (0, 0))], key=repr)
+    rows = lambda: sorted(((r.doc_id, tuple(r.item_ids), tuple(r.distances)) for r in X.digest(docs, bench).collect()), key=repr)
+    assert rows() == want
+    monkeypatch.setattr(X, "BLOCK_CHARS", 10)
+    assert rows() == want
