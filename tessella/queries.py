@@ -15,10 +15,10 @@ from .functions import text as X
 from .operators import codebooks, fusion, sealed_index, text_index, text_search, vision
 from .plans import boolean as B
 from .sources import articles as article_files
-from .sources import files
+from .sources import files, results
 from .sql import porter_sql
 from .staging import shared_folder, written
-from .streaming import counters, ingest
+from .streaming import counters, images, ingest
 
 K = 16
 QUERY_IMAGE = 3
@@ -262,6 +262,21 @@ def _article_stream(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema(article_files.SCHEMA).parquet(f"{where}-read").select("title", "text")
 
 
+def _result_file(ranking: Callable[[SparkSession, str], DataFrame], layout: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A ranking written in its binary layout and read back, with its places."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        where = f"{shared_folder(s)}/results-{uuid4().hex}"
+        results.write_ranking(ranking(s, d), where, layout)
+        return results.read_rankings(s, where, layout).select("place", "id", "score")
+
+    return run
+
+
+def _placed_sql(ranking: str, id_: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY score DESC, {id_}) - 1 AS place, CAST({id_} AS BIGINT) AS id, score FROM ({ranking})"
+
+
 KEY, MASTER = bytes(16), bytes(32)
 SEALED_TERMS = ("thing", "hand", "tion")
 
@@ -334,6 +349,19 @@ def _sequential(s: SparkSession, d: str) -> DataFrame:
     return _book(trainer.version())
 
 
+def _image_stream(s: SparkSession, d: str) -> DataFrame:
+    """Histograms of a stream that deals each image's descriptors over three arrivals, with a restart between."""
+    x, book = descriptors(s, d), codebook(s, d)
+    whole = x.groupBy("image_id").agg(F.count(F.lit(1)).alias("expected"))
+    rows = x.join(whole, "image_id").select("image_id", "desc_no", "vec", "expected")
+    where = f"{shared_folder(s)}/images-{uuid4().hex}"
+    for part in range(3):
+        rows.where(F.col("desc_no") % 3 == part).write.mode("append").parquet(f"{where}/in")
+        stream = s.readStream.schema(rows.schema).parquet(f"{where}/in")
+        images.ingest_histograms(stream, book, f"{where}/out", f"{where}/log", available_now=True).awaitTermination()
+    return s.read.schema(images.SCHEMA + ", batch long").parquet(f"{where}/out").drop("batch")
+
+
 def _gaussian_search(s: SparkSession, d: str) -> DataFrame:
     h = vision.histogram(vision.assign(descriptors(s, d), vector.gaussian_codebook(s, K, 64, 7), "lsh"))
     return vision.search(h, query_hist(h))
@@ -498,6 +526,8 @@ def registry() -> dict[str, tuple[Query, str | None]]:
             _tag_queries,
             r"SELECT item_id, array_to_string(list_transform(list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda t: t <> ''), lambda t: replace(t, ' ', '_')), ' || ') AS query FROM benchmark",
         ),
+        "text_result_file": (_result_file(_search("thing || hand || ther", 10), "text"), _placed_sql(_search_sql("thing || hand || ther"), "doc_id")),
+        "image_result_file": (_result_file(_image("kmeans"), "image"), _placed_sql(_image_sql(NEAREST), "image_id")),
         "article_files": (
             _article_files,
             "SELECT concat_ws('-', conv_id, turn) AS title, coalesce(text, '') || chr(10) AS text, CAST(1 AS BIGINT) AS times FROM conversations",
@@ -527,6 +557,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
             f"WITH {CODEBOOK}, {LSH} SELECT image_id, desc_no, centre FROM assigned",
         ),
         "bovw_histogram": (hist, f"WITH {CODEBOOK}, {NEAREST}, {HIST} SELECT image_id, centre, tf FROM hist"),
+        "stream_image_histograms": (_image_stream, f"WITH {CODEBOOK}, {NEAREST}, {HIST} SELECT image_id, centre, tf FROM hist"),
         "lsh_histogram": (
             lambda s, d: hist(s, d, "lsh"),
             f"WITH {CODEBOOK}, {LSH}, {HIST} SELECT image_id, centre, tf FROM hist",
