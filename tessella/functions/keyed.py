@@ -24,16 +24,20 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     return sha256(F.concat(outer, sha256(F.concat(inner, message.cast("binary")))))
 
 
-def _masked(key: Column, mask: int) -> Column:
-    """A key of 32 bytes, XORed with a byte and padded with it to a block: four bytes at a time, as numbers."""
-    digits, word = F.hex(key), int.from_bytes(bytes([mask]) * 4, "big")
+def _masked(digits: Column, mask: int) -> Column:
+    """A key of 64 hexadecimal digits, XORed with a byte and padded with it to a block: four bytes at a time, as numbers."""
+    word = int.from_bytes(bytes([mask]) * 4, "big")
     parts = [F.conv(F.substring(digits, 8 * i + 1, 8), 16, 10).cast("long").bitwiseXOR(F.lit(word)) for i in range(8)]
     return F.unhex(F.concat(*[F.lpad(F.hex(p), 8, "0") for p in parts], F.lit(f"{mask:02x}" * (BLOCK - 32))))
 
 
 def masked_keys(key: Column) -> Column:
-    """What a key of 32 bytes begins its two hashes with: made once for a term or centre, used for all its labels."""
-    return F.when(F.length(key) == 32, F.struct(_masked(key, 0x36).alias("inner"), _masked(key, 0x5C).alias("outer")))
+    """What a key of 32 bytes begins its two hashes with: made once for a term or centre, used for all its labels.
+
+    The key is bound to a variable, so that it is computed once and not for each part.
+    """
+    both = lambda h: F.when(F.length(h) == 64, F.struct(_masked(h, 0x36).alias("inner"), _masked(h, 0x5C).alias("outer")))
+    return F.element_at(F.transform(F.array(F.hex(key)), both), 1)
 
 
 def hmac_masked(masked: Column, message: Column) -> Column:

@@ -20,8 +20,12 @@ def _key(master: bytes, of: Column, kind: str) -> Column:
 
 
 def labelled(postings: DataFrame, master: bytes, kind: str = "term") -> DataFrame:
-    """``postings`` ``(term, pos, doc_id, tf)`` with their ``label``; ``kind`` is ``term``, or ``centre`` for visual words."""
-    return postings.withColumn("label", keyed.label(_key(master, F.col("term"), kind), F.col("pos")))
+    """``postings`` ``(term, pos, doc_id, tf)`` with their ``label``; ``kind`` is ``term``, or ``centre`` for visual words.
+
+    Keys are made and masked once for each term and met by a join, which Spark splits where a term is very common.
+    """
+    keys = postings.select("term").distinct().select("term", keyed.masked_keys(_key(master, F.col("term"), kind)).alias("_keys"))
+    return postings.join(keys, "term").withColumn("label", keyed.label_masked(F.col("_keys"), F.col("pos"))).drop("_keys")
 
 
 def sealed(postings: DataFrame, master: bytes, key: bytes, kind: str = "term") -> DataFrame:
