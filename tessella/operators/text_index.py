@@ -43,12 +43,12 @@ def postings(counts: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     The counts are made once and written, then ranged by term and id into parts of about ``rows``, so a term in very many
     documents, or ids of any spread, are numbered by many tasks. Only a part's first term may have begun in earlier parts: its
     shift is one row a part, which bounds the broadcast. Rows without an id or a term have no place and are left out; equal
-    ids keep a place each. A term may be of any type that has an order, such as the number of a visual word.
+    ids keep a place each, by count. A term may be of any type that has an order, such as the number of a visual word.
     """
     kinds = dict(counts.dtypes)
     staged = written(counts.where(F.col("doc_id").isNotNull() & F.col("term").isNotNull()).select("term", "doc_id", "tf"), "counts")
     parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), staged.count() // rows + 1)
-    ranged = staged.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    ranged = staged.repartitionByRange(parts, "term", "doc_id", "tf").sortWithinPartitions("term", "doc_id", "tf")
     schema = f"term {kinds['term']}, doc_id {kinds['doc_id']}, tf {kinds['tf']}, k long, part int"
     made = written(ranged.mapInArrow(_numbered, schema), "postings")
     dropped(staged)
