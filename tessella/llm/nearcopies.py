@@ -42,7 +42,7 @@ CHUNK = 1 << 15
 #: Least and most bits of a set's parities, powers of two, by its size: whether it has an odd number of shingles in each of so many buckets.
 PARITIES = (256, 4096)
 #: Most turns in which each set is compared with a few drawn from its groups, before groups are compared across components.
-TURNS = 3
+TURNS = 8
 #: log2 of the bits of the bitmap of prefix shingles that several sets have: 16 MB at any size of the input.
 BITMAP = 27
 
