@@ -9,7 +9,7 @@ texts put common shingles last in the order, which keeps groups as small in a la
 decide which pairs are found.
 
 Each text is compared first with the candidate of SimHash and with the least text of most of its groups, one pair each,
-then, in a few turns, with texts drawn from its groups, so that large clusters become one component in linear work;
+then, in turns that go on while they find much, with texts drawn from its groups, so that large clusters become one component in linear work;
 what these links leave in several components of a group is then compared across components, all of it. Pairs must share enough of
 their prefixes: of two similar sets, the one whose prefix ends first in the order has all it shares of that prefix
 in the other's prefix as well, and it can miss only what similarity lets it miss. So passages that many texts share do
@@ -41,8 +41,12 @@ LEVELS = 10
 CHUNK = 1 << 15
 #: Least and most bits of a set's parities, powers of two, by its size: whether it has an odd number of shingles in each of so many buckets.
 PARITIES = (256, 4096)
-#: Most turns in which each set is compared with a few drawn from its groups, before groups are compared across components.
+#: Most turns in which each set is compared with a few drawn from its groups, before groups are compared across components,
+#: and the share of what a turn draws that must turn out similar for another turn to be worth its jobs.
 TURNS = 8
+WORTH = 0.1
+#: From the second turn on a group is drawn from in parts, by so many more bits of the parities each turn, up to the most.
+PART_BITS = (4, 8)
 #: log2 of the bits of the bitmap of prefix shingles that several sets have: 16 MB at any size of the input.
 BITMAP = 27
 
@@ -142,8 +146,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _confirmed(pairs: DataFrame, own: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar; one row of each node is read again, whole."""
-    pairs = written(pairs, "pairs")
+    """The pairs of a written table ``(a, b)`` whose sets are similar; one row of each node is read again, whole."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     one = own.join(named, "node", "left_semi").groupBy("node").agg(F.min(F.struct("h", "doc_id")).alias("r"))
     one = one.select("node", F.col("r.h").alias("of"), F.col("r.doc_id").alias("id"))
@@ -208,11 +211,24 @@ def _open(met: DataFrame, tree: DataFrame, odd: DataFrame) -> DataFrame:
     return written(left.join(apart, "s", "left_semi").join(odd, "node"), "open")
 
 
+def _part(turn: int) -> Column:
+    """The part of its group that a set is in at a turn: a few of its parities, other ones for each group and turn.
+
+    Copies differ in few parities, so they mostly fall into one part; other texts of the group are spread over all parts.
+    """
+    step, most = PART_BITS
+    h, size = F.xxhash64("s", F.lit(turn)), F.size("odd")
+    word = F.element_at("odd", (F.pmod(h, size) + 1).cast("int"))
+    few = F.call_function("shiftrightunsigned", word, F.pmod(h, F.lit(65 - most)).cast("int")).bitwiseAND(F.lit((1 << min(most, step * turn)) - 1))
+    return size * F.lit(1 << most) + few
+
+
 def _drawn(open_: DataFrame, turn: int) -> DataFrame:
-    """``(a, b)``: each set with two that a hash draws from each of its groups, if of other components and perhaps similar."""
+    """``(a, b)``: each set with two that a hash draws from its part of each of its groups, if of other components and perhaps similar."""
+    parts = open_.withColumn("part", _part(turn))
     of = F.struct(F.xxhash64("node", "s", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("to"), F.col("odd").alias("odds"))
-    drawn = open_.groupBy("s").agg(F.array(F.min(of), F.max(of)).alias("d")).select("s", F.explode("d").alias("d")).select("s", "d.*")
-    met = open_.join(drawn, "s").where((F.col("root") != F.col("to")) & _close(F.col("n"), F.col("m")) & _alike("odd", "odds", F.col("n"), F.col("m")))
+    drawn = parts.groupBy("s", "part").agg(F.array(F.min(of), F.max(of)).alias("d")).select("s", "part", F.explode("d").alias("d")).select("s", "part", "d.*")
+    met = parts.join(drawn, ["s", "part"]).where((F.col("root") != F.col("to")) & _close(F.col("n"), F.col("m")) & _alike("odd", "odds", F.col("n"), F.col("m")))
     return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
@@ -259,24 +275,30 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sizes = met.where("low = node").select(F.col("node").alias("a"), F.col("n").alias("m")).distinct()
     stars = likely.select(F.bitwise_not("best.l").alias("a"), F.col("node").alias("b"), "n", "best.k").join(sizes, "a")
     stars = stars.where(_close(F.col("n"), F.col("m")) & _enough(F.col("k"), F.col("n"), F.col("m"))).select("a", "b")
-    first = _confirmed(stars.union(simhash_links(own)).distinct(), own, rows)
+    pairs = written(stars.union(simhash_links(own)).distinct(), "pairs")
+    first = _confirmed(pairs, own, rows)
     tree = written(components(first), "tree")
 
     odd = written(own.groupBy("node").agg(F.first("odd").alias("odd")), "odd")
     for turn in range(TURNS):
         open_ = _open(met, tree, odd)
-        links = _confirmed(_drawn(open_, turn), own, rows)
+        pairs = written(_drawn(open_, turn), "pairs")
+        drawn = pairs.count()
+        links = _confirmed(pairs, own, rows)
+        found = links.count()
         dropped(open_)
-        if links.isEmpty():
+        if not found:
             break
         merged = written(components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)), "tree")
         dropped(tree, links)
         tree = merged
+        if found < WORTH * drawn:
+            break
     open_ = _open(met, tree, odd)
     n, m = F.col("n"), F.col("m")
     # All groups that two components' nodes share are open, so this counts all that their prefixes share.
     shared = _across(open_).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    more = _confirmed(shared.where(_enough(F.col("k"), n, m)).select("a", "b"), own, rows)
+    more = _confirmed(written(shared.where(_enough(F.col("k"), n, m)).select("a", "b"), "pairs"), own, rows)
     whole = _rooted(own.drop("fp", "odd"), tree if more.isEmpty() else components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
     dropped(met, odd, open_)
     return whole
