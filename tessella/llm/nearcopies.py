@@ -145,14 +145,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]
 
 
-def _confirmed(pairs: DataFrame, own: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs of a written table ``(a, b)`` whose sets are similar; one row of each node is read again, whole."""
+def _confirmed(pairs: DataFrame, one: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs of a written table ``(a, b)`` whose sets are similar; the row of each node that ``one`` names is read again, whole."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = own.join(named, "node", "left_semi").groupBy("node").agg(F.min(F.struct("h", "doc_id")).alias("r"))
-    one = one.select("node", F.col("r.h").alias("of"), F.col("r.doc_id").alias("id"))
+    few = one.join(named, "node", "left_semi").select("node", F.col("r.h").alias("of"), F.col("r.doc_id").alias("id"))
     # Rows with the same id and text are one text.
     same = (F.col("h") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    texts = written(rows.join(one, same).select("node", "text").dropDuplicates(["node"]), "texts", "zstd")
+    texts = written(rows.join(few, same).select("node", "text").dropDuplicates(["node"]), "texts", "zstd")
     sides = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -268,6 +267,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *found, odd], ["doc_id", "h", "node", "fp", "odd"])
 
     own = written(map_texts(rows, name, f"doc_id {dict(rows.dtypes)['doc_id']}, h long, node long, fp long, odd array<long>", 2), "nodes")
+    # Copies fall together before they are shuffled, and only once.
+    one = written(own.groupBy("node").agg(F.min(F.struct("h", "doc_id")).alias("r"), F.first("odd").alias("odd")), "one")
     met = _met(rows)
     # The group's least node that is least most often, for the node that shares most with it.
     times = met.where("low < node").groupBy("node", "n", "low").agg(F.count(F.lit(1)).alias("k"))
@@ -276,15 +277,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     stars = likely.select(F.bitwise_not("best.l").alias("a"), F.col("node").alias("b"), "n", "best.k").join(sizes, "a")
     stars = stars.where(_close(F.col("n"), F.col("m")) & _enough(F.col("k"), F.col("n"), F.col("m"))).select("a", "b")
     pairs = written(stars.union(simhash_links(own)).distinct(), "pairs")
-    first = _confirmed(pairs, own, rows)
+    first = _confirmed(pairs, one, rows)
     tree = written(components(first), "tree")
 
-    odd = written(own.groupBy("node").agg(F.first("odd").alias("odd")), "odd")
+    odd = one.select("node", "odd")
     for turn in range(TURNS):
         open_ = _open(met, tree, odd)
         pairs = written(_drawn(open_, turn), "pairs")
         drawn = pairs.count()
-        links = _confirmed(pairs, own, rows)
+        links = _confirmed(pairs, one, rows)
         found = links.count()
         dropped(open_)
         if not found:
@@ -298,9 +299,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     n, m = F.col("n"), F.col("m")
     # All groups that two components' nodes share are open, so this counts all that their prefixes share.
     shared = _across(open_).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    more = _confirmed(written(shared.where(_enough(F.col("k"), n, m)).select("a", "b"), "pairs"), own, rows)
+    more = _confirmed(written(shared.where(_enough(F.col("k"), n, m)).select("a", "b"), "pairs"), one, rows)
     whole = _rooted(own.drop("fp", "odd"), tree if more.isEmpty() else components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
-    dropped(met, odd, open_)
+    dropped(met, one, open_)
     return whole
 
 
