@@ -69,3 +69,15 @@ def test_sealed_store_is_opened_by_counters_alone(spark):
         raise AssertionError("a record under another label was opened")
     except Exception as e:
         assert "label does not match" in str(e)
+
+
+def test_a_lookup_shuffles_only_what_it_may_want(spark, monkeypatch):
+    rows = [(i, f"t{i % 300}", i + 1) for i in range(3000)]
+    placed = text_index.postings(spark.createDataFrame(rows, SCHEMA))
+    store = sealed_index.sealed(placed, b"m" * 32, b"k" * 16).cache()
+    asked = sealed_index.wanted(spark.createDataFrame([("t1", 10), ("t7", 10), ("none", 2)], "term string, df long"), b"m" * 32)
+    assert 20 <= sealed_index.thinned(store, asked).count() < 40
+    got = sorted((r.term, r.id, r.tf) for r in sealed_index.opened(store, asked, b"k" * 16).collect())
+    assert got == sorted((t, i, n) for i, t, n in rows if t in ("t1", "t7"))
+    monkeypatch.setattr(sealed_index, "BITS", 1 << 8)
+    assert len(got) == sealed_index.opened(store, asked, b"k" * 16).count() < sealed_index.thinned(store, asked).count()
