@@ -23,6 +23,9 @@ TOKEN = "[A-Za-z0-9]+"
 # Fixed value: a word that the configured queries name although the index leaves it out.
 QUERIED_STOP_WORDS = ("way",)
 
+#: Words that a task counts at once, about; a row is counted whole.
+PART_WORDS = 1 << 17
+
 TERM_COUNTS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
 
 
@@ -65,19 +68,38 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(porter.stem, na_action="ignore")
 
 
-@F.arrow_udf(TERM_COUNTS)
-def _stemmed_counts(words: pa.Array) -> pa.Array:
-    """Terms of each row's words. Each different word of a batch is stemmed once; rows are counted as numbers."""
+def _counted(words: pa.Array, stemmed: bool) -> pa.Array:
+    """Terms of some rows' words. Each different word is stemmed once; rows are counted as numbers."""
     rows = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
     seen = words.flatten().dictionary_encode()
-    stems = pa.array([porter.stem(w) for w in seen.dictionary.to_pylist()], pa.string()).dictionary_encode()
-    n = max(len(stems.dictionary), 1)
-    term_of = stems.indices.to_numpy(zero_copy_only=False)[seen.indices.to_numpy(zero_copy_only=False)]
+    term_of, terms = seen.indices.to_numpy(zero_copy_only=False), seen.dictionary
+    if stemmed:
+        stems = pa.array([porter.stem(w) for w in terms.to_pylist()], pa.string()).dictionary_encode()
+        term_of, terms = stems.indices.to_numpy(zero_copy_only=False)[term_of], stems.dictionary
+    n = max(len(terms), 1)
     cells, times = np.unique(rows * n + term_of, return_counts=True)
-    counts = pa.StructArray.from_arrays([stems.dictionary.take(pa.array(cells % n)), pa.array(times, pa.int32())], ["term", "tf"])
+    counts = pa.StructArray.from_arrays([terms.take(pa.array(cells % n)), pa.array(times, pa.int32())], ["term", "tf"])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(cells // n, np.arange(len(words) + 1)), pa.int32()), counts)
 
 
+def _in_parts(words: pa.Array, stemmed: bool) -> pa.Array:
+    """Rows of about PART_WORDS words at a time, so that what is held beside a batch does not grow with it."""
+    so_far = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(), dtype="int64")
+    cuts = np.unique(np.searchsorted(so_far, np.arange(PART_WORDS, so_far[-1] if len(so_far) else 0, PART_WORDS), "right"))
+    bounds = [0, *(int(c) for c in cuts if 0 < c < len(words)), len(words)]
+    return pa.concat_arrays([_counted(words.slice(i, j - i), stemmed) for i, j in zip(bounds, bounds[1:])])
+
+
+@F.arrow_udf(TERM_COUNTS)
+def _stemmed_counts(words: pa.Array) -> pa.Array:
+    return _in_parts(words, True)
+
+
+@F.arrow_udf(TERM_COUNTS)
+def _plain_counts(words: pa.Array) -> pa.Array:
+    return _in_parts(words, False)
+
+
 def query_word(word: str) -> str:
     """What a query's word is looked up as: lower case and stemmed, no stop-word check."""
     return porter.stem("".join(c.lower() if c.isascii() else c for c in word))
@@ -108,9 +130,9 @@ def term_counts(
 ) -> DataFrame:
     """One row ``(doc_id, term, tf)`` for each document and term.
 
-    A document is one row, so with stems its terms are counted inside the row and nothing is shuffled; without
-    stems the count is a JVM aggregation. Null and empty texts give no rows. Other columns are ignored.
-    ``terms`` leaves only their rows, as a query that names them needs; other words are dropped inside the document's row.
+    A document is one row, so its terms are counted inside the row and nothing is shuffled. Without stems, rows with equal
+    ids are one document: whether there are any is looked up first, and only then counts are added by a shuffle.
+    Null and empty texts give no rows. Other columns are ignored. ``terms`` leaves only their rows, as a query that names them needs; other words are dropped inside the document's row.
     """
     words = tokens(text)
     if terms is not None:
@@ -118,6 +140,11 @@ def term_counts(
         words = only_named(words, terms, stemmed)
     if stop_words:
         words = without_stop_words(words, stop_words)
+    if not stemmed and terms is None and not docs.isStreaming:
+        counts = docs.select(F.col(doc_id).alias("doc_id"), F.inline(_plain_counts(words)))
+        if docs.groupBy(doc_id).count().where("count > 1").isEmpty():
+            return counts
+        return counts.groupBy("doc_id", "term").agg(F.sum("tf").cast("int").alias("tf"))
     if not stemmed:
         return (
             docs.select(F.col(doc_id).alias("doc_id"), F.explode(words).alias("term"))

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,26 @@ def test_dense_ids_of_more_rows_than_the_range_sampler_reads(spark, coalesce):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert dense_ids(keys.limit(0), F.col("key")).count() == 0
+
+
+def test_counts_without_stems_shuffle_only_where_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(X, "PART_WORDS", 3)
+    texts = ["b a b", None, "", "a " * 7 + "c", "Z z", "b"]
+    single = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = X.term_counts(single, stemmed=False)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(0, "a", 1), (0, "b", 2), (3, "a", 7), (3, "c", 1), (4, "z", 2), (5, "b", 1)]
+    twice = spark.createDataFrame([(1, "a b"), (1, "b c"), (None, "a"), (None, "a")], "doc_id int, text string")
+    got = sorted(map(tuple, X.term_counts(twice, stemmed=False).collect()), key=str)
+    assert got == [(1, "a", 1), (1, "b", 2), (1, "c", 1), (None, "a", 2)]
+
+
+def test_parts_of_a_batch_give_what_the_whole_gives(monkeypatch):
+    rows = [["x"] * (i % 5) + [f"w{i % 3}"] for i in range(50)] + [None, [], ["y"] * 40]
+    words = pa.array(rows, pa.list_(pa.string()))
+    own = lambda a: [sorted((c["term"], c["tf"]) for c in r) for r in a.to_pylist()]
+    whole = own(X._counted(words, True))
+    for size in (1, 3, 7, 1 << 18):
+        monkeypatch.setattr(X, "PART_WORDS", size)
+        assert own(X._in_parts(words, True)) == whole
+    assert X._in_parts(words.slice(0, 0), True).to_pylist() == []
