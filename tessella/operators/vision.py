@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ BLOCK_NUMBERS = 8_000_000
 HELD_NUMBERS = 4_000_000
 #: Descriptors are measured in tiles, so that tile times block of centres has at most this many cells at once.
 TILE_CELLS = 4_000_000
+#: Cells of histograms of a block of images, and of a block of queries, in a batch of searches; small tables have smaller blocks of images.
+BLOCK_CELLS = 1 << 17
+QUERY_CELLS = 1 << 15
+LEAST_BLOCKS = 32
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -197,10 +203,73 @@ def search(hist: DataFrame, query_hist: DataFrame, k: int | None = TOP_K, stats:
     return found if k is None else found.orderBy(F.desc("score"), "image_id").limit(k)
 
 
+def _rounded(score: np.ndarray) -> np.ndarray:
+    """``score`` to DIGITS digits as Spark rounds: half up, of the shortest decimal of the number."""
+    scaled = score * 10**DIGITS
+    out = np.floor(scaled + 0.5) / 10**DIGITS
+    unit = Decimal(1).scaleb(-DIGITS)
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3):
+        out[i] = float(Decimal(repr(float(score[i]))).quantize(unit, ROUND_HALF_UP))
+    return out + 0.0
+
+
+def _best_of_block(k: int):
+    """The ``k`` best images of a block for each query of a block, ties by image_id; a query's scores are one array at a time."""
+
+    def run(images: pa.Table, asked: pa.Table) -> pa.Table:
+        ids = pc.unique(images.column("image_id"))
+        ids = ids.take(pc.array_sort_indices(ids))
+        centre = images.column("centre").to_numpy()
+        order = np.argsort(centre, kind="stable")
+        centre, gain = centre[order], images.column("gain").to_numpy()[order]
+        row = pc.index_in(images.column("image_id"), value_set=ids).to_numpy()[order]
+        own = asked.column("query_id").combine_chunks().dictionary_encode()
+        number = own.indices.to_numpy(zero_copy_only=False)
+        by = np.argsort(number, kind="stable")
+        wanted, qf = asked.column("centre").to_numpy()[by], asked.column("qf").to_numpy().astype("float64")[by]
+        first, last = np.searchsorted(centre, wanted, "left"), np.searchsorted(centre, wanted, "right")
+        ends = np.searchsorted(number[by], np.arange(len(own.dictionary) + 1))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for q, (i, j) in enumerate(zip(ends, ends[1:])):
+            cells = [slice(first[x], last[x]) for x in range(i, j)]
+            rows = np.concatenate([row[c] for c in cells])
+            score = np.bincount(rows, np.concatenate([gain[c] * f for c, f in zip(cells, qf[i:j])]), len(ids))
+            hit = np.flatnonzero(np.bincount(rows, minlength=len(ids)))
+            if len(hit) > k:
+                # Rounding moves a score by half a unit at most.
+                least = np.partition(score[hit], len(hit) - k)[len(hit) - k] - 2.0 * 10.0**-DIGITS
+                hit = hit[score[hit] >= least]
+            near = _rounded(score[hit])
+            best = np.argsort(-near, kind="stable")[:k]
+            found.append((np.full(len(best), q), hit[best], near[best]))
+        q, at, score = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query_id": own.dictionary.take(pa.array(q)), "image_id": ids.take(pa.array(at)), "score": score})
+
+    return run
+
+
 def search_batch(hist: DataFrame, query_hist: DataFrame, k: int = TOP_K, stats: DataFrame | None = None) -> DataFrame:
-    """``(query_id, rank, image_id, score)`` for many query histograms in one job."""
+    """``(query_id, rank, image_id, score)`` for many query histograms in one job.
+
+    All images are scored for all queries, block by block: a task holds the cells of a block of images and of a block of queries,
+    and gives out the ``k`` best of a query in its block, so pairs are neither shuffled nor held.
+    """
+    hist, query_hist = written(hist, "hist"), written(query_hist, "asked")
+    n = hist.agg(F.countDistinct("image_id").alias("n")).scalar()
+    df = stats if stats is not None else centre_frequencies(hist)
+    weights = df.select("centre", idf(n, F.col("df")).alias("idf"))
+    cells, asked = hist.count(), query_hist.count()
+    parts = max(min(LEAST_BLOCKS, cells // (BLOCK_CELLS >> 5)), cells // BLOCK_CELLS) + 1
+    turns = asked // QUERY_CELLS + 1
+    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    gain = (F.lit(1.0) + F.log10("tf")) * F.col("idf")
+    images = hist.where(F.col("tf") > 0).join(weights, "centre").select(deal("image_id", parts).alias("part"), every(turns).alias("turn"), "image_id", "centre", gain.alias("gain"))
+    queries = query_hist.where("qf IS NOT NULL AND centre IS NOT NULL").select(every(parts).alias("part"), deal("query_id", turns).alias("turn"), "query_id", "centre", "qf")
+    kinds = f"query_id {dict(query_hist.dtypes)['query_id']}, image_id {dict(hist.dtypes)['image_id']}, score double"
+    met = images.groupBy("part", "turn").cogroup(queries.groupBy("part", "turn"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "image_id")
-    ranked = _scores(hist, query_hist, stats).withColumn("rank", F.row_number().over(order))
+    ranked = met.applyInArrow(_best_of_block(k), kinds).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "image_id", "score")
 
 
