@@ -1,19 +1,16 @@
-"""Positions of postings given out as documents arrive: a counter for each term, kept as streaming state.
+"""Positions of postings given out as documents arrive: a counter for each term, block of ids and batch.
 
 A counter belongs to a term and a block of document ids, so a term that is in every document is counted by many tasks.
-A posting's place within its block is fixed when it arrives; a term's blocks are put one after the other by the counts of the
-earlier ones, a row for each term and block. Batches are numbered tables: one that is replayed after a failure finds the
-counters of the batch before it and writes the same places over the same table.
+A posting's place within its block and batch is fixed when it arrives; a term's blocks, and a block's batches, are put one after
+the other by the counts of the earlier ones. Batches are numbered tables, and their rows are the counters' state: one that is
+replayed after a failure writes the same places over the same table, and a restart needs nothing else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
 
@@ -28,52 +25,29 @@ def block_of(doc_id: Column) -> Column:
     return F.floor(doc_id / F.lit(BLOCK)).cast("long")
 
 
-class TermCounter(StatefulProcessor):
-    """Numbers a term's postings within a block of ids: by arrival, and by id within a batch."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._n = handle.getValueState("n", "n long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        seen = self._n.get()
-        at = seen[0] if seen else 0
-        for doc_id, tf in sorted((r.doc_id, r.tf) for r in rows):
-            yield Row(term=key[0], block=key[1], place=at, doc_id=doc_id, tf=tf)
-            at += 1
-        self._n.update((at,))
-
-    def close(self) -> None:
-        pass
-
-
 def placed(counts: DataFrame) -> DataFrame:
-    """``(term, block, place, doc_id, tf)`` of a stream of ``(doc_id, term, tf)``. Null ids have no place and are left out."""
+    """``(term, block, place, doc_id, tf)`` of a batch of ``(doc_id, term, tf)``. Null ids have no place and are left out."""
     known = counts.where(F.col("doc_id").isNotNull()).withColumn("block", block_of(F.col("doc_id")))
-    return known.groupBy("term", "block").transformWithState(TermCounter(), SCHEMA, "Append", "None")
+    order = Window.partitionBy("term", "block").orderBy("doc_id", "tf")
+    return known.select("term", "block", (F.row_number().over(order) - 1).cast("long").alias("place"), "doc_id", "tf")
 
 
 def ingest_positions(stream: DataFrame, path: str, checkpoint: str, stop_words=(), available_now: bool = False) -> StreamingQuery:
     """Write placed postings of a stream of documents ``(doc_id, text)`` under ``path``, a folder for each micro-batch.
 
-    The state is in ``checkpoint``; a query that starts there again goes on counting. Document ids must be new.
+    A query that starts at ``checkpoint`` again goes on with the next batch. Document ids must be new.
     """
-    spark = stream.sparkSession
     counts = X.term_counts(stream, stop_words)
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
-        writer = placed(counts).writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}"))
-        writer = writer.option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if available_now else writer).start()
-    finally:
-        # The query has its own copy of the session's settings from its start on.
-        spark.conf.set(PROVIDER, before) if before is not None else spark.conf.unset(PROVIDER)
+    writer = counts.writeStream.foreachBatch(lambda b, n: placed(b).write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
     """``(term, pos, doc_id, tf)`` of all that has arrived, positions from 0 in each term's list."""
     rows = spark.read.schema(f"{SCHEMA}, batch long").parquet(path)
-    sizes = rows.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("term", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
-    return rows.join(shifts, ["term", "block"]).select("term", (F.col("place") + F.col("shift")).alias("pos"), "doc_id", "tf")
+    own = ["term", "block", "batch"]
+    sizes = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("term").orderBy("block", "batch").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*own, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    return rows.join(shifts, own).select("term", (F.col("place") + F.col("shift")).alias("pos"), "doc_id", "tf")

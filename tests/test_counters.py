@@ -71,3 +71,12 @@ def test_later_id_of_an_earlier_block_comes_after_its_block(spark, stream, monke
     stream(docs_of(spark, [0, 30]))
     got = stream().where(F.col("term") == "tock")
     assert [r.doc_id for r in got.orderBy("pos").collect()] == [1, 0, 15, 30]
+
+
+def test_places_are_given_without_a_row_of_python(spark, stream, monkeypatch):
+    monkeypatch.setattr(counters, "BLOCK", 3)
+    counts = X.term_counts(docs_of(spark, range(8)), stemmed=False).cache()
+    got = counters.placed(counts)
+    assert "Window" in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.block, r.place, r.doc_id) for r in got.where("term = 'tick'").collect())
+    assert rows == [(i // 3, i % 3, i) for i in range(8)]
