@@ -81,3 +81,14 @@ def test_a_lookup_shuffles_only_what_it_may_want(spark, monkeypatch):
     assert got == sorted((t, i, n) for i, t, n in rows if t in ("t1", "t7"))
     monkeypatch.setattr(sealed_index, "BITS", 1 << 8)
     assert len(got) == sealed_index.opened(store, asked, b"k" * 16).count() < sealed_index.thinned(store, asked).count()
+
+
+def test_labels_are_made_where_postings_are(spark):
+    rows = [(t, n, 1, 1) for t in ("a", "é", None) for n in (0, 255, 2**31 - 1, None)]
+    placed = spark.createDataFrame(rows, "term string, pos long, doc_id long, tf int")
+    got = sealed_index.labelled(placed, b"m" * 32)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        key = None if r.term is None else hmac.digest(b"m" * 32, r.term.encode(), hashlib.sha256)
+        want = None if key is None or r.pos is None else hmac.digest(key, struct.pack("<i", r.pos), hashlib.sha256)
+        assert (None if r.label is None else bytes(r.label)) == want
