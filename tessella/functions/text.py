@@ -25,6 +25,8 @@ QUERIED_STOP_WORDS = ("way",)
 
 #: Words that a task counts at once, about; a row is counted whole.
 PART_WORDS = 1 << 17
+#: Bytes of words that a Python worker gets at once, so long texts do not add up.
+BATCH_BYTES = 8 << 20
 
 TERM_COUNTS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
 
@@ -134,6 +136,7 @@ def term_counts(
     ids are one document: whether there are any is looked up first, and only then counts are added by a shuffle.
     Null and empty texts give no rows. Other columns are ignored. ``terms`` leaves only their rows, as a query that names them needs; other words are dropped inside the document's row.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     words = tokens(text)
     if terms is not None:
         terms = sorted(set(terms))

@@ -99,3 +99,9 @@ def test_parts_of_a_batch_give_what_the_whole_gives(monkeypatch):
         monkeypatch.setattr(X, "PART_WORDS", size)
         assert own(X._in_parts(words, True)) == whole
     assert X._in_parts(words.slice(0, 0), True).to_pylist() == []
+
+
+def test_what_a_python_worker_holds_is_bounded(spark):
+    X.term_counts(spark.createDataFrame([(1, "a")], "doc_id int, text string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == X.BATCH_BYTES
+    assert porter.stem.cache_info().maxsize <= 1 << 15
