@@ -15,6 +15,8 @@ from ..staging import columns, dropped, fresh, written
 
 #: Postings of a range partition, about.
 PART_ROWS = 1 << 21
+#: Places of a term that ``places`` deals together.
+RUN = 1 << 16
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -62,6 +64,21 @@ def postings(counts: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     return made.join(F.broadcast(shifts), "part").select("term", (F.col("k") + shift).alias("pos"), "doc_id", "tf")
 
 
+def places(counts: DataFrame, rows: int = PART_ROWS) -> DataFrame:
+    """``(term, pos)`` of every posting, for what needs no document of it: the rows of ``postings``, by the same rules.
+
+    A term's places are 0 to its number of postings less one, so that number is all that is shuffled. Runs of places are dealt to
+    parts of about ``rows``, and a term in very many documents to many of them.
+    """
+    known = counts.where(F.col("doc_id").isNotNull() & F.col("term").isNotNull())
+    staged = written(document_frequencies(known), "frequencies")
+    total = staged.agg(F.sum("df").alias("n")).first().n or 0
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // rows + 1)
+    begins = F.sequence(F.lit(0).cast("long"), F.col("df") - 1, F.lit(RUN).cast("long"))
+    runs = staged.select("term", "df", F.explode(begins).alias("begin")).repartition(parts, "term", "begin")
+    return runs.select("term", F.explode(F.sequence("begin", F.least(F.col("begin") + RUN, "df") - 1)).alias("pos"))
+
+
 def collection_size(docs: DataFrame) -> Column:
     """Number of documents as a scalar subquery: part of the plan, not a job of its own."""
     return docs.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -92,3 +92,19 @@ def test_labels_are_made_where_postings_are(spark):
         key = None if r.term is None else hmac.digest(b"m" * 32, r.term.encode(), hashlib.sha256)
         want = None if key is None or r.pos is None else hmac.digest(key, struct.pack("<i", r.pos), hashlib.sha256)
         assert (None if r.label is None else bytes(r.label)) == want
+
+
+def test_places_are_those_of_the_postings(spark, monkeypatch):
+    monkeypatch.setattr(text_index, "RUN", 7)
+    rows = [(i, "hot", 1) for i in range(40)] + [(i, f"t{i % 3}", 1) for i in range(7)] + [(4, "a", 1), (4, "a", 1), (None, "a", 1), (2, None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for size in (10, 1 << 20):
+        assert sorted(tuple(r) for r in text_index.places(df, size).collect()) == [x[:2] for x in brute(rows)]
+    assert text_index.places(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_labels_of_postings_shuffle_no_documents(spark, data):
+    from tessella import queries
+
+    plan = queries._labels(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "doc_id" not in plan and "counts-" not in plan
