@@ -19,6 +19,8 @@ from .segments import Manifest
 BUCKETS = 256
 #: Documents of a segment of the lowest tier, at most, when it is added at once.
 SMALL = 10_000
+#: Shuffled bytes that a task sorts when a segment is written, about; a few times as much in its memory.
+TASK_BYTES = 16 << 20
 POSTINGS = "doc_id long, term string, tf int"
 STATS = "term string, df long, max_tf int"
 
@@ -69,12 +71,19 @@ class TextIndex:
     def _write(self, name: str, table: str, rows: DataFrame, buckets: int) -> list[int]:
         """Write a table clustered by bucket and term; which buckets it has.
 
-        Spark sizes the tasks by their data: small buckets share one, and a bucket with a very common term is split.
+        Spark sizes the tasks by their data, TASK_BYTES each: small buckets share one, and a bucket with a very common term is
+        split. So a task's memory does not grow with the segment.
         """
         where = f"{self.path}/segments/{name}/{table}"
         order = [c for c in ("bucket", "term", "doc_id") if c == "bucket" or c in rows.columns]
         clustered = rows.withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket").sortWithinPartitions(*order)
-        clustered.write.mode("overwrite").partitionBy("bucket").parquet(where)
+        conf, most = self.spark.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+        given = conf.get(most)
+        conf.set(most, str(TASK_BYTES))
+        try:
+            clustered.write.mode("overwrite").partitionBy("bucket").parquet(where)
+        finally:
+            conf.set(most, given)
         found = [n for n, _ in self.manifest.names(f"segments/{name}/{table}")]
         return sorted(int(n.split("=")[1]) for n in found if n.startswith("bucket="))
 

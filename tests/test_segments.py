@@ -1,7 +1,9 @@
 """A stored index over many adds: a bounded number of files, the same answers before, during and after merges."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessella import engine
 from tessella.engine import TextIndex, _bucket_of
 from tessella.functions import text as X
 from tessella.operators import text_search
@@ -86,3 +88,15 @@ def test_writers_that_meet(spark, tmp_path):
     assert [s["name"] for s in other.read()[1]] == ["a", "b", "c"]
     assert not log.change(lambda now: None)
     assert all(not n.startswith(".draft") for n, _ in log.names("manifest"))
+
+
+def test_a_large_folder_is_sorted_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(engine, "TASK_BYTES", 1 << 14)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    rows = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("doc_id"), F.lit("hot").alias("term"), F.lit(1).alias("tf"))
+    index = TextIndex(spark, str(tmp_path / "i"), ())
+    assert index._write("s", "postings", rows, 1) == [0]
+    found = list((tmp_path / "i" / "segments" / "s" / "postings" / "bucket=0").glob("*.parquet"))
+    assert len(found) > 1 and spark.read.parquet(*map(str, found)).distinct().count() == 40_000
+    assert spark.conf.get(size) == before
