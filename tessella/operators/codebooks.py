@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ def seed_codebook(points: DataFrame, k: int, seed: int = 0, attempt: int = 0) ->
     """
     rows = points.select("image_id", "desc_no", "vec").where("vec IS NOT NULL")
     each = -(-k // ROUNDS)
+    if 0 < k <= ROUNDS:
+        return _frame(points.sparkSession, _seed_books(points, k, seed, [attempt])[0])
     drawn: DataFrame | None = None
     n, turn = 0, 0
     while n < k:
@@ -70,6 +73,139 @@ def seed_codebook(points: DataFrame, k: int, seed: int = 0, attempt: int = 0) ->
     return drawn.select("centre", "centre_vec")
 
 
+def _fixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres as a task measures with: their numbers, and single-precision values."""
+    return np.arange(len(x), dtype="int32"), x.astype("float32").astype("float64")
+
+
+def _races(books: list[np.ndarray | None], open_: list[int]):
+    """From ``(image_id, desc_no, vec, wait...)`` with a wait for each open attempt: the rows that win a batch, ``(attempt, key, image_id, desc_no, vec)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length = pc.list_value_length(b.column(2)).to_numpy()
+            for n, attempt in enumerate(open_):
+                own, book = b, books[attempt]
+                if book is not None and (length != book.shape[1]).any():
+                    own = b.filter(pa.array(length == book.shape[1]))
+                key = own.column(3 + n).to_numpy()
+                if book is not None and own.num_rows:
+                    measure = vision._best(vision._vectors(own.column(2), book.shape[1]), *_fixed(book), True)[1]
+                    key = np.divide(key, measure * measure, out=np.full(len(key), np.inf), where=measure > 0)
+                key = np.where(np.isfinite(key), key, np.inf)
+                best = np.flatnonzero(key == key.min()) if len(key) and np.isfinite(key.min()) else []
+                if len(best):
+                    won = own.take(pa.array(best))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(best), attempt, "int32")), pa.array(key[best]), *won.columns[:3]], ["attempt", "key", "image_id", "desc_no", "vec"]
+                    )
+
+    return run
+
+
+def _seed_books(points: DataFrame, k: int, seed: int, attempts: list[int]) -> list[np.ndarray]:
+    """What ``seed_codebook`` draws one at a time, for several attempts in the same passes, as arrays; ``k`` is at most ROUNDS.
+
+    A pass is one job: tasks measure, race and give out a batch's winners, of which a shuffle of a few rows keeps the first.
+    """
+    rows = points.select("image_id", "desc_no", "vec").where("vec IS NOT NULL")
+    kinds = dict(rows.dtypes)
+    schema = f"attempt int, key double, image_id {kinds['image_id']}, desc_no {kinds['desc_no']}, vec {kinds['vec']}"
+    books: list[np.ndarray | None] = [None] * len(attempts)
+    open_ = list(range(len(attempts)))
+    for turn in range(k):
+        waits = [(-F.log(uniform(seed, attempts[a], turn, F.col("image_id"), F.col("desc_no")))).alias(f"wait{a}") for a in open_]
+        won = rows.select("*", *waits).mapInArrow(_races(books, open_), schema)
+        first = won.groupBy("attempt").agg(F.min(F.struct("key", "image_id", "desc_no", F.col("vec").cast("array<float>").alias("vec"))).alias("r"))
+        # A row an attempt.
+        got = {r.attempt: np.array(r.vec, "float64") for r in first.select("attempt", "r.vec").collect()}
+        open_ = [a for a in open_ if a in got]
+        for a in open_:
+            old = books[a]
+            books[a] = got[a][None, :] if old is None else np.r_[old, got[a][None, :]]
+        if not open_:
+            break
+    return [np.zeros((0, 0)) if b is None else b for b in books]
+
+
+def _book_sums(books: list[np.ndarray], moving: list[int], means: bool):
+    """From ``(vec)``: ``(attempt, centre, total, n, cost)``, sums by nearest centre of each moving attempt, a row a task; without ``means`` costs only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {a: np.zeros_like(books[a]) for a in moving}
+        counts, costs = {a: np.zeros(len(books[a])) for a in moving}, {a: np.zeros(len(books[a])) for a in moving}
+        for b in batches:
+            length = pc.list_value_length(b.column(0)).fill_null(-1).to_numpy()
+            for a in moving:
+                k, dim = books[a].shape
+                own = b.column(0) if (length == dim).all() else b.column(0).filter(pa.array(length == dim))
+                if not len(own):
+                    continue
+                x = vision._vectors(own, dim)
+                centre, measure = vision._best(x, *_fixed(books[a]), True)
+                counts[a] += np.bincount(centre, minlength=k)
+                costs[a] += np.bincount(centre, measure * measure, k)
+                if means:
+                    order = np.argsort(centre, kind="stable")
+                    ids, first = np.unique(centre[order], return_index=True)
+                    totals[a][ids] += np.add.reduceat(x[order], first)
+        for a in moving:
+            k, dim = books[a].shape
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * dim, pa.int32()), pa.array(totals[a].ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(k, a, "int32")), pa.array(np.arange(k), pa.int32()), lists, pa.array(counts[a]), pa.array(costs[a])],
+                ["attempt", "centre", "total", "n", "cost"],
+            )
+
+    return run
+
+
+def _sums(points: DataFrame, books: list[np.ndarray], moving: list[int], means: bool = True) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Totals, counts and cost of each moving attempt, after one pass; as many numbers as the codebooks have."""
+    parts = points.select("vec").mapInArrow(_book_sums(books, moving, means), "attempt int, centre int, total array<double>, n double, cost double")
+    if means:
+        cells = parts.select("attempt", "centre", "n", "cost", F.posexplode("total").alias("at", "x"))
+    else:
+        cells = parts.select("attempt", "centre", "n", "cost", F.lit(0).alias("at"), F.lit(0.0).alias("x"))
+    got = cells.groupBy("attempt", "centre", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("cost").alias("cost")).toArrow()
+    attempt, centre, at, x, n, cost = (got.column(c).to_numpy() for c in ("attempt", "centre", "at", "x", "n", "cost"))
+    out = {}
+    for a in moving:
+        own, (total, count) = attempt == a, (np.zeros_like(books[a]), np.zeros(len(books[a])))
+        total[centre[own], at[own]] = x[own]
+        count[centre[own]] = n[own]
+        out[a] = total, count, float(cost[own & (at == 0)].sum())
+    return out
+
+
+def _frame(spark: SparkSession, book: np.ndarray) -> DataFrame:
+    """A small codebook as a table."""
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(book)], "centre int, centre_vec array<float>")
+
+
+def _lloyd_books(points: DataFrame, books: list[np.ndarray], max_iter: int) -> list[np.ndarray]:
+    """``lloyd`` of several small codebooks in the same passes; a step in which a centre is empty is ``lloyd_step``'s."""
+    books, moving = list(books), [a for a, b in enumerate(books) if b.size]
+    for _ in range(max_iter):
+        if not moving:
+            break
+        sums = _sums(points, books, moving)
+        for a in list(moving):
+            total, count, _cost = sums[a]
+            old = _fixed(books[a])[1]
+            if count.all():
+                now = _fixed(total / count[:, None])[1]
+            elif count.any():
+                step = lloyd_step(points, _frame(points.sparkSession, old)).orderBy("centre")
+                now = _fixed(np.array([r.centre_vec for r in step.collect()], "float64"))[1]
+            else:
+                now = old
+            books[a] = now
+            if ((now - old) ** 2).sum(1).max() <= SETTLED:
+                moving.remove(a)
+    return books
+
+
 def lloyd_step(points: DataFrame, codebook: DataFrame) -> DataFrame:
     """``(centre, centre_vec, n)``: each centre at the (weighted) mean of its points, ``n`` their weight.
 
@@ -121,6 +257,14 @@ def lloyd(points: DataFrame, codebook: DataFrame, max_iter: int = 100) -> DataFr
 
 def kmeans_codebook(points: DataFrame, k: int, seed: int = 0, max_iter: int = 100, attempts: int = 3) -> DataFrame:
     """The best of several runs of seeding and Lloyd's steps: the one with the least sum of squared distances."""
+    if k <= ROUNDS and attempts > 0 and "weight" not in points.columns:
+        # A small codebook is as many numbers as a few rows: attempts share their passes, and centres go along with the tasks.
+        books = _lloyd_books(points, _seed_books(points, k, seed, list(range(attempts))), max_iter)
+        held = [a for a, b in enumerate(books) if b.size]
+        if not held:
+            return seed_codebook(points, k, seed)
+        costs = _sums(points, books, held, False)
+        return _frame(points.sparkSession, books[min(held, key=lambda a: (costs[a][2], a))])
     best, least = None, None
     for attempt in range(attempts):
         book = lloyd(points, seed_codebook(points, k, seed, attempt), max_iter)

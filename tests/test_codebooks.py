@@ -151,3 +151,26 @@ def test_blocks_of_a_large_codebook(spark, cloud, monkeypatch, technique):
     assert sorted((r.centre, r.n) for r in vision.macqueen(x, book).collect()) == sorted((r.centre, r.n) for r in sums)
     nothing = vision.assign(x, book.where("false"), technique)
     assert nothing.collect() == []
+
+
+def test_attempts_share_their_passes(spark, cloud):
+    x = points(spark, cloud)
+    cost = lambda b: ((cloud[:, None].astype("float64") - b[None]) ** 2).sum(2).min(1).sum()
+    alone = [book_of(codebooks.lloyd(x, codebooks.seed_codebook(x, 5, 4, attempt), 6)) for attempt in range(2)]
+    spark.sparkContext.setJobGroup("kmeans", "kmeans")
+    got = book_of(codebooks.kmeans_codebook(x, 5, seed=4, max_iter=6, attempts=2))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert np.allclose(got, min(alone, key=cost), atol=1e-6)
+    # Two jobs a pass at most: 5 draws, 6 steps, the costs, and the rows that are returned.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("kmeans")) <= 2 * (5 + 6 + 1) + 2
+
+
+def test_shared_passes_repair_empty_centres_and_skip_other_lengths(spark, cloud):
+    odd = spark.createDataFrame([(900, 0, [1.0]), (901, 0, None)], SCHEMA)
+    x = points(spark, cloud).unionByName(odd)
+    far = np.concatenate([cloud[:2], [[900.0, 0.0, 0.0]], cloud[50:52]]).astype("float64")
+    want = book_of(codebooks.lloyd(points(spark, cloud), codebooks._frame(spark, far), 3))
+    got = codebooks._lloyd_books(x, [far, cloud[:3].astype("float64")], 3)
+    assert np.allclose(got[0], want, atol=1e-6) and got[1].shape == (3, 3)
+    assert len(book_of(codebooks.kmeans_codebook(x, 4, seed=1, max_iter=3, attempts=2))) in (1, 4)
+    assert codebooks.kmeans_codebook(x.where("false"), 4).collect() == []
